@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 5, rows: int = 20_000, t
     (no, none), (yes, all_) = ((x[:-1].astype(float), float(x[-1])) for x in table.reshape(2, -1))
     odds = lambda x, n: (x + 0.5) / (n - x + 0.5)
     z = np.abs(np.log(odds(yes, all_) / odds(no, none))) / np.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5) + 1 / (all_ - yes + 0.5) + 1 / (none - no + 0.5))
-    z[yes + no < min(5, 1 + (all_ + none) / 100)] = 0
+    z[yes + no < min(5, 2 + (all_ + none) / 5000)] = 0
     kept = np.sort(np.argsort(-z, kind="stable")[:terms])
     kept = kept[z[kept] > 0]
     place[kept] = np.arange(len(kept))
