@@ -6,18 +6,18 @@ share one of the first n - ceil(t n) + 1 numbers of each (their prefixes), so:
 
 1. One pass over the texts gives each row its set's identity and size, and the sketch. Rows with one set (copies) become
    one node, the smallest id.
-2. A second pass sends out (number, id) for the prefixes. Numbers held by one node alone are dropped; numbers held by the
-   same nodes are one group.
+2. A second pass sends out (number, id) for the prefixes. Numbers held by one node alone are dropped; the holders of the
+   others are groups, those with the same smallest node one group. Nodes with no other of a fitting size in their group go.
 3. Each group is joined locally: its sets are stored in a path-compressed trie, a probe walks down the trie carrying the
    overlap so far, so documents that begin alike share that work, and a subtree is left where the lengths that remain
    can't reach the overlap needed. Subtrees already connected to the probe are left too (union-find), so a group of
    thousands of near copies costs a few comparisons each.
-   First only the first two groups of each node are joined (most links show there) and the graph's components found;
-   then every group that still holds two components is joined in full. That makes the result exact.
 
-Large groups are dealt into blocks: rows of a group's main component lie in one block, all others visit every block as
-probes, so each two rows of different components meet and no task stores more than a block. The sketch and the filters
-have fixed or capped sizes; beyond the cap of a filter the pass is repeated for parts of the ids.
+Large groups are dealt into blocks. After all blocks are joined by themselves, a group of several blocks that still holds
+two components is joined again: rows of its main component lie in one block, all others visit every block as probes, so
+each two rows of different components meet and no task stores more than a block. That makes the result exact. The sketch
+and the filter that finds the texts wanted have fixed or capped sizes; a full filter lets through texts that the join by
+node then drops.
 
 Nulls and edges: a null text or one without words has an empty set, size 0, linked with nothing. With fewer than n words
 the whole sequence is the one shingle. A row with a null id is returned without component and links nothing. Rows that
@@ -31,43 +31,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bloom, bloom_of, components, drop, merged_sketch, mix, sketch_rows, slices, written
+from .common import bloom_of, components, drop, merged_sketch, mix, sketch_rows, slices, written
+from .words import shingles
 
 SKETCH_BITS = 20
 #: Rows of a group that one task stores.
 BLOCK_ROWS = 1024
-#: Filters take 16 bits an entry, from 2**20 to so many in all.
+#: The filter takes 16 bits an entry, from 2**20 to 2**30 in all.
 FILTER_BITS = 30
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 
-class WordIds(dict):
-    """The hash of each word seen, forgotten when a million are held."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingles(text: bytes | None, ids: WordIds, n: int) -> np.ndarray:
-    """The distinct n-word shingles of a whole text as sorted hashes; ASCII letters are lowered, words end at ASCII white space."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(ids.__getitem__, words), np.uint64, len(words))
-    wide = min(n, len(words))
-    out = np.full(len(words) - wide + 1, wide, np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(wide):
-            out = (out ^ (out >> np.uint64(29))) * np.uint64(MULTIPLIER) + h[j : j + len(out)]
-    return np.unique(mix(out))
-
-
 def cells(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
 
@@ -81,11 +59,6 @@ def prefix(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
-def pair_hash(numbers: np.ndarray, doc_id: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(numbers + mix(np.array([doc_id], np.int64).view(np.uint64)) * np.uint64(MULTIPLIER))
-
-
 class Links:
     """Union-find over the sets of one block."""
 
@@ -187,12 +160,11 @@ class PrefixTree:
     sets: list[np.ndarray]
 
 
-def joined(rows: Iterator[tuple[int, int, bytes]], percent: int) -> Iterator[tuple[int, int]]:
+def joined(rows: Iterator[tuple[bool, int, np.ndarray]], percent: int) -> Iterator[tuple[int, int]]:
     """Links within one block from rows (visits, id, set), stored rows first: enough of them to connect all that are linked."""
     tree = PrefixTree(percent)
     tree.sets, ids, stored, seen = [], [], True, {}
-    for visits, doc, data in rows:
-        s = np.frombuffer(data, np.uint64)
+    for visits, doc, s in rows:
         if doc in seen and np.array_equal(tree.sets[seen[doc]], s):
             continue
         row = tree.links.add()
@@ -216,13 +188,12 @@ def _identities(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, set_id, n_shingles, piece, data): a row for each document, and the task's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, table, held, many = WordIds(), np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
+        table, held, many = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
         names = ["doc_id", "set_id", "n_shingles", "piece", "data"]
         some = False
         for batch in slices(batches):
             out = []
-            for text in batch.column(1).to_pylist():
-                s = shingles(text, ids, n)
+            for s in shingles(batch.column(1).to_pylist(), n):
                 out.append((xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, len(s)))
                 held.append(s)
                 many += len(s)
@@ -253,12 +224,11 @@ def _prefixes(docs: DataFrame, about) -> DataFrame:
     """(number, doc_id) for each prefix; a task sends copies once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x, seen = WordIds(), about.value, set()
+        x, seen = about.value, set()
         for batch in slices(batches):
             numbers, owners = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = shingles(text, ids, x.n) if doc is not None else ()
-                if not len(s) or (key := xxhash.xxh3_64_intdigest(s.tobytes())) in seen:
+            for doc, s in zip(batch.column(0).to_pylist(), shingles(batch.column(1).to_pylist(), x.n)):
+                if doc is None or not len(s) or (key := xxhash.xxh3_64_intdigest(s.tobytes())) in seen:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(key)
@@ -271,76 +241,45 @@ def _prefixes(docs: DataFrame, about) -> DataFrame:
     return docs.mapInArrow(run, "number long, doc_id long")
 
 
-def _sets(docs: DataFrame, about, wanted: Bloom, pairs: Bloom, visiting: Bloom | None, large) -> DataFrame:
-    """(number, block, visits, doc_id, data): the whole sets of the wanted nodes, for each of the wanted (number, node) pairs.
-
-    large holds the numbers of groups over a block, with their blocks, as sorted arrays; pairs in visiting go to every block.
-    """
+def _texts(docs: DataFrame, nodes) -> DataFrame:
+    """(node, text): the whole texts, compressed, of the rows that may be nodes wanted; it takes a fifth of the room of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x, (big, into) = WordIds(), about.value, large
-        nodes, those, guests = wanted.value, pairs.value, visiting.value if visiting else None
+        those, pack = nodes.value, zstandard.ZstdCompressor(3).compress
         for batch in slices(batches):
-            out: list[tuple] = []
-            docs_ = batch.column(0).to_pylist()
-            asked = nodes.test(np.array([d or 0 for d in docs_], np.int64).view(np.uint64))
-            for i in np.flatnonzero(asked):
-                doc = docs_[i]
-                s = shingles(batch.column(1)[int(i)].as_py(), ids, x.n) if doc is not None else ()
-                if not len(s):
-                    continue
-                s = ordered(s, x.levels)
-                head = s[: prefix(len(s), x.percent)]
-                hashes = pair_hash(head, doc)
-                ok = those.test(hashes)
-                if not ok.any():
-                    continue
-                guest = guests.test(hashes) if guests else np.zeros(len(head), bool)
-                data = s.tobytes()
-                for number, h, g in zip(head[ok].tolist(), hashes[ok].tolist(), guest[ok].tolist()):
-                    at = int(np.searchsorted(big, np.uint64(number)))
-                    n = int(into[at]) if at < len(big) and int(big[at]) == number else 1
-                    own = h % n
-                    out.append((number, own, False, doc, data))
-                    if g and n > 1:
-                        out += [(number, b, True, doc, data) for b in range(n) if b != own]
-                    if len(out) >= 2000:
-                        yield _rows(out)
-                        out = []
-            if out:
-                yield _rows(out)
-
-    return docs.mapInArrow(run, "number long, block int, visits boolean, doc_id long, data binary")
-
-
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    number, block, visits, doc, data = zip(*out)
-    return pa.RecordBatch.from_arrays([pa.array(np.array(number, np.uint64).view(np.int64)), pa.array(block, pa.int32()), pa.array(visits, pa.bool_()), pa.array(doc, pa.int64()), pa.array(data, pa.binary())], ["number", "block", "visits", "doc_id", "data"])
-
-
-def _linked(sets: DataFrame, percent: int, parts: int) -> DataFrame:
+            ids = batch.column(0).to_pylist()
+            asked = [i for i, ok in enumerate(those.test(np.array([d or 0 for d in ids], np.int64).view(np.uint64))) if ok and ids[i] is not None]
+            if asked:
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in asked], pa.int64()), pa.array([pack(batch.column(1)[i].as_py() or b"") for i in asked], pa.binary())], ["node", "text"])
+
+    return docs.mapInArrow(run, "node long, text binary")
+
+
+def _linked(members: DataFrame, about, parts: int) -> DataFrame:
     """Links (a, b) found in each block. Rows stream through in order; a task holds one block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from itertools import groupby
 
+        x, unpack = about.value, zstandard.ZstdDecompressor().decompress
+
         def rows():
             for batch in slices(batches):
-                yield from zip(*(c.to_pylist() for c in batch.columns))
+                for at in range(0, batch.num_rows, 32):
+                    low, block, visits, doc, data = (c.to_pylist() for c in batch.slice(at, 32).columns)
+                    sets = shingles([unpack(d) for d in data], x.n)
+                    yield from zip(low, block, visits, doc, (ordered(s, x.levels) for s in sets))
 
         links: list[tuple[int, int]] = []
         for _, group in groupby(rows(), key=lambda r: r[:2]):
-            links += joined((r[2:] for r in group), percent)
+            links += joined((r[2:] for r in group), x.percent)
             if len(links) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
                 links = []
         if links:
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 
-    return sets.repartition(parts, "number", "block").sortWithinPartitions("number", "block", "visits").select("number", "block", "visits", "doc_id", "data").mapInArrow(run, "a long, b long")
-
-
-_UINT = "decimal(20,0)"
+    return members.repartition(parts, "low", "block").sortWithinPartitions("low", "block", "visits").select("low", "block", "visits", "node", "text").mapInArrow(run, "a long, b long")
 
 
 def similar(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -355,72 +294,48 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_i
     copies = written(rows.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")).where("copies > 1").select("set_id", "node"))
     nodes = written(rows.join(copies, "set_id", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node"), "n_shingles"))
 
-    # Numbers that two nodes or more hold; of those held by the same nodes, one.
+    # Numbers that two nodes or more hold; their groups, merged by the smallest node of each.
     w = Window.partitionBy("number")
     shared = written(_prefixes(docs, about).withColumn("holders", F.count("*").over(w)).where("holders > 1").select("number", "doc_id"))
-    held = shared.join(nodes.where("node is not null").select("doc_id", "node").distinct(), "doc_id").groupBy("number", "node").agg(F.lit(1).alias("one")).select("number", "node")
-    held = written(held)
-    groups = held.groupBy("number").agg(F.count("*").alias("holders"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"), F.min("node").alias("low"), F.max("node").alias("high"))
-    groups = groups.where("holders > 1").groupBy("holders", "who", "low", "high").agg(F.min("number").alias("number"))
-    groups = written(groups.select("number", "holders"))
+    known = nodes.where("node is not null")
+    held = shared.join(known.select("doc_id", "node").distinct(), "doc_id").select("number", "node", F.min("node").over(w).alias("low"), F.max("node").over(w).alias("high"))
+    groups = written(held.where("low <> high").groupBy("low", "node").agg(F.lit(1).alias("one")).select("low", "node"))
     drop(shared)
 
-    # The global order of a number is unsigned; its levels take six bits, so signed order would put the most crowded first.
-    order = F.col("number").bitwiseXOR(F.lit(-(1 << 63)))
-    members = written(held.join(groups, "number"))
-    drop(held)
-    first_two = members.withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy(order))).where("at <= 2").drop("at")
-    links = _joined_groups(docs, about, first_two, members.groupBy("number").agg(F.first("holders").alias("holders")), percent)
-    labels = written(components(links))
-
-    # Groups that still hold two components: all but the most frequent component visit every block.
-    left = members.join(labels, "node", "left").select("number", "node", "holders", F.coalesce("component", "node").alias("component"))
-    per = left.groupBy("number", "component").agg(F.count("*").alias("n"), F.first("holders").alias("holders"))
-    main = per.groupBy("number").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("kinds"), F.first("holders").alias("holders")).where("kinds > 1")
-    main = written(main)
-    open_ = left.drop("holders").join(main, "number").withColumn("visits", F.col("component") != F.col("main"))
-    more = _joined_groups(docs, about, open_.select("number", "node", "holders", "visits"), main, percent)
-    final = components(links.union(more).union(nodes.where("node is not null and node <> doc_id").select("doc_id", "node")))
+    # Sets of very different sizes can't be linked: a node without a neighbour in size in its group goes.
+    sizes = known.where("node = doc_id").groupBy("node").agg(F.max("n_shingles").alias("most"), F.min("n_shingles").alias("least"))
+    by_size = Window.partitionBy("low").orderBy("least", "node")
+    near = lambda small, large: small * 100 >= large * percent
+    kept = groups.join(sizes, "node").withColumns({"next": F.lead("least").over(by_size), "last": F.max("most").over(by_size.rowsBetween(Window.unboundedPreceding, -1))})
+    kept = kept.where(near(F.col("most"), F.col("next")) | near(F.col("last"), F.col("least")))
+    members = written(kept.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("low")) / F.lit(BLOCK_ROWS)).cast("int")).select("low", "node", "blocks"))
+    drop(groups)
+    own = F.pmod(F.xxhash64("low", "node"), "blocks").cast("int")
+    links = _joined_groups(docs, about, members.select("low", "node", own.alias("block"), F.lit(False).alias("visits")))
+    copied = known.where("node <> doc_id").select("doc_id", "node")
+
+    # Groups of several blocks that still hold two components: all but the most frequent component visit every block.
+    large = members.where("blocks > 1")
+    if not large.isEmpty():
+        left = large.join(written(components(links)), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        per = left.groupBy("low", "component").agg(F.count("*").alias("n"))
+        main = written(per.groupBy("low").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1"))
+        open_ = left.join(main, "low").withColumn("own", own)
+        every = F.when(F.col("component") == F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+        open_ = open_.select("low", "node", "own", F.explode(every).alias("block")).select("low", "node", "block", (F.col("block") != F.col("own")).alias("visits"))
+        links = links.union(_joined_groups(docs, about, open_))
+    final = components(links.union(copied))
     return nodes.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def _joined_groups(docs: DataFrame, about, pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Links found in the groups; pairs (number, node, holders[, visits]), groups (number, holders)."""
+def _joined_groups(docs: DataFrame, about, members: DataFrame) -> DataFrame:
+    """Links found in each block of members (low, node, block, visits)."""
     spark = docs.sparkSession
-    pairs = written(pairs)
-    many = pairs.count()
+    members = written(members)
+    many = members.count()
     if not many:
         return spark.createDataFrame([], "a long, b long")
-    # Groups above a block are few: at most their rows over BLOCK_ROWS. Numbers with their blocks, 12 bytes each.
-    big = groups.where(F.col("holders") > BLOCK_ROWS).select("number", F.ceil(F.col("holders") / BLOCK_ROWS).alias("blocks")).toPandas()
-    numbers = big["number"].to_numpy(np.int64).view(np.uint64) if len(big) else np.empty(0, np.uint64)
-    by = np.argsort(numbers)
-    large = (numbers[by], (big["blocks"].to_numpy(np.int64) if len(big) else np.empty(0, np.int64))[by])
-
-    rounds = max(1, -(-16 * many // (1 << FILTER_BITS)))
-    hashes = _pair_hashes(pairs)
-    out = None
-    for r in range(rounds):
-        part = hashes if rounds == 1 else hashes.where(F.pmod("node", F.lit(rounds)) == r)
-        bits = min(FILTER_BITS, max(20, int(np.ceil(np.log2(16 * max(1, many // rounds))))))
-        send = spark.sparkContext.broadcast
-        wanted, those = send(bloom_of(part.select("node"), bits)), send(bloom_of(part.select("hash"), bits))
-        guests = send(bloom_of(part.where("visits").select("hash"), bits)) if "visits" in pairs.columns and len(large[0]) else None
-        own = docs if rounds == 1 else docs.where(F.pmod("doc_id", F.lit(rounds)) == r)
-        sets = _sets(own, about, wanted, those, guests, large)
-        out = sets if out is None else out.union(sets)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions() if rounds > 1 else 1)
-    return written(_linked(out, percent, parts))
-
-
-def _pair_hashes(pairs: DataFrame) -> DataFrame:
-    visits = "visits" in pairs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            numbers, nodes = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-            with np.errstate(over="ignore"):
-                hashes = mix(numbers + mix(nodes) * np.uint64(MULTIPLIER))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(hashes.view(np.int64)), batch.column(2)], ["node", "hash", "visits"])
-
-    return pairs.select("number", "node", F.col("visits") if visits else F.lit(False).alias("visits")).mapInArrow(run, "node long, hash long, visits boolean")
+    bits = min(FILTER_BITS, max(20, int(np.ceil(np.log2(16 * many)))))
+    wanted = spark.sparkContext.broadcast(bloom_of(members.select("node"), bits))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), many // 50_000)
+    return written(_linked(_texts(docs, wanted).join(members, "node"), about, parts))
