@@ -18,129 +18,130 @@ versions may match. Empty tables give an empty result; other columns aren't look
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_of, mix, slices
+from .common import bloom_of, slices
+from .words import Words, groups, windows
 
-NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th)?")
 # Words that stand for numbers, and units.
-NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half twice".split())
-UNITS = frozenset("mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons tonne tonnes pound pounds ounce ounces ml l liter liters litre litres gallon gallons cup cups second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degree degrees kph mph watt watts volt volts joule joules newton newtons meter meters metre metres centimeter centimeters kilometer kilometers".split())
-EDGES = "\"'`.,;:!?()[]{}<>«»„“”‘’…¿¡*"
-ENDS = (".", "!", "?", "…", ":")
+NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half twice".split()
+UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons tonne tonnes pound pounds ounce ounces ml l liter liters litre litres gallon gallons cup cups second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degree degrees kph mph watt watts volt volts joule joules newton newtons meter meters metre metres centimeter centimeters kilometer kilometers".split()
 LITERAL, NUM, NAME, UNIT = range(4)
-MARKS = {NUM: "\0num", NAME: "\0name", UNIT: "\0unit"}
-
-
-def classify(word: str) -> tuple[str, int, int]:
-    """The bare word, its kind within a sentence, and its kind at the start of one."""
-    bare = word.strip(EDGES)
-    low = bare.lower()
-    if not bare:
-        return "", LITERAL, LITERAL
-    if NUMBER.fullmatch(bare) or low in NUMBER_WORDS:
-        return low, NUM, NUM
-    if low in UNITS:
-        return low, UNIT, UNIT
-    if bare[0].isupper():
-        return low, NAME, LITERAL
-    return low, LITERAL, LITERAL
-
-
-def _hash(s: str) -> int:
-    return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"))
-
-
-class Lexicon:
-    """Words seen, with their template hashes within and at the start of a sentence; forgotten when `room` are held."""
-
-    def __init__(self, room: int = 400_000):
-        self.room = room
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.words: list[tuple[str, int, int]] = []
-        self.inner, self.first = np.zeros(self.room, np.uint64), np.zeros(self.room, np.uint64)
-        self.ends, self.bare = np.zeros(self.room, bool), np.zeros(self.room, bool)
-
-    def ids(self, words: list[str]) -> np.ndarray:
-        place = self.place
-        new = {w for w in words if w not in place}
-        if len(place) + len(new) > self.room:
-            self.room = max(self.room, 2 * len(set(words)))
-            self.clear()
-            place, new = self.place, set(words)
-        for w in new:
-            i = place[w] = len(self.words)
-            low, inner, first = classify(w)
-            self.words.append((low, inner, first))
-            self.inner[i], self.first[i] = (_hash(MARKS.get(k, low)) for k in (inner, first))
-            self.ends[i], self.bare[i] = w.rstrip("\"')]»”").endswith(ENDS), bool(low)
-        return np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-
-
-def template(text: str | None, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word ids, which begin a sentence, and the template hashes of a whole text; words of punctuation alone are left out."""
-    ids = lexicon.ids((text or "").split())
-    starts = np.ones(len(ids), bool)
-    starts[1:] = lexicon.ends[ids[:-1]]
-    keep = lexicon.bare[ids]
-    ids, starts = ids[keep], starts[keep]
-    return ids, starts, np.where(starts, lexicon.first[ids], lexicon.inner[ids])
-
-
-def windows(hashes: np.ndarray, width: int) -> np.ndarray:
-    """The hashes of all windows of so many words."""
-    if len(hashes) < width or not width:
-        return np.empty(0, np.uint64)
-    out = np.full(len(hashes) - width + 1, width, np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(width):
-            out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + len(out)]
-    return mix(out)
-
-
-def slots(ids: np.ndarray, starts: np.ndarray, lexicon: Lexicon) -> list[str]:
-    """What the placeholders of a window stand for, each led by its place and kind."""
-    out = []
-    for j, (i, s) in enumerate(zip(ids.tolist(), starts.tolist())):
-        low, inner, first = lexicon.words[i]
-        if kind := first if s else inner:
-            out.append(f"{j}:{kind}:{low}")
+MARKS = np.array([0, 0x1D5C3A7E9B24F681, 0x2E6B4F8D1C35A792, 0x3F7A5E9C2D46B8A3], np.uint64)
+
+
+def _bytes(s: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(s)] = True
     return out
 
 
+_EDGE, _END, _DIGIT, _NUMERIC = _bytes(b"\"'`.,;:!?()[]{}<>*"), _bytes(b".!?:"), _bytes(b"0123456789"), _bytes(b"0123456789.,:/%+-$")
+
+
+def _counted(mask: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(mask) + 1, np.int32)
+    np.cumsum(mask, out=out[1:])
+    return out
+
+
+def _fixed(words: list[str]) -> np.ndarray:
+    w = Words([" ".join(words).encode()])
+    return np.sort(w.hashes(w.starts, w.ends))
+
+
+_FIXED: dict[str, np.ndarray] = {}
+
+
+def _among(h: np.ndarray, name: str, words: list[str]) -> np.ndarray:
+    if name not in _FIXED:
+        _FIXED[name] = _fixed(words)
+    known = _FIXED[name]
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
+class Templates(Words):
+    """The template words of several whole texts: hashes h, kinds, byte bounds a and b, and where each text's words begin (first).
+
+    Letters are those of ASCII and Latin-1 where case matters. Words of punctuation alone are left out.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        super().__init__(texts)
+        x = self.bytes
+        low = x.copy()
+        low[(x >= 65) & (x <= 90)] += 32
+        edge, end, upper = _EDGE[x], _END[x], (x >= 65) & (x <= 90)
+        if len(x) > 2:
+            latin = (x[:-1] == 0xC3) & (x[1:] >= 0x80) & (x[1:] <= 0x9E) & (x[1:] != 0x97)
+            low[1:][latin] += 32
+            upper[:-1] |= latin
+            two = np.flatnonzero((x[:-1] == 0xC2) & ((x[1:] == 0xAB) | (x[1:] == 0xBB) | (x[1:] == 0xBF) | (x[1:] == 0xA1)))  # « » ¿ ¡
+            three = np.flatnonzero((x[:-2] == 0xE2) & (x[1:-1] == 0x80) & (x[2:] >= 0x98))  # quotes, dots, bullets
+            for at, n in ((two, 2), (three, 3)):
+                for j in range(n):
+                    edge[at + j] = True
+            end[three[x[three + 2] == 0xA6]] = True  # …
+        self.bytes, self.low = low, low
+        inside = ~edge
+        inside[x <= 32] &= ~np.isin(x[x <= 32], [9, 10, 11, 12, 13, 32])
+        core = _counted(inside)
+        at = np.append(np.flatnonzero(inside), len(x))
+        ends_sentence = _counted(end)
+        has = core[self.ends] > core[self.starts]
+        a = at[np.minimum(core[self.starts], len(at) - 1)]
+        b = np.where(has, at[np.maximum(core[self.ends] - 1, 0)] + 1, self.starts)
+        stop = ends_sentence[self.ends] > ends_sentence[b]
+        begins = np.ones(len(stop), bool)
+        begins[1:] = stop[:-1]
+        begins[self.first[:-1][self.first[:-1] < len(begins)]] = True
+        kept = _counted(has)
+        a, b, begins = a[has], b[has], begins[has]
+        self.first = kept[self.first]
+        h = self.hashes(a, b)
+        digits, numeric = _counted(_DIGIT[x]), _counted(_NUMERIC[x])
+        nd, rest = digits[b] - digits[a], (b - a) - (numeric[b] - numeric[a])
+        number = (nd > 0) & (rest <= 2) & (_NUMERIC[x[a]] if len(a) else nd > 0) | _among(h, "number", NUMBER_WORDS)
+        unit = _among(h, "unit", UNITS)
+        name = (upper[a] if len(a) else nd > 0) & ~begins
+        self.kinds = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, LITERAL)))
+        self.h = np.where(self.kinds == LITERAL, h, MARKS[self.kinds])
+        self.a, self.b = a, b
+
+    def slots(self, at: int, wide: int) -> list[str]:
+        """What the placeholders of a window stand for, each led by its place and kind."""
+        kinds = self.kinds[at : at + wide]
+        return [f"{j}:{kinds[j]}:{self.low[self.a[at + j] : self.b[at + j]].tobytes().decode('utf-8', 'replace')}" for j in np.flatnonzero(kinds).tolist()]
+
+
 _SCHEMA = "id long, hash long, slots array<string>, literal boolean, wide int, total int"
 
 
 def _item_windows(benchmark: DataFrame, width: int, id_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(50_000)
         for batch in slices(batches):
-            out = []
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids, starts, h = template(text, lexicon)
-                wide = min(width, len(h))
-                own = []
-                for at, x in enumerate(windows(h, wide).view(np.int64).tolist()):
-                    s = slots(ids[at : at + wide], starts[at : at + wide], lexicon)
-                    own.append((x, s, len(s) < wide))
-                some = any(o[2] for o in own)
-                own = [o for o in own if o[2] or not some]
-                out += [(id_, *o, wide, len({(o[0], *o[1]) for o in own})) for o in own]
+            out, names = [], batch.column(0).to_pylist()
+            for first, group in groups(batch.column(1).to_pylist()):
+                t = Templates(group)
+                for i, (a, b) in enumerate(zip(t.first[:-1].tolist(), t.first[1:].tolist())):
+                    wide = min(width, b - a)
+                    own = []
+                    for at, x in enumerate(windows(t.h[a:b], wide).view(np.int64).tolist()):
+                        s = t.slots(a + at, wide)
+                        own.append((x, s, len(s) < wide))
+                    some = any(o[2] for o in own)
+                    own = [o for o in own if o[2] or not some]
+                    out += [(names[first + i], *o, wide, len({(o[0], *o[1]) for o in own})) for o in own]
             if out:
                 yield pa.RecordBatch.from_pylist([dict(zip(("id", "hash", "slots", "literal", "wide", "total"), o)) for o in out], pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.string())), ("literal", pa.bool_()), ("wide", pa.int32()), ("total", pa.int32())]))
 
-    own = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
+    own = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").cast("binary").alias("text")).where("id is not null")
     return own.mapInArrow(run, _SCHEMA)
 
 
@@ -148,19 +149,19 @@ def _document_windows(docs: DataFrame, widths: list[int], wanted) -> DataFrame:
     """Windows that pass the filter, once a document with the same slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, those = Lexicon(), wanted.value
+        those = wanted.value
         for batch in slices(batches):
-            out = []
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids, starts, h = template(text, lexicon)
-                seen = set()
+            found, names = set(), batch.column(0).to_pylist()
+            for first, group in groups(batch.column(1).to_pylist()):
+                t = Templates(group)
                 for wide in widths:
-                    own = windows(h, wide)
-                    for at in np.flatnonzero(those.test(own)).tolist() if len(own) else ():
-                        row = (int(own[at : at + 1].view(np.int64)[0]), *slots(ids[at : at + wide], starts[at : at + wide], lexicon))
-                        if row not in seen:
-                            seen.add(row)
-                            out.append((id_, row[0], list(row[1:])))
+                    own = windows(t.h, wide)
+                    at = np.flatnonzero(those.test(own)) if len(own) else np.empty(0, np.int64)
+                    text = np.searchsorted(t.first, at, "right") - 1
+                    whole = at + wide <= t.first[np.minimum(text + 1, len(t.first) - 1)]
+                    for j, i in zip(at[whole].tolist(), text[whole].tolist()):
+                        found.add((names[first + i], int(own[j : j + 1].view(np.int64)[0]), *t.slots(j, wide)))
+            out = [(f[0], f[1], list(f[2:])) for f in found]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.string()))], ["doc_id", "hash", "values"])
 
@@ -185,7 +186,7 @@ def consistent(matches: list[tuple[int, list[str], list[str]]]) -> tuple[int, bo
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, share: float = 0.5, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
     """(doc_id, item_id, windows, matched, reparameterised) of every document and item of which at least `share` of the item's windows match."""
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).where("doc_id is not null")
     items = _item_windows(benchmark, width, item_col)
     widths = sorted(r[0] for r in items.select("wide").distinct().collect())  # `width` values at most
     many = items.count()
