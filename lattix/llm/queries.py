@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, ngram_join, secret_scan, sharding, topk_search, toxicity
+from . import bestfit_packing, chat_format, decontaminate, html_extract, ngram_join, secret_scan, sharding, token_counts, topk_search, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,14 +25,34 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's count before and after three edits at places that its id and length give: a word put in, a stretch taken out, one replaced."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.length(F.coalesce("text", F.lit("")))
+    at = lambda i: F.pmod(F.xxhash64("doc_id", F.lit(i)), n + 1).cast("int").alias("at")
+    edit = lambda i, removed, inserted: F.struct(at(i), F.lit(removed).alias("removed"), F.lit(inserted).alias("inserted"))
+    return token_counts.counts(docs.withColumn("edits", F.array(edit(0, 0, " amended"), edit(1, 40, ""), edit(2, 12, "it's 2 words"))))
+
+
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(_table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op5_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit_packing.pack(_table(spark, sf_dir, "documents"), capacity=2048)
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(_table(spark, sf_dir, "documents"), n=5, percent=80)
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "\\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], own.schema)
+    return chat_format.read_back(chat_format.formatted(own.union(added)))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -46,8 +66,14 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"pipeline": pipeline}
 
 
 ORACLE_SQL: dict[str, str] = {}
