@@ -134,18 +134,48 @@ def bloom_of(hashes: DataFrame, bits: int) -> Bloom:
     return Bloom((got if len(got) else np.zeros((1 << bits) // 8, np.uint8)).tobytes(), bits)
 
 
+#: Links that one task joins by itself, in some hundred MB.
+ONE_TASK_LINKS = 1_000_000
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """The components of at most ONE_TASK_LINKS links, by union-find in one task's stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            up.setdefault(x, x)
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = find(a), find(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([find(x) for x in up], pa.int64())], ["node", "component"])
+
+    return edges.coalesce(1).mapInArrow(run, "node long, component long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in edges (a, b), component the smallest node reachable.
 
-    Alternates the two star contractions (every neighbour, then every smaller one, is hung on the smallest); each
-    round is a window minimum per node, spilled and never gathered, and ends as a written table. Stops when a round
-    changes nothing.
+    Up to ONE_TASK_LINKS links, counted first, are joined in one task. More are contracted by alternating stars (every
+    neighbour, then every smaller one, is hung on the smallest); each round is a window minimum per node, spilled and
+    never gathered, and ends as a written table. Stops when a round changes nothing. Both give the same result.
     """
     from pyspark.sql import Window
 
     spread = lambda e: e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    edges = written(edges.select("a", "b"))
+    if edges.count() <= ONE_TASK_LINKS:
+        return _joined(edges)
     e = written(spread(edges))
+    drop(edges)
     seen = mark(e)
     while seen[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))

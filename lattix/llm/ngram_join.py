@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import bloom_of, components, drop, merged_sketch, mix, sketch_rows, slices, written
 from .words import shingles
 
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 #: Rows of a group that one task stores.
 BLOCK_ROWS = 1024
 #: The filter takes 16 bits an entry, from 2**20 to 2**30 in all.
@@ -213,11 +213,11 @@ def _identities(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
-    """How crowded each cell is against the mean, in half octaves."""
+    """How crowded each cell is against the mean, in quarter octaves."""
     if not len(counts):
         return np.zeros(1 << SKETCH_BITS, np.uint8)
     over = counts / max(1.0, float(counts.mean()))
-    return np.clip(np.floor(2 * np.log2(np.maximum(over, 1))), 0, 63).astype(np.uint8)
+    return np.clip(np.floor(4 * np.log2(np.maximum(over, 1))), 0, 63).astype(np.uint8)
 
 
 def _prefixes(docs: DataFrame, about) -> DataFrame:
@@ -324,7 +324,7 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_i
         every = F.when(F.col("component") == F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
         open_ = open_.select("low", "node", "own", F.explode(every).alias("block")).select("low", "node", "block", (F.col("block") != F.col("own")).alias("visits"))
         links = links.union(_joined_groups(docs, about, open_))
-    final = components(links.union(copied))
+    final = components(links.union(copied).toDF("a", "b"))
     return nodes.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 

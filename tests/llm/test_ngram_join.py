@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from lattix.llm import ngram_join
+from lattix.llm import common, ngram_join
 
 from . import brute
 
@@ -32,8 +32,9 @@ def test_same_as_comparing_all_pairs(spark, seed):
     check(spark, rows)
 
 
-def test_blocks(spark, monkeypatch):
+def test_blocks_and_stars(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(common, "ONE_TASK_LINKS", 0)
     rng = random.Random(3)
     base = [str(rng.randrange(999)) for _ in range(60)]
     check(spark, [(i, " ".join(edited(rng, base, 0.02))) for i in range(120)])
