@@ -2,12 +2,13 @@
 
 A document's set holds its distinct n-word shingles as 64-bit numbers in one global order: shingles that fill crowded
 cells of a count sketch over the whole corpus come last, ties by hash. Two sets with a Jaccard similarity of at least t
-share one of the first n - ceil(t n) + 1 numbers of each (their prefixes), so:
+share one of the first n - ceil(t n) + 1 numbers of each, and k of the first n - ceil(t n) + k (their prefixes; k here is
+1 and a tenth of n), so:
 
 1. One pass over the texts gives each row its set's identity and size, and the sketch. Rows with one set (copies) become
    one node, the smallest id.
-2. A second pass sends out (number, id) for the prefixes. Numbers held by one node alone are dropped; the holders of the
-   others are groups, those with the same smallest node one group. Nodes with no other of a fitting size in their group go.
+2. A second pass sends out (number, id) for the prefixes. Numbers held by one node alone are dropped, and so are nodes
+   left with fewer numbers than a similar set would share with them; the holders of the numbers left are groups, those with the same smallest node one group. Nodes with no other of a fitting size in their group go.
 3. Each group is joined locally: its sets are stored in a path-compressed trie, a probe walks down the trie carrying the
    overlap so far, so documents that begin alike share that work, and a subtree is left where the lengths that remain
    can't reach the overlap needed. Subtrees already connected to the probe are left too (union-find), so a group of
@@ -41,6 +42,8 @@ from .words import shingles
 SKETCH_BITS = 22
 #: Rows of a group that one task stores.
 BLOCK_ROWS = 1024
+#: Percent of a set's size by which its prefix is longer than one shared number needs; similar sets then share so many more.
+EXTRA = 10
 #: The filter takes 16 bits an entry, from 2**20 to 2**30 in all.
 FILTER_BITS = 30
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -56,7 +59,12 @@ def ordered(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 def prefix(size: int, percent: int) -> int:
-    return size - -(-percent * size // 100) + 1
+    """How many of a set's first numbers are sent: two similar sets share as many there as the smaller one's `share`."""
+    return size - -(-percent * size // 100) + share(size)
+
+
+def share(size: int) -> int:
+    return 1 + size * EXTRA // 100
 
 
 class Links:
@@ -298,7 +306,10 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_i
     w = Window.partitionBy("number")
     shared = written(_prefixes(docs, about).withColumn("holders", F.count("*").over(w)).where("holders > 1").select("number", "doc_id"))
     known = nodes.where("node is not null")
-    held = shared.join(known.select("doc_id", "node").distinct(), "doc_id").select("number", "node", F.min("node").over(w).alias("low"), F.max("node").over(w).alias("high"))
+    # A set similar to another shares at least as many prefix numbers as the smallest set that can be similar to it has to.
+    least = F.expr(f"((n_shingles * {percent} + 99) div 100 * {EXTRA}) div 100 + 1")
+    held = shared.join(known.distinct(), "doc_id").withColumn("common", F.count("*").over(Window.partitionBy("doc_id", "node", "n_shingles"))).where(F.col("common") >= least)
+    held = held.select("number", "node", F.min("node").over(w).alias("low"), F.max("node").over(w).alias("high"))
     groups = written(held.where("low <> high").groupBy("low", "node").agg(F.lit(1).alias("one")).select("low", "node"))
     drop(shared)
 
