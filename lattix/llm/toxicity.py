@@ -78,12 +78,13 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _fit(lists: list[np.ndarray], y: np.ndarray, n: int, width: int, epochs: int, rate: float, shrink: float, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
+def _fit(lists: list[np.ndarray], y: np.ndarray, n: int, width: int, epochs: int, rate: float, shrink: float, seed: int, steps: int = 800) -> tuple[float, np.ndarray, np.ndarray]:
+    """Adam over mini-batches, for so many epochs and `steps` steps at least."""
     rng = np.random.default_rng(seed)
     theta = np.concatenate([np.zeros((n, 1)), rng.normal(0, 0.01, (n, width))], 1)
     p = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     bias, m, s, mb, sb, step = np.log(p / (1 - p)), np.zeros_like(theta), np.zeros_like(theta), 0.0, 0.0, 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-steps // max(1, len(y) // 256)))):
         for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // 256)):
             own = [lists[r] for r in rows]
             sizes = np.array([len(x) for x in own])
