@@ -28,7 +28,8 @@ def first_match(text: str | None, query: str, error_rate: float = 0.1, start: in
 
 def all_matches(text: str | None, query: str, error_rate: float = 0.1, least: int = 0) -> list[tuple]:
     """Matches that don't overlap: those with the fewest errors first, then more in what lies between."""
-    out, open_ = [], [(0, len(text or ""))]
+    text = text or ""
+    out, open_ = [], [(0, len(text))]
     for e in range(least, int(len(query) * error_rate) + 1):
         rest = []
         for lo, hi in open_:

@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0)
-
 
 def cluster_summary(records: DataFrame, labels: DataFrame, features: DataFrame) -> DataFrame:
     """(label, ft_id, avg_expr, prop_expr, score) of every cluster and feature.
@@ -22,7 +20,7 @@ def cluster_summary(records: DataFrame, labels: DataFrame, features: DataFrame)
     stats = records.join(labels, "bc_id").groupBy("label", "ft_id").agg(F.sum(v).alias("s"), F.count_if(v > 0).alias("k"))
     per_label = features.select("ft_id").join(F.broadcast(sizes))  # a row for each label, joined to every feature
     grid = per_label.join(stats, ["label", "ft_id"], "left")
-    avg = F.when(F.col("k") > 0, F.col("s") / F.col("k")).otherwise(ZERO)
+    avg = F.when(F.col("k") > 0, F.col("s") / F.col("k")).otherwise(F.lit(0.0))
     prop = F.coalesce(F.col("k"), F.lit(0)) / F.col("n").cast("double")
     return grid.select("label", "ft_id", avg.alias("avg_expr"), prop.alias("prop_expr"), (avg * prop).alias("score"))
 

@@ -112,10 +112,10 @@ def long_table(matrix: CountMatrix, layer: str = "raw") -> DataFrame:
 
 
 def _write_lines(lines: DataFrame, folder: str, name: str) -> None:
-    """One gzip file of the lines in order: a folder of one part, moved to its name."""
+    """One gzip file of the lines by (_a, _b): a folder of one part, sorted in its one task, moved to its name."""
     spark = lines.sparkSession
     temp = f"{folder}/.{name}.parts"
-    lines.coalesce(1).write.mode("overwrite").option("compression", "gzip").text(temp)
+    lines.repartition(1).sortWithinPartitions("_a", "_b").select("line").write.mode("overwrite").option("compression", "gzip").text(temp)
     p, fs = _fs(spark, temp)
     part = next(s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("part-"))
     target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
@@ -133,11 +133,14 @@ def write(matrix: CountMatrix, folder: str, layer: str = "raw", whole: bool | No
         records = records.withColumn("value", F.col("value").cast("long"))
     head = f"%%MatrixMarket matrix coordinate {'integer' if is_whole else 'real'} general\n%\n{matrix.features.count()} {matrix.barcodes.count()} {records.count()}"
     spark = records.sparkSession
-    body = layout.as_text(layout.ordered(records, by_feature=False))
-    _write_lines(spark.createDataFrame([(x,) for x in head.split("\n")], "line string").coalesce(1).union(body), folder, "matrix.mtx.gz")
-    _write_lines(matrix.barcodes.orderBy("bc_id").select(F.col("barcode").alias("line")), folder, "barcodes.tsv.gz")
+    line = F.concat_ws(" ", (F.col("ft_id") + 1).cast("string"), (F.col("bc_id") + 1).cast("string"), F.col("value").cast("string"))
+    body = records.select(F.col("bc_id").alias("_a"), F.col("ft_id").alias("_b"), line.alias("line"))
+    top = spark.createDataFrame([(-1, i, x) for i, x in enumerate(head.split("\n"))], "_a long, _b long, line string")
+    _write_lines(top.union(body), folder, "matrix.mtx.gz")
+    one = lambda axis, key, text: axis.select(F.col(key).alias("_a"), F.lit(0).alias("_b"), text.alias("line"))
+    _write_lines(one(matrix.barcodes, "bc_id", F.col("barcode")), folder, "barcodes.tsv.gz")
     cols = [F.coalesce(F.col(c).cast("string"), F.lit("")) if c in matrix.features.columns else F.lit("Gene Expression") for c in FEATURE]
-    _write_lines(matrix.features.orderBy("ft_id").select(F.concat_ws("\t", *cols).alias("line")), folder, "features.tsv.gz")
+    _write_lines(one(matrix.features, "ft_id", F.concat_ws("\t", *cols)), folder, "features.tsv.gz")
 
 
 def from_long_table(counts: DataFrame, by_records: bool = False) -> CountMatrix:
