@@ -177,7 +177,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     # Equal lengths are told apart by the id's hash, so that a frequent vector fills several buckets.
     ranged = rows.withColumn("block", F.lit(0).cast("long")).repartitionByRange(max(1, count), F.col("dim"), F.col("norm").desc(), F.xxhash64("id", "x"))
     buckets = written(_packed(ranged.sortWithinPartitions("dim", F.col("norm").desc()), BUCKET))
-    seeds = [r.top for r in buckets.select("top").orderBy(F.desc("top")).limit(SEEDS).collect()]
+    which = F.xxhash64("dim", "ids")
+    seeds = [r.which for r in buckets.select("top", which.alias("which")).orderBy(F.desc("top"), "which").limit(SEEDS).collect()]
     blocks = -(-n_asked // QUERIES)
     queries = written(asked.withColumns({"key": F.monotonically_increasing_id(), "block": F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)).cast("long")}))
 
@@ -209,7 +210,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
 
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     best = lambda found: found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
-    longest = F.col("top") >= F.lit(min(seeds))
+    longest = which.isin(seeds)
     first = written(_met(blocked(queries.withColumn("least", F.lit(float("-inf")))), buckets.where(longest), blocks, parts, k))
     known = best(first).groupBy("query").agg(F.min("score").alias("low"), F.count("*").alias("n")).where(F.col("n") == k).select(F.col("query").alias("key"), F.col("low").cast("double").alias("least"))
     told = queries.join(known, "key", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
