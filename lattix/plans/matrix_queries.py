@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strings
-from ..operators import clusters, filtering, identity, layout, summary
+from ..operators import clusters, extras, filtering, identity, layout, summary
 from ..sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -383,10 +383,10 @@ def q_summarize_udf(spark, d):
     return m.ft.meta("raw_top", "raw_mid").where("raw_top is not null").select("ft_id", r("raw_top"), r("raw_mid"))
 
 
-@query(f"WITH {SP} SELECT ft_id, bc_id, round(value / sum(value) OVER (PARTITION BY bc_id), 9) AS value FROM m")
+@query(f"WITH {SP} SELECT ft_id, bc_id, round(value / sum(value) OVER (PARTITION BY bc_id), 7) AS value FROM m")
 def q_apply_udf(spark, d):
     m = tables.suppliers_by_parts(spark, d).applied("raw", "share", by="barcode", entry=lambda entry, others, values: (others, values / values.sum()))
-    return m.layers["share"].select("ft_id", "bc_id", r("value", 9))
+    return m.layers["share"].select("ft_id", "bc_id", r("value", 7))
 
 
 # Clusters and markers
@@ -613,6 +613,41 @@ def q_fuzzy_search(spark, d):
     return x.select("doc_id", "h.start", "h.stop", "h.matched", "h.num_errors")
 
 
+@query()
+def q_fuzzy_search_all(spark, d):
+    from ..functions import fuzzy
+
+    x = tables.table(spark, d, "documents").select("doc_id", F.explode(fuzzy.search_all("the and attion", 0.1)(F.col("text"))).alias("h"))
+    return x.select("doc_id", "h.start", "h.stop", "h.matched", "h.num_errors")
+
+
+@query("WITH s AS (SELECT l_orderkey, sum(length(l_partkey || ' ' || l_suppkey) + 1) AS n FROM lineitem GROUP BY 1) SELECT l_orderkey, CAST(sum(n) OVER (ORDER BY l_orderkey) - n AS BIGINT) AS start, CAST(sum(n) OVER (ORDER BY l_orderkey) AS BIGINT) AS stop FROM s")
+def q_byte_index(spark, d):
+    x = tables.table(spark, d, "lineitem").select("l_orderkey", F.concat_ws(" ", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("line"))
+    return extras.byte_index(x, "l_orderkey")
+
+
+@query("SELECT c_mktsegment, max(row_number) - 1 AS position FROM (SELECT c_mktsegment, row_number() OVER (ORDER BY c_custkey) AS row_number FROM customer) GROUP BY 1")
+def q_dictionary(spark, d):
+    return extras.dictionary(tables.table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", "c_mktsegment")
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN c_mktsegment END AS c_mktsegment_BUILDING, CASE WHEN c_mktsegment = 'MACHINERY' THEN c_mktsegment END AS c_mktsegment_MACHINERY FROM customer")
+def q_one_hot(spark, d):
+    return extras.one_hot(tables.table(spark, d, "customer"), "c_custkey", "c_mktsegment", ["BUILDING", "MACHINERY"])
+
+
+@query("SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1")
+def q_chunked_function(spark, d):
+    x = extras.in_chunks(tables.table(spark, d, "supplier").select("s_nationkey"), 3, lambda pdf: pdf.groupby("s_nationkey").size().reset_index(name="n"), "s_nationkey int, n long")
+    return x.groupBy("s_nationkey").agg(F.sum("n").alias("n"))
+
+
+@query()
+def q_recipe(spark, d):
+    return extras.recipe(tables.suppliers_by_parts(spark, d), min_genes=20, n_variable=100, components=5)["pca"].select("bc_id", F.transform("X_pca", lambda x: F.round(x, 6)).alias("X_pca"))
+
+
 # Embeddings, simulation, streams
 
 

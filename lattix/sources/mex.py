@@ -211,6 +211,32 @@ def read_hdf5(spark: SparkSession, path: str, batch: int = 1_000_000) -> CountMa
     return CountMatrix(bc, ft, {"raw": records})
 
 
+def write_hdf5(matrix: CountMatrix, path: str, layer: str = "raw", genome: str = "unknown") -> None:
+    """A compressed-column HDF5 file, where h5py is installed; Spark sorts and counts, the driver streams the columns to disk."""
+    try:
+        import h5py
+    except ImportError as e:
+        raise RuntimeError("writing HDF5 needs h5py, which isn't installed") from e
+    import numpy as np
+
+    records = layout.whole_counts(matrix.layers[layer])
+    pointers = [r.pointer for r in layout.indptr(records, matrix.barcodes, "bc_id").orderBy("position").toLocalIterator()]
+    with h5py.File(path, "w") as f:
+        g = f.create_group("matrix")
+        text = lambda df, c, key: np.array([(r[0] or "").encode("ascii", "ignore") for r in df.orderBy(key).select(c).toLocalIterator()], dtype="S")
+        g["barcodes"], g["indptr"], g["shape"] = text(matrix.barcodes, "barcode", "bc_id"), pointers, [matrix.features.count(), matrix.barcodes.count()]
+        fts = g.create_group("features")
+        for name, c in (("id", "id_feature"), ("name", "feature"), ("feature_type", "feature_type")):
+            fts[name] = text(matrix.features, c, "ft_id")
+        fts["genome"] = np.array([genome.encode()] * matrix.features.count(), dtype="S")
+        n = pointers[-1] if pointers else 0
+        data, indices = g.create_dataset("data", (n,), "i8"), g.create_dataset("indices", (n,), "i8")
+        at = 0
+        for r in layout.ordered(records, by_feature=False).toLocalIterator():
+            data[at], indices[at] = r.value, r.ft_id
+            at += 1
+
+
 def remote(path: Column) -> Column:
     from ..functions.strings import is_remote_url
 

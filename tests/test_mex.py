@@ -82,3 +82,21 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("totals"), "n", "total") == rows(running.windowed_totals(df), "n", "total")
+
+
+def test_extras(spark, tmp_path):
+    from lattix.operators import extras
+
+    kv = extras.KeyValues(spark, str(tmp_path / "kv"))
+    kv["a"] = {"x": 1}
+    kv["b"] = 2
+    del kv["b"]
+    assert kv["a"] == {"x": 1} and kv["b"] is None and kv["c"] is None and kv.keys() == {"a"}
+    over = extras.KeyValues(spark, str(tmp_path / "kv"), str(tmp_path / "mine"))
+    over["a"] = 5
+    assert over["a"] == 5 and kv["a"] == {"x": 1}
+    assert extras.is_mask([True, False, True]) and not extras.is_mask([0, 1]) and not extras.is_mask([0, 1, 2])
+    assert rows(extras.as_mask(spark, [0, 1])) == [(0, False), (1, True)]
+    extras.split_records(spark.range(25), str(tmp_path / "split"), 10)
+    assert spark.read.parquet(str(tmp_path / "split")).count() == 25
+    assert extras.as_json(spark.range(1)).first().json == '{"id":0}'
