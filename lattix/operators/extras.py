@@ -100,8 +100,8 @@ class KeyValues:
         self[key] = None
 
 
-def recipe(matrix, min_genes: int = 200, min_cells: int = 3, prefix: str = "MT-", target: float = 10_000, n_variable: int = 2000, most: float = 10.0, components: int = 40, k: int = 10) -> dict[str, DataFrame]:
-    """The usual processing: cells and features that pass, shares of prefixed features, natural-log normal values, the most variable features scaled and capped, their components and k-means clusters."""
+def recipe(matrix, min_genes: int = 200, min_cells: int = 3, prefix: str = "MT-", target: float = 10_000, n_variable: int = 2000, most: float = 10.0, components: int = 40) -> dict[str, DataFrame]:
+    """The usual processing: cells and features that pass, shares of prefixed features, natural-log normal values, the most variable features scaled and capped, and their components (for embed.neighbours and embed.kmeans)."""
     raw = matrix.layers["raw"]
     cells = raw.groupBy("bc_id").agg(F.count("*").alias("n_genes"), F.sum("value").alias("total")).where(F.col("n_genes") >= min_genes)
     kept = raw.join(cells.select("bc_id"), "bc_id", "left_semi")
@@ -111,12 +111,12 @@ def recipe(matrix, min_genes: int = 200, min_cells: int = 3, prefix: str = "MT-"
     quality = kept.join(marked, "ft_id", "left").groupBy("bc_id").agg(F.count("*").alias("n_genes"), F.sum("value").alias("total"), (F.coalesce(F.sum(F.when(F.col("marked"), F.col("value"))), F.lit(0)) / F.sum("value") * 100).alias("percent_marked"))
     n = max(2, cells.count())
     log = summary.normalized(kept, target).withColumn("value", F.log1p("value"))
-    variable = summary.most_variable(summary.moments(kept, n, target), n_variable).select("ft_id")
+    variable = summary.most_variable(summary.moments(kept, n, target), n_variable).select("ft_id").persist()
     ids = renumbered(variable, "ft_id", "nth")
     scaled = summary.scaled(log.join(variable, "ft_id", "left_semi"), n, most)
     ids = ids.persist()
     width = ids.count()
     # Fitting passes over the vectors again and again.
     rows = embed.vectors(scaled.join(ids, "ft_id").select(F.col("nth").alias("ft_id"), "bc_id", "value"), width).persist()
-    pca = embed.apply_pca(embed.train_pca(rows, min(components, width)), rows).persist()
-    return {"quality": quality, "layer": scaled, "pca": pca, "clusters": embed.kmeans(pca, k).select("bc_id", "cluster")}
+    pca = embed.apply_pca(embed.train_pca(rows, min(components, width)), rows)
+    return {"quality": quality, "layer": scaled, "pca": pca}
