@@ -9,10 +9,11 @@ optional groups (found on one side only; both, where each side has its own); tex
 
 Slots are judged by where the wrapper has them: those within menus, headers, footers, side bars, notices, adverts, forms,
 scripts, styles or reader comments, by tag or by the words of class and id, are left out; of the others, those within an
-article (else a main part, else the body) are its text. For hosts without any such element, the wrapper's evidence
-decides: slots right in the body, in links or in list items are left out where the wrapper has paragraphs. Then each page is matched
-with its host's wrapper and the texts of its content slots are taken, in page order: character references decoded, white
-space inside a block one space, blocks joined by one space.
+article (else a main part, else the body; whichever the page itself has, as a host may mix templates) are its text. For
+pages without any such element, the wrapper's evidence decides: slots right in the body, in links or in list items are
+left out where the wrapper has paragraphs. Then each page is matched with its host's wrapper and the texts of its content
+slots are taken, in page order: character references decoded, white space inside a block one space, blocks joined by one
+space.
 
 Nulls and edges: a null or empty html gives an empty text. Unclosed or stray tags close where HTML says they do. Pages
 with a null url form a host of their own; a null or repeated page_id is a row of its own. An empty table gives an empty
@@ -248,7 +249,7 @@ def places(items: list[list]) -> set[str]:
 
 
 def content_places(wrapper: list[list]) -> list[str]:
-    """The wrapper's slots that hold the article's text."""
+    """The wrapper's slots that may hold an article's text, each led by its rank: 0 in an article, 1 in a main part, 2 in the body."""
     slots = []
     for place in places(wrapper):
         path = place.split("/") if place else []
@@ -259,16 +260,17 @@ def content_places(wrapper: list[list]) -> list[str]:
             continue
         rank = 0 if any(p.partition(".")[0] == "article" for p in path) else 1 if within else 2
         slots.append((rank, place, inner))
-    best = min((s[0] for s in slots), default=2)
-    good = [s for s in slots if s[0] == best]
-    if best == 2 and any("p" in [p.partition(".")[0] for p in s[2]] for s in good):
-        good = [s for s in good if s[2] and s[2][-1].partition(".")[0] not in ("a", "body", "html", "li") or "p" in [p.partition(".")[0] for p in s[2]]]
-    return sorted(s[1] for s in good)
+    body = [s for s in slots if s[0] == 2]
+    if any("p" in [p.partition(".")[0] for p in s[2]] for s in body):
+        body = [s for s in body if s[2] and s[2][-1].partition(".")[0] not in ("a", "body", "html", "li") or "p" in [p.partition(".")[0] for p in s[2]]]
+    return sorted(f"{s[0]}{s[1]}" for s in [s for s in slots if s[0] < 2] + body)
 
 
-def extracted(page: Page, wanted: frozenset[str]) -> str:
-    """The texts of the content slots: blocks joined by one space."""
-    ok = ["/".join(p) in wanted for p in page.places]
+def extracted(page: Page, wanted: dict[str, int]) -> str:
+    """The texts of the content slots of the best rank that this page has: blocks joined by one space."""
+    ranks = [wanted.get("/".join(p), 3) for p in page.places]
+    best = min(ranks, default=3)
+    ok = [r == best < 3 for r in ranks]
     blocks: list[str] = []
     last = None
     for path, text, block in zip(page.paths, page.texts, page.blocks):
@@ -331,7 +333,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = [extracted(Page(h or ""), frozenset(c or ())) for h, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [extracted(Page(h or ""), {x[1:]: int(x[0]) for x in c or ()}) for h, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return both.mapInArrow(run, "page_id long, url string, text string, n_chars long")

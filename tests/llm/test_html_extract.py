@@ -40,3 +40,11 @@ def test_wrapper_is_union_free():
     kinds = lambda items: {x[0] for x in items} | {k for x in items if x[0] in "ro" for k in kinds(x[1])}
     assert kinds(wrapper) <= {"t", "s", "r", "o"} and "o" in kinds(wrapper) and "r" in kinds(wrapper)
     assert all(h.places(s) <= h.places(wrapper) for s in shapes)
+
+
+def test_two_templates_on_one_host(spark):
+    bodies = ["<article><p>First {}</p></article>", "<main><p>Second {}</p></main>", "<div class='content'><p>Third {}</p></div>", "<div><p>Fourth {}</p></div>"]
+    for urls in (lambda i: "http://mixed.example.org/x", lambda i: None if i % 8 < 4 else "nonsense"):
+        rows = [(i, urls(i), page(bodies[i % 4].format(i), n=i)) for i in range(12)]
+        got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got == {i: f"{('First', 'Second', 'Third', 'Fourth')[i % 4]} {i}" for i in range(12)}
