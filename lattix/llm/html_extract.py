@@ -1,18 +1,20 @@
 """Operator 10, HTML extraction by union-free wrappers inferred for each host.
 
-Every page is read into a token stream: opening and closing tags (with their class and id) and text. A page's own regular
-expression is its stream with repetitions folded: neighbouring equal groups of tokens become one repeated group, texts
-become slots. Equal expressions of a host are counted on the executors first, so a host that holds a third of all pages
+Every page is read into a token stream: opening and closing tags (with their class and id) and text. A block's text that
+more than half of a host's different pages with its place have there (LEAST at least) is a token of the template, wherever
+it stands; all other texts are slots. A page's own regular expression is its stream with repetitions folded: neighbouring
+equal groups of tokens become one repeated group. Equal expressions of a host are counted on the executors first, so a host that holds a third of all pages
 sends a row for each different shape, not each page. A host's shapes are then aligned one by one with the wrapper so far;
 a mismatch of tokens is resolved, in this order, into a repeated group (the tokens repeat what stands before them) or
-optional groups (found on one side only; both, where each side has its own); texts are slots. There is no union.
+optional groups (found on one side only; both, where each side has its own). There is no union.
 
 Slots are judged by where the wrapper has them: those within menus, headers, footers, side bars, notices, adverts, forms,
 scripts, styles or reader comments, by tag or by the words of class and id, are left out; of the others, those within an
 article (else a main part, else the body; whichever the page itself has, as a host may mix templates) are its text. For
 pages without any such element, the wrapper's evidence decides: slots right in the body, in links or in list items are
-left out where the wrapper has paragraphs. Then each page is matched with its host's wrapper and the texts of its content
-slots are taken, in page order: character references decoded, white space inside a block one space, blocks joined by one
+left out where the wrapper has paragraphs. A slot is known by its path: the wrapper's slots of one path get one verdict, so a
+page is matched by paths, template blocks taken out, and not by its place in the expression. The texts of its content
+slots are taken in page order: character references decoded, white space inside a block one space, blocks joined by one
 space.
 
 Nulls and edges: a null or empty html gives an empty text. Unclosed or stray tags close where HTML says they do. Pages
@@ -27,7 +29,9 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,7 +121,47 @@ class Page:
                     break
 
 
-# A wrapper is a list of items: ["t", token], ["s", place], ["r", items] (one or more times), ["o", items] (or not at all).
+#: Different pages of a host that a block's text must be on, at its place, to be part of the template; and more than half of those that have the place.
+LEAST = 3
+
+
+def blocks(page: Page) -> list[list[int]]:
+    """The text tokens of each block, in page order."""
+    out: list[list[int]] = []
+    last = None
+    for i, (path, block) in enumerate(zip(page.paths, page.blocks)):
+        if path < 0:
+            continue
+        if block == last:
+            out[-1].append(i)
+        else:
+            out.append([i])
+            last = block
+    return out
+
+
+def stands(page: Page, block: list[int]) -> tuple[str, ...]:
+    """The elements that a block is in, without inline ones at the end."""
+    path = page.places[page.paths[block[0]]]
+    n = len(path)
+    while n and path[n - 1].partition(".")[0] in INLINE:
+        n -= 1
+    return path[:n]
+
+
+def signed(page: Page, block: list[int]) -> tuple[int, int]:
+    """Hashes of a block's place, and of its place and text."""
+    place = "/".join(stands(page, block))
+    text = SPACE.sub(" ", "".join(page.texts[i] for i in block)).strip()
+    return tuple(xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in (place, f"{place}\n{text}"))
+
+
+def fixed_tokens(page: Page, fixed: frozenset[int]) -> frozenset[int]:
+    """The text tokens of blocks that belong to the host's template."""
+    return frozenset(i for b in blocks(page) if signed(page, b)[1] in fixed for i in b) if fixed else frozenset()
+
+
+# A wrapper is a list of items: ["t", token or "=" and a constant text's place], ["s", place], ["r", items] (one or more times), ["o", items] (or not at all).
 
 
 WIDEST = 8  # items of a group that folding looks for
@@ -136,7 +180,7 @@ class Folding:
         if n is None:
             n = self.number[item] = len(self.items)
             self.items.append(item)
-            self.step.append(0 if item[0] != "t" or item[1].partition(".")[0] in VOID else -1 if item[1][0] == "/" else 1)
+            self.step.append(0 if item[0] != "t" or item[1][0] == "=" or item[1].partition(".")[0] in VOID else -1 if item[1][0] == "/" else 1)
         return n
 
     def may_repeat(self, group: list[int]) -> bool:
@@ -186,14 +230,17 @@ def alike(x: list, y: list) -> bool:
     return same(x[1], y[1]) if x[0] in "ro" else x[1] == y[1]
 
 
-def shape(page: Page, folding: Folding | None = None) -> list[list]:
-    """A page's own expression."""
+def shape(page: Page, folding: Folding | None = None, fixed: frozenset[int] = frozenset()) -> list[list]:
+    """A page's own expression, in which texts of the template are tokens and all others slots."""
     folding = folding or Folding()
+    constant = fixed_tokens(page, fixed)
     slots = [folding.of("s", "/".join(p)) for p in page.places]
     items: list[int] = []
-    for token, path in zip(page.tokens, page.paths):
+    for i, (token, path) in enumerate(zip(page.tokens, page.paths)):
         if path < 0:
             items.append(folding.of("t", token))
+        elif i in constant:
+            items.append(folding.of("t", "=" + "/".join(page.places[path])))
         elif not items or items[-1] != slots[path]:
             items.append(slots[path])
     return folding.written(folding.folded(items))
@@ -266,36 +313,52 @@ def content_places(wrapper: list[list]) -> list[str]:
     return sorted(f"{s[0]}{s[1]}" for s in [s for s in slots if s[0] < 2] + body)
 
 
-def extracted(page: Page, wanted: dict[str, int]) -> str:
+def extracted(page: Page, wanted: dict[str, int], fixed: frozenset[int] = frozenset()) -> str:
     """The texts of the content slots of the best rank that this page has: blocks joined by one space."""
     ranks = [wanted.get("/".join(p), 3) for p in page.places]
-    best = min(ranks, default=3)
-    ok = [r == best < 3 for r in ranks]
-    blocks: list[str] = []
-    last = None
-    for path, text, block in zip(page.paths, page.texts, page.blocks):
-        if path < 0 or not ok[path]:
-            continue
-        if block == last:
-            blocks[-1] += text
-        else:
-            blocks.append(text)
-            last = block
-    done = (SPACE.sub(" ", entities.unescape(b)).strip() for b in blocks)
+    own = [b for b in blocks(page) if not fixed or signed(page, b)[1] not in fixed]
+    best = min((ranks[page.paths[i]] for b in own for i in b), default=3)
+    if best == 3:
+        return ""
+    found = ("".join(page.texts[i] for i in b if ranks[page.paths[i]] == best) for b in own)
+    done = (SPACE.sub(" ", entities.unescape(b)).strip() for b in found)
     return " ".join(b for b in done if b)
 
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
+def constants(pages: DataFrame) -> DataFrame:
+    """(host, fixed): the signed blocks of each host's template, of pages (host, html). Pages with equal blocks are one page."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = []
+            for html in batch.column(1).to_pylist():
+                page = Page(html or "")
+                pairs = {signed(page, b) for b in blocks(page)}
+                found.append(np.array(sorted(pairs | {(p, 0) for p, _ in pairs}), np.int64).reshape(-1, 2))
+            all_ = np.concatenate(found)
+            offsets = np.cumsum([0] + [len(f) for f in found], dtype=np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(all_[:, 0]), pa.array(all_[:, 1])], ["place", "text"]))
+            same = pa.array([xxhash.xxh3_64_intdigest(f.tobytes()) - (1 << 63) for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), same, keys], ["host", "page", "keys"])
+
+    found = pages.mapInArrow(sign, "host string, page long, keys array<struct<place:long,text:long>>")
+    once = found.groupBy("host", "page").agg(F.first("keys").alias("keys")).select("host", F.explode("keys").alias("k"))
+    counts = written(once.groupBy("host", "k.place", "k.text").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST))
+    totals = counts.where("text = 0").select("host", "place", F.col("n").alias("total"))
+    return counts.where("text <> 0").join(totals, ["host", "place"]).where("2 * n > total").groupBy("host").agg(F.collect_set("text").alias("fixed"))
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper): the expression of each host, as JSON."""
+    """(host, wrapper): the expression of each host, as JSON, of pages (host, html, fixed)."""
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             seen, folding = {}, Folding()
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                key = (host, json.dumps(shape(Page(html or ""), folding)))
+            for host, html, fixed in zip(*(c.to_pylist() for c in batch.columns)):
+                key = (host, json.dumps(shape(Page(html or ""), folding, frozenset(fixed or ()))))
                 seen[key] = seen.get(key, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string())], ["host", "shape"])
 
@@ -327,13 +390,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(page_id, url, text, n_chars) of every row."""
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1))
-    found = written(wrappers(own.select(host.alias("host"), "html")).select("host", "content"))
+    hosted = own.select(host.alias("host"), "html")
+    fixed = written(constants(hosted))
+    found = written(wrappers(hosted.join(fixed, "host", "left")).select("host", "content").join(fixed, "host", "left"))
     # A row a host, joined by it: broadcast where Spark finds it small, else a join that splits hot hosts.
-    both = own.withColumn("host", host).join(found, "host", "left").select("page_id", "url", "html", "content")
+    both = own.withColumn("host", host).join(found, "host", "left").select("page_id", "url", "html", "content", "fixed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = [extracted(Page(h or ""), {x[1:]: int(x[0]) for x in c or ()}) for h, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [extracted(Page(h or ""), {x[1:]: int(x[0]) for x in c or ()}, frozenset(f or ())) for h, c, f in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return both.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -48,3 +48,13 @@ def test_two_templates_on_one_host(spark):
         rows = [(i, urls(i), page(bodies[i % 4].format(i), n=i)) for i in range(12)]
         got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
         assert got == {i: f"{('First', 'Second', 'Third', 'Fourth')[i % 4]} {i}" for i in range(12)}
+
+
+def test_constant_texts_are_template(spark):
+    stub = "<div class='x1'>Join our club</div><div class='x1'><p>{}</p></div><p>{} of <b>many</b></p><div><p>Hours: 9 to 5</p></div>"
+    bodies = [page(stub.format(f"Story {i}", f"Part {i}"), n=i) for i in range(8)]
+    rows = [(i, "http://club.example.org/x", b) for i, b in enumerate(bodies)]
+    rows += [(10 + i, "http://copies.example.org/x", bodies[0]) for i in range(5)]
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(8)] == [f"Story {i} Part {i} of many" for i in range(8)]
+    assert {got[10 + i] for i in range(5)} == {"Join our club Story 0 Part 0 of many Hours: 9 to 5"}
