@@ -11,11 +11,11 @@ optional groups (found on one side only; both, where each side has its own). The
 Slots are judged by where the wrapper has them: those within menus, headers, footers, side bars, notices, adverts, forms,
 scripts, styles or reader comments, by tag or by the words of class and id, are left out; of the others, those within an
 article (else a main part, else the body; whichever the page itself has, as a host may mix templates) are its text. For
-pages without any such element, the wrapper's evidence decides: slots right in the body, in links or in list items are
-left out where the wrapper has paragraphs. A slot is known by its path: the wrapper's slots of one path get one verdict, so a
-page is matched by paths, template blocks taken out, and not by its place in the expression. The texts of its content
-slots are taken in page order: character references decoded, white space inside a block one space, blocks joined by one
-space.
+pages without any such element on a host with paragraphs, groups of links alone are menus and left out; what stands right
+in the body, in links or in list items is kept within or next to what holds the page's paragraphs. A slot is known by its
+path: the wrapper's slots of one path get one verdict, so a page is matched by paths, template blocks taken out, and not
+by its place in the expression. The texts of its content slots are taken in page order: character references decoded,
+white space inside a block one space, blocks joined by one space.
 
 Nulls and edges: a null or empty html gives an empty text. Unclosed or stray tags close where HTML says they do. Pages
 with a null url form a host of their own; a null or repeated page_id is a row of its own. An empty table gives an empty
@@ -307,10 +307,52 @@ def content_places(wrapper: list[list]) -> list[str]:
             continue
         rank = 0 if any(p.partition(".")[0] == "article" for p in path) else 1 if within else 2
         slots.append((rank, place, inner))
-    body = [s for s in slots if s[0] == 2]
-    if any("p" in [p.partition(".")[0] for p in s[2]] for s in body):
-        body = [s for s in body if s[2] and s[2][-1].partition(".")[0] not in ("a", "body", "html", "li") or "p" in [p.partition(".")[0] for p in s[2]]]
-    return sorted(f"{s[0]}{s[1]}" for s in [s for s in slots if s[0] < 2] + body)
+    return sorted(f"{s[0]}{s[1]}" for s in slots)
+
+
+def names(place: tuple[str, ...]) -> list[str]:
+    return [p.partition(".")[0] for p in place]
+
+
+def menus(page: Page, own: list[list[int]]) -> list[list[int]]:
+    """Of the body's blocks, those of links alone, two or more together: within one block, or neighbouring blocks at one place."""
+    out: list[list[int]] = []
+    run: list[list[int]] = []
+    links = lambda b: sum("a" in names(page.places[page.paths[i]]) for i in b)
+    for b in [*own, []]:
+        alone = b and links(b) == len(b) and "p" not in names(stands(page, b))
+        if run and not (alone and stands(page, b) == stands(page, run[-1])):
+            if sum(len(r) for r in run) > 1:
+                out += run
+            run = []
+        if alone:
+            run.append(b)
+    return out
+
+
+def body_blocks(page: Page, own: list[list[int]], paragraphs: bool) -> list[list[int]]:
+    """The blocks of a page without article or main part that are its text.
+
+    Where the host has paragraphs, menus are left out, and so is what stands right in the body, in a link or in a list item
+    unless its list or element stands within, or right next to, an element that holds paragraphs of the page.
+    """
+    if not paragraphs:
+        return own
+    gone = {b[0] for b in menus(page, own)}
+    holders = {place[: names(place).index("p")] for place in (page.places[page.paths[b[0]]] for b in own) if "p" in names(place)}
+
+    def kept(b: list[int]) -> bool:
+        inner = [names(page.places[page.paths[i]]) for i in b]
+        if b[0] in gone:
+            return False
+        if not holders or any("p" in x or x and x[-1] not in ("a", "body", "html", "li") for x in inner):
+            return True
+        place = stands(page, b)
+        lists = [i for i, n in enumerate(names(place)) if n in ("ul", "ol", "li")]
+        place = place[: lists[0]] if lists else place
+        return any(place[: len(q)] == q or q[:-1] == place for q in holders)
+
+    return [b for b in own if kept(b)]
 
 
 def extracted(page: Page, wanted: dict[str, int], fixed: frozenset[int] = frozenset()) -> str:
@@ -320,7 +362,10 @@ def extracted(page: Page, wanted: dict[str, int], fixed: frozenset[int] = frozen
     best = min((ranks[page.paths[i]] for b in own for i in b), default=3)
     if best == 3:
         return ""
-    found = ("".join(page.texts[i] for i in b if ranks[page.paths[i]] == best) for b in own)
+    own = [c for c in ([i for i in b if ranks[page.paths[i]] == best] for b in own) if c]
+    if best == 2:
+        own = body_blocks(page, own, any(r == 2 and "p" in names(tuple(p.split("/"))) for p, r in wanted.items()))
+    found = ("".join(page.texts[i] for i in b) for b in own)
     done = (SPACE.sub(" ", entities.unescape(b)).strip() for b in found)
     return " ".join(b for b in done if b)
 

@@ -58,3 +58,16 @@ def test_constant_texts_are_template(spark):
     got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [got[i] for i in range(8)] == [f"Story {i} Part {i} of many" for i in range(8)]
     assert {got[10 + i] for i in range(5)} == {"Join our club Story 0 Part 0 of many Hours: 9 to 5"}
+
+
+def test_plain_bodies_keep_lists_links_and_bare_text(spark):
+    bodies = [
+        ("<div><h1>Head</h1><p>Text</p><ul><li>Step one</li><li>Step <a href='/x'>two</a></li></ul></div>", "Head Text Step one Step two"),
+        ("<div><h2><a href='/t'>Linked head</a></h2><div>See <a href='/y'>this</a> word</div></div>", "Linked head See this word"),
+        ("<p>One</p>between<p>Two</p><ul><li><a href='/1'>Home</a></li><li><a href='/2'>Help</a></li></ul>", "One between Two"),
+        ("<div><a href='/1'>Home</a> <a href='/2'>Help</a></div><table><tr><td>Cell <a href='/3'>link</a></td></tr></table><p>End</p>", "Cell link End"),
+        ("<div class='x2'><section><ul><li>Far away</li></ul></section></div><div><div><p>Here</p></div></div>", "Here"),
+    ]
+    rows = [(i, "http://plain.example.org/x", page(b, n=i)) for i, (b, _) in enumerate(bodies)]
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(len(bodies))] == [want for _, want in bodies]
