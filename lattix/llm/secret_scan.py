@@ -1,8 +1,9 @@
 """Operator 1, secret scans: three patterns, and a battery of randomness tests for strings that no pattern names.
 
 Base spans are the pattern matches of every whole text. Besides, every unbroken run of encoding characters of `SHORTEST`
-or more that meets no base span is tested. Its encoding (hex, base 32, letters alone or base 64) is inferred from the
-characters in it. The null hypothesis is natural text written in that alphabet:
+or more that meets no base span is tested; '=' inside a run parts a name from its value, and each piece is such a run.
+Its encoding (hex, base 32, letters alone or base 64) is inferred from the characters in it. The null hypothesis is
+natural text written in that alphabet:
 
 - chi-squared uniformity: natural letters make the statistic noncentral, with a noncentrality that grows with the length;
   p is the chance of one as small as observed;
@@ -51,6 +52,7 @@ ALPHABETS = (("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), 16), ("base32", re.comp
 
 _RUN = np.zeros(256, bool)
 _RUN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
+PIECE = re.compile(r"[^=]+(?:=+\Z)?")  # '=' ends a piece, and belongs to it as padding at the end of a run
 
 
 def _tail(z: float) -> float:
@@ -127,7 +129,7 @@ def scan_text(raw: bytes | None) -> tuple[list[tuple[int, int, int]], list[tuple
     for at, run in points:
         spans += [(at + m.start(), 2, at + m.end()) for m in HEX.finditer(run)]
     spans.sort()
-    for at, run in points:
+    for at, run in ((at + m.start(), m[0]) for at, run in points for m in PIECE.finditer(run) if len(m[0]) >= SHORTEST):
         end = at + len(run)
         if any(a < end and at < b for a, _, b in spans) or (p := battery(run)) is None:
             continue

@@ -50,6 +50,15 @@ def test_secret_scan(spark):
     assert secret_scan.scan(frame(spark, [])).count() == 0
 
 
+def test_secret_after_equals_sign(spark):
+    rng = random.Random(11)
+    value = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    rows = [(i, f"plain {name}={value}{pad} words") for i, (name, pad) in enumerate([("AWS_SECRET_ACCESS_KEY", ""), ("private_key", "=="), ("http://x.example.org/?sig", ""), ("pwd", ""), ("a=b", "&c=d")])]
+    got = {r.doc_id: [rows[r.doc_id][1][s.start : s.end] for s in r.spans if s.kind == 3] for r in secret_scan.scan(frame(spark, rows)).collect()}
+    assert got == {i: [value + ("==" if i == 1 else "")] for i in range(len(rows))}
+    assert all(value not in r.text for r in secret_scan.redacted(frame(spark, rows)).collect())
+
+
 def test_redacted_keeps_rows(spark):
     rows = [(1, "x password=abcdefgh12 y"), (2, None), (3, "clean")]
     df = frame(spark, rows).withColumn("n_chars", F.length("text").cast("long"))
