@@ -1,8 +1,9 @@
 """Operator 2, benchmark decontamination by template canonicalisation.
 
 Words of documents and benchmark items are stripped of punctuation and lower-cased, and numbers (in digits or words),
-names (words with a capital that don't begin a sentence) and units become typed placeholders that remember what they
-stood for, their slots. Every window of `width` template words of an item, and the whole of an item that is shorter, is
+names and units become typed placeholders that remember what they stood for, their slots. Words are read in two ways, as a
+capital at the beginning of a sentence tells little: names are words with a capital that don't begin a sentence, or words
+with a capital that aren't common openers of sentences; a window of an item matches if it does in either. Every window of `width` template words of an item, and the whole of an item that is shorter, is
 hash-joined with the same windows of the documents: executors drop windows outside a filter of the benchmark's windows
 (false hits only cost a row), then the join is a join of two tables, of which Spark picks the form by size.
 
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ from .words import Words, groups, windows
 # Words that stand for numbers, and units.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half twice".split()
 UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons tonne tonnes pound pounds ounce ounces ml l liter liters litre litres gallon gallons cup cups second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degree degrees kph mph watt watts volt volts joule joules newton newtons meter meters metre metres centimeter centimeters kilometer kilometers".split()
+# Words that begin sentences without being names.
+OPENERS = "a about above according add after again all almost along already also although always among an and another any anyone are as ask assume at away back based be because become before begin being below between both bring but by calculate call can check choose come compare complete compute consider could count describe despite determine did do does draw during each early either else enough estimate even eventually every everyone everything evaluate except explain express few figure fill finally find first following for from further generally get give given go had half has have he hence her here hers him his how however i if imagine in indeed initially inside instead into is it its itself just keep know last lastly later least less let like likewise list look made make many maybe meanwhile more most much multiply my name near neither never nevertheless next no nobody none nor not note nothing now of off often on once one only or other others otherwise our out outside over overall own part perhaps please prove put rather read recall round same say see several shall she should show simplify since so solve some someone something sometimes soon state still subtract such suppose take tell than that the their them then there therefore these they think this those though through throughout thus to today together tomorrow tonight too toward under unless unlike until up upon us use using usually was we well were what whatever when whenever where whereas whether which while who whoever whom whose why with within without work would write yes yesterday yet you your".split()
 LITERAL, NUM, NAME, UNIT = range(4)
 MARKS = np.array([0, 0x1D5C3A7E9B24F681, 0x2E6B4F8D1C35A792, 0x3F7A5E9C2D46B8A3], np.uint64)
 
@@ -67,7 +71,7 @@ def _among(h: np.ndarray, name: str, words: list[str]) -> np.ndarray:
 
 
 class Templates(Words):
-    """The template words of several whole texts: hashes h, kinds, byte bounds a and b, and where each text's words begin (first).
+    """The template words of several whole texts: kinds and hashes of each reading, byte bounds a and b, and where each text's words begin (first).
 
     Letters are those of ASCII and Latin-1 where case matters. Words of punctuation alone are left out.
     """
@@ -109,18 +113,19 @@ class Templates(Words):
         nd, rest = digits[b] - digits[a], (b - a) - (numeric[b] - numeric[a])
         number = (nd > 0) & (rest <= 2) & (_NUMERIC[x[a]] if len(a) else nd > 0) | _among(h, "number", NUMBER_WORDS)
         unit = _among(h, "unit", UNITS)
-        name = (upper[a] if len(a) else nd > 0) & ~begins
-        self.kinds = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, LITERAL)))
-        self.h = np.where(self.kinds == LITERAL, h, MARKS[self.kinds])
+        capital = upper[a] if len(a) else nd > 0
+        kinds = [np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, LITERAL))) for name in (capital & ~begins, capital & ~_among(h, "opener", OPENERS))]
+        #: The kinds and hashes of each reading: no name begins a sentence; all words with a capital are names but openers.
+        self.readings = [(k, np.where(k == LITERAL, h, MARKS[k])) for k in kinds]
         self.a, self.b = a, b
 
-    def slots(self, at: int, wide: int) -> list[str]:
+    def slots(self, at: int, wide: int, reading: int) -> list[str]:
         """What the placeholders of a window stand for, each led by its place and kind."""
-        kinds = self.kinds[at : at + wide]
+        kinds = self.readings[reading][0][at : at + wide]
         return [f"{j}:{kinds[j]}:{self.low[self.a[at + j] : self.b[at + j]].tobytes().decode('utf-8', 'replace')}" for j in np.flatnonzero(kinds).tolist()]
 
 
-_SCHEMA = "id long, hash long, slots array<string>, literal boolean, wide int, total int"
+_SCHEMA = "id long, hash long, window long, slots array<string>, literal boolean, wide int, total int"
 
 
 def _item_windows(benchmark: DataFrame, width: int, id_col: str) -> DataFrame:
@@ -131,15 +136,23 @@ def _item_windows(benchmark: DataFrame, width: int, id_col: str) -> DataFrame:
                 t = Templates(group)
                 for i, (a, b) in enumerate(zip(t.first[:-1].tolist(), t.first[1:].tolist())):
                     wide = min(width, b - a)
-                    own = []
-                    for at, x in enumerate(windows(t.h[a:b], wide).view(np.int64).tolist()):
-                        s = t.slots(a + at, wide)
-                        own.append((x, s, len(s) < wide))
-                    some = any(o[2] for o in own)
-                    own = [o for o in own if o[2] or not some]
-                    out += [(names[first + i], *o, wide, len({(o[0], *o[1]) for o in own})) for o in own]
+                    own, also = [], []
+                    first_reading, second = (windows(h[a:b], wide).view(np.int64).tolist() for _, h in t.readings)
+                    for at, (x, y) in enumerate(zip(first_reading, second)):
+                        s = t.slots(a + at, wide, 0)
+                        window = xxhash.xxh3_64_intdigest(repr((x, s)).encode()) - (1 << 63)
+                        own.append((x, window, s, len(s) < wide))
+                        if y != x:
+                            s = t.slots(a + at, wide, 1)
+                            also.append((y, window, s, len(s) < wide))
+                    some = any(o[3] for o in own)
+                    own = [o for o in own if o[3] or not some]
+                    counted = {o[1] for o in own}
+                    # A window that counts may match in its second reading as well, unless that leaves no literal word.
+                    also = [o for o in also if o[1] in counted and (o[3] or not some)]
+                    out += [(names[first + i], *o, wide, len(counted)) for o in own + also]
             if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(("id", "hash", "slots", "literal", "wide", "total"), o)) for o in out], pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.string())), ("literal", pa.bool_()), ("wide", pa.int32()), ("total", pa.int32())]))
+                yield pa.RecordBatch.from_pylist([dict(zip(("id", "hash", "window", "slots", "literal", "wide", "total"), o)) for o in out], pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("window", pa.int64()), ("slots", pa.list_(pa.string())), ("literal", pa.bool_()), ("wide", pa.int32()), ("total", pa.int32())]))
 
     own = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").cast("binary").alias("text")).where("id is not null")
     return own.mapInArrow(run, _SCHEMA)
@@ -154,13 +167,13 @@ def _document_windows(docs: DataFrame, widths: list[int], wanted) -> DataFrame:
             found, names = set(), batch.column(0).to_pylist()
             for first, group in groups(batch.column(1).to_pylist()):
                 t = Templates(group)
-                for wide in widths:
-                    own = windows(t.h, wide)
+                for wide, reading in ((w, r) for w in widths for r in (0, 1)):
+                    own = windows(t.readings[reading][1], wide)
                     at = np.flatnonzero(those.test(own)) if len(own) else np.empty(0, np.int64)
                     text = np.searchsorted(t.first, at, "right") - 1
                     whole = at + wide <= t.first[np.minimum(text + 1, len(t.first) - 1)]
                     for j, i in zip(at[whole].tolist(), text[whole].tolist()):
-                        found.add((names[first + i], int(own[j : j + 1].view(np.int64)[0]), *t.slots(j, wide)))
+                        found.add((names[first + i], int(own[j : j + 1].view(np.int64)[0]), *t.slots(j, wide, reading)))
             out = [(f[0], f[1], list(f[2:])) for f in found]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.string()))], ["doc_id", "hash", "values"])
@@ -193,11 +206,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, share: f
     bits = min(30, max(20, int(np.ceil(np.log2(16 * max(1, many))))))
     wanted = spark.sparkContext.broadcast(bloom_of(items.select("hash"), bits))
     found = _document_windows(own, widths, wanted).join(items.withColumnRenamed("id", "item_id"), "hash")
-    pairs = found.groupBy("doc_id", "item_id").agg(F.max("total").alias("windows"), F.collect_set(F.struct("hash", "slots", "values")).alias("matches"))
+    pairs = found.groupBy("doc_id", "item_id").agg(F.max("total").alias("windows"), F.collect_set(F.struct("window", "slots", "values")).alias("matches"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            got = [consistent([((m["hash"], *m["slots"]), m["slots"], m["values"]) for m in ms]) for ms in batch.column(3).to_pylist()]
+            got = [consistent([(m["window"], m["slots"], m["values"]) for m in ms]) for ms in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.bool_())], ["doc_id", "item_id", "windows", "matched", "reparameterised"])
 
     return pairs.mapInArrow(run, "doc_id long, item_id long, windows int, matched int, reparameterised boolean").where(F.col("matched") >= F.lit(share) * F.col("windows"))

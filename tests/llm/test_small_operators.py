@@ -88,6 +88,17 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(frame(spark, []), frame(spark, [], "item_id long, text string")).count() == 0
 
 
+def test_decontaminate_names_that_begin_sentences(spark):
+    text = "{} has 3 apples. {} has 5 pears. {} has 2 plums. How many fruits do they have in all?"
+    item = text.format("Alice", "Bob", "Carol")
+    plain = "Boxes stand in the hall near a wide door. Nobody knows why the old men came here. Chairs are not in the room at all."
+    rows = [(1, text.format("Dora", "Emil", "Fred")), (2, "so they read " + text.format("Dora", "Emil", "Fred")), (3, item), (4, item.lower()), (5, plain.lower()), (6, text.format("Dora", "Dora", "Dora").replace("fruits", "men"))]
+    bench = spark.createDataFrame([(1, item), (2, plain)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(frame(spark, rows), bench).collect()}
+    assert {1, 2, 3, 4} <= {d for d, i in got if i == 1} and (5, 2) in got and len({d for d, i in got if i == 2}) == 1
+    assert all(r.matched == r.windows == 13 for (d, i), r in got.items() if d in (1, 3)) and got[1, 1].reparameterised and not got[3, 1].reparameterised
+
+
 # Token counts
 
 
