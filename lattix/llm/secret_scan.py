@@ -10,7 +10,7 @@ natural text written in that alphabet:
 - runs: the runs of one character class (lower, upper, digit) that natural text would reach by chance;
 - serial correlation: vowels and consonants alternate in words, so the lag-one correlation of natural text is negative.
 
-The three z values are combined by Stouffer's rule. False discoveries are controlled over the whole corpus by the
+The z values are combined by Stouffer's rule, without the runs for letters of one case, which are one class. False discoveries are controlled over the whole corpus by the
 Benjamini-Hochberg rule, in each length class by itself, as a test says less of a short string: executors count p values
 in fixed bins, and the driver sees only the bins.
 
@@ -76,7 +76,7 @@ def battery(s: str) -> float | None:
     k = next((k for _, pattern, k in ALPHABETS if pattern.fullmatch(s)), None)
     if k is None:
         return None
-    if k == 16 and not re.search("[0-9]", s):
+    if k in (16, 32) and s.isalpha():
         k = 26
     n = len(s)
     counts = np.unique(np.frombuffer(s.encode(), np.uint8), return_counts=True)[1]
@@ -84,6 +84,13 @@ def battery(s: str) -> float | None:
     noncentral = n * max(0.0, k * EVENNESS - 1)
     z_chi = (k - 1 + noncentral - chi) / math.sqrt(2 * (k - 1) + 4 * noncentral)
 
+    v = np.array([c in "aeiouyAEIOUY" for c in s], float)
+    spread = v - v.mean()
+    lag = float((spread[1:] * spread[:-1]).sum() / max((spread**2).sum(), 1e-9))
+    z_lag = (lag + 0.3) * math.sqrt(n) / 2
+    if s.isalpha() and (s[1:].islower() or s.isupper()):  # one class, of which runs say nothing
+        return max(_tail((2 * z_chi + z_lag) / math.sqrt(5)), 1e-19)
+
     kinds = [2 if c.isdigit() else 1 if c.isupper() else 0 if c.islower() else 3 for c in s]
     changes, mean = sum(a != b for a, b in zip(kinds, kinds[1:])), 1 + n / 12
     term, below = math.exp(-mean), 0.0
@@ -91,11 +98,6 @@ def battery(s: str) -> float | None:
         below += term
         term *= mean / (i + 1)
     z_runs = _z(max(1 - below, 1e-15))
-
-    v = np.array([c in "aeiouyAEIOUY" for c in s], float)
-    spread = v - v.mean()
-    lag = float((spread[1:] * spread[:-1]).sum() / max((spread**2).sum(), 1e-9))
-    z_lag = (lag + 0.3) * math.sqrt(n) / 2
     return max(_tail((2 * z_chi + 2 * z_runs + z_lag) / 3), 1e-19)
 
 

@@ -59,6 +59,16 @@ def test_secret_after_equals_sign(spark):
     assert all(value not in r.text for r in secret_scan.redacted(frame(spark, rows)).collect())
 
 
+def test_random_letters_of_one_case():
+    rng = random.Random(12)
+    words = "internationalization counterrevolutionary disproportionately notwithstanding responsibilities understanding electroencephalogram representative heretofore information commissioners".split()
+    for change in (str.lower, str.upper):
+        drawn = [secret_scan.battery(change("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(128)))) for _ in range(100)]
+        natural = [secret_scan.battery(change("".join(rng.choice(words) for _ in range(10))[:128])) for _ in range(100)]
+        assert sum(p < 1e-3 for p in drawn) > 95 and min(natural) > 1e-3
+        assert all(secret_scan.battery(change(w)) > 0.01 for w in words if len(w) >= secret_scan.SHORTEST)
+
+
 def test_redacted_keeps_rows(spark):
     rows = [(1, "x password=abcdefgh12 y"), (2, None), (3, "clean")]
     df = frame(spark, rows).withColumn("n_chars", F.length("text").cast("long"))
