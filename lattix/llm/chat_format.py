@@ -7,8 +7,8 @@ reference, its place in the formatted turn and the tokens that it expands to. A
     <|turn|>ROLE<|says|>CONTENT<|end|>
 
 and a conversation its turns in order, so a turn is formatted by itself and no task holds a conversation. Within roles and
-texts a backslash is doubled and `<|` is written `<\\|`, so control strings appear only as control strings, and parse()
-gives back exactly what went in. The loss mask covers the texts of assistant turns, as spans of the formatted turn.
+texts a backslash is doubled and `<|` is written `<\\|`, also where one text part ends with `<` and the next begins with `|`,
+so control strings appear only as control strings, and parse() gives back exactly what went in (neighbouring texts as one). The loss mask covers the texts of assistant turns, as spans of the formatted turn.
 
 Order: by turn, then role, then text; nulls first. Nulls and edges: a null text is an empty one, a null role an empty role,
 a null list of parts an empty message; parts of unknown kind are documents. Rows with a null conv_id are one conversation.
@@ -54,18 +54,24 @@ class Flattened:
     loss: list[tuple[int, int]] = field(default_factory=list)
     attachments: list[dict] = field(default_factory=list)
     learnt: bool = False
+    open: bool = False  # the text just written ends with "<"
 
     def write(self, s: str) -> None:
         self.out.append(s)
         self.at += len(s)
+        self.open = False
 
     def visit(self, i: int, part: dict) -> None:
         kind = part.get("kind") or "text"
         {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio}.get(kind, self.visit_document)(i, part)
 
     def visit_text(self, i: int, part: dict) -> None:
+        text = part.get("text") or ""
+        if not text:
+            return
         start = self.at
-        self.write(escape(part.get("text") or ""))
+        self.write(("\\" if self.open and text[0] == "|" else "") + escape(text))
+        self.open = text[-1] == "<"
         if self.learnt and self.at > start:
             self.loss.append((start, self.at))
 
