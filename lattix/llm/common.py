@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,32 +21,98 @@ PIECES = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set and the master is local (tests)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not getattr(sc, "_lattix_dir", None):
         sc._lattix_dir = "file://" + tempfile.mkdtemp(prefix="lattix-")
     return sc._lattix_dir
 
 
+#: Open scopes of written tables, the innermost last.
+_scopes: list[list[DataFrame]] = []
+
+
 def written(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """df, written to the shared folder and read again: cuts the lineage, and survives the loss of executors."""
+    """df, written to the shared folder and read again: cuts the lineage, and survives the loss of executors.
+
+    The table goes with its scope, at the latest when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lattix-{uuid.uuid4().hex}"
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    where, files = _place(spark, path)
+    files.deleteOnExit(where)
+    try:
+        (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    except BaseException:
+        files.delete(where, True)
+        raise
     out = spark.read.schema(df.schema).parquet(path)
     out._lattix_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+def _place(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table made by written() that nothing needs any more."""
     if path := getattr(df, "_lattix_path", None):
-        jvm, sc = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+        where, files = _place(df.sparkSession, path)
+        files.delete(where, True)
+        df._lattix_path = None
+
+
+def _read_by(df: DataFrame) -> str:
+    """The folders that a frame's plan reads, as text."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found = []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            found.append(leaf.relation().location().rootPaths().mkString(" "))
+    return " ".join(found)
+
+
+@contextmanager
+def scope(kept: Callable[[], DataFrame | None] = lambda: None):
+    """Tables written within are deleted at its end, also when it fails, but those that the kept frame reads: these pass to the scope around it."""
+    own: list[DataFrame] = []
+    _scopes.append(own)
+    reads = ""
+    try:
+        yield
+        reads = _read_by(kept()) if kept() is not None else ""
+    finally:
+        _scopes.remove(own)
+        for table in own:
+            path = getattr(table, "_lattix_path", None)
+            if path and path.rpartition("/")[2] in reads:
+                if _scopes:
+                    _scopes[-1].append(table)
+            else:
+                drop(table)
+
+
+def scoped(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator in a scope of its own: what its result doesn't read is gone when it returns."""
+
+    @functools.wraps(operator)
+    def run(*args, **kwargs):
+        out: list[DataFrame] = []
+        with scope(lambda: out[0] if out else None):
+            out.append(operator(*args, **kwargs))
+        return out[0]
+
+    return run
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

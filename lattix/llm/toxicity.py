@@ -156,12 +156,10 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 5, rows: int = 20_000, t
     return Model(place, bias, weights, factors)
 
 
-def score(docs: DataFrame, model: Model, fold: int = 5, also: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row, and the columns named in also."""
-    spark = docs.sparkSession
-    given = spark.sparkContext.broadcast(model)
-    kept = [F.col(c) for c in also]
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id").cast("long"), fold).alias("held_out"), F.struct(*kept, F.lit(0).alias("_")).alias("kept"))
+def _scored(docs: DataFrame, model: Model, fold: int) -> DataFrame:
+    """(doc_id, held_out, score, predicted, kept) of every row, kept a struct of all its columns."""
+    given = docs.sparkSession.sparkContext.broadcast(model)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id").cast("long"), fold).alias("held_out"), F.struct(*docs.columns).alias("kept"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = given.value
@@ -171,5 +169,14 @@ def score(docs: DataFrame, model: Model, fold: int = 5, also: tuple[str, ...] =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), batch.column(3)], ["doc_id", "held_out", "score", "predicted", "kept"])
 
     kind = own.schema["kept"].dataType.simpleString()
-    out = own.mapInArrow(run, f"doc_id long, held_out boolean, score double, predicted int, kept {kind}")
-    return out.select("doc_id", "held_out", "score", "predicted", *[F.col("kept").getField(c).alias(c) for c in also])
+    return own.mapInArrow(run, f"doc_id long, held_out boolean, score double, predicted int, kept {kind}")
+
+
+def score(docs: DataFrame, model: Model, fold: int = 5) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row."""
+    return _scored(docs.select("doc_id", "text"), model, fold).select("doc_id", "held_out", "score", "predicted")
+
+
+def without_toxic(docs: DataFrame, model: Model, fold: int = 5) -> DataFrame:
+    """docs without the rows scored 0.5 or more; columns of any name stay as they are."""
+    return _scored(docs, model, fold).where("predicted = 0").select("kept.*")
