@@ -16,11 +16,11 @@ SQL can express none of the learnt, hashed and searched steps, so ORACLE_SQL is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattix.llm import bestfit_packing, decontaminate, ngram_join, secret_scan, toxicity
-from lattix.llm.common import written
+from lattix.llm.common import drop, scope, written
 
 ORACLE_SQL = None
 
@@ -28,8 +28,7 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # The labels speak of the documents as they came, so the machine learns from these rows.
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    return toxicity.score(docs, model, also=rest).where("predicted = 0").select(docs.columns)
+    return toxicity.without_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +41,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         return kept
     again = written(again)
     alone = kept.join(again, "doc_id", "left_anti").select(docs.columns)
-    first = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    ones = kept.join(again, "doc_id").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(docs.columns)
+    # The first in the order of all columns; equal rows are one. Maximum and minimum combine before the shuffle.
+    rows = kept.join(again, "doc_id", "left_semi").select("doc_id", F.struct(*[c for c in docs.columns if c != "doc_id"]).alias("row"))
+    ones = rows.groupBy("doc_id").agg(F.min("row").alias("row")).select("doc_id", "row.*").select(docs.columns)
     return alone.union(ones)
 
 
@@ -71,5 +71,10 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        after: list[DataFrame] = []
+        # What a stage wrote for itself goes when its result is written, and so does what it read.
+        with scope(lambda: after[0] if after else None):
+            after.append(written(stage(spark, docs, sf_dir)))
+        drop(docs)
+        docs = after[0]
     return docs
