@@ -1,16 +1,20 @@
 """Operator 4, exact top-k inner products by norm-bucketed retrieval.
 
-Vectors (each component x as floor(64 x)) are dealt into buckets of similar length, the longest first. The queries meet the
-longest buckets first, which gives each query a score that its k-th answer can't fall below. In every other bucket that
-score, divided by the query's length and the bucket's greatest length, is the query's local cosine threshold t:
+Vectors (each component x as floor(64 x), in the smallest integers that hold them) are dealt into buckets of similar
+length, the longest first. The queries meet the longest buckets first, which gives each query a score and an id that its
+k-th answer can't fall below. In every other bucket that score, divided by the query's length and the bucket's greatest
+length, is the query's local cosine threshold t:
 
-- above 1 the bucket is left out for the query (for a block of queries, before anything is sent);
+- above 1 the bucket is left out for the query;
 - by the bucket's median t, its vectors are then pruned either by length (only a prefix of the bucket, sorted by length,
   is long enough) or by coordinates: a unit vector at a cosine of t or more to the query has its component f between
   q_f t - r and q_f t + r, r = sqrt((1 - t^2)(1 - q_f^2)), which is tested on the query's largest coordinates.
 
-What is left is verified by its product in integers, so the result is exact. Queries are a stated part of the rows and
-meet the others in blocks; each pair of blocks sends one block of vectors, and only the best k of a pair come back.
+What is left is verified by its product in integers, so the result is exact. Queries are a stated part of the rows,
+dealt into blocks by the length that a vector must have for them. Some thousand rows of neighbouring buckets are a band,
+some thousand queries of neighbouring blocks a band too; the heads of the bands alone (a number each) tell which two
+bands may hold an answer, and only those are sent to a common task. It holds the band's queries and takes the buckets
+one by one, longest first, so that each raises the thresholds for the next; of a pair of bands a query returns its best k.
 
 Nulls and edges: vectors that are null or hold null or non-finite components take no part, nor do rows with a null id;
 vectors of different dimension never meet. Equal scores rank by id. Rows with the query's own id are not its answers;
@@ -28,16 +32,29 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import scoped, slices, written
 
-BUCKET, QUERIES, SEEDS = 2048, 1024, 2
+#: Vectors of a bucket and queries of a block; rows of a band of either.
+BUCKET, QUERIES, BAND = 2048, 1024, 8192
 #: Median local threshold from which coordinates prune better than lengths, and the coordinates tested.
 STEEP, COORDINATES = 0.5, 4
 _SCHEMA = "id long, dim int, norm double, x binary"
 
 
+def narrowest(x: np.ndarray) -> type:
+    """The smallest kind of integers that holds all of x."""
+    low, high = int(x.min(initial=0)), int(x.max(initial=0))
+    return next(k for k in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(k).min <= low and high <= np.iinfo(k).max)
+
+
+def matrix(data: list[bytes], dim: int) -> np.ndarray:
+    """Rows of one dimension, each in integers of its own size, as one array."""
+    rows = [np.frombuffer(x, f"i{len(x) // dim}") for x in data]
+    return np.stack(rows) if len({r.dtype for r in rows}) == 1 else np.stack([r.astype(np.int64) for r in rows])
+
+
 def _valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, dim, norm, x) of the rows that take part, x as 64-bit integers."""
+    """(id, dim, norm, x) of the rows that take part, x as integers of one, two, four or eight bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -55,7 +72,7 @@ def _valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                 if i is None or not n or gone.any() or not np.isfinite(v).all():
                     continue
                 x = np.floor(64 * v).astype(np.int64)
-                out.append((i, n, float(np.sqrt((x.astype(float) ** 2).sum())), x.tobytes()))
+                out.append((i, n, float(np.sqrt((x.astype(float) ** 2).sum())), x.astype(narrowest(x)).tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.float64(), pa.binary()))], ["id", "dim", "norm", "x"])
 
@@ -64,30 +81,45 @@ def _valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _packed(rows: DataFrame, room: int) -> DataFrame:
-    """Blocks (block, dim, top, ids, xs) of at most `room` neighbouring rows (block, id, dim, norm, x)."""
+    """Blocks (part, dim, top, ids, xs, keys, least, last, reach, n) of at most `room` neighbouring rows (dim, norm, id, x, key, least, last) of a partition.
+
+    top is the greatest length, reach the least length that a vector must have for any of the rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
 
         def block():
-            cols = {"block": [held[0]["block"]], "dim": [held[0]["dim"]], "top": [max(h["norm"] for h in held)], "ids": [np.array([h["id"] for h in held], np.int64).tobytes()], "xs": [b"".join(h["x"] for h in held)]}
-            kinds = {"block": pa.int64(), "dim": pa.int32(), "top": pa.float64()}
-            return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.binary())) for k, v in cols.items()], list(cols))
-
+            dim, col = held[0]["dim"], lambda c, kind: np.array([h[c] for h in held], kind)
+            least, norm, xs = col("least", float), col("norm", float), matrix([h["x"] for h in held], held[0]["dim"])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                reach = np.where(np.isneginf(least) | (norm == 0), -np.inf, least / norm).min()
+            one = [dim, norm.max(), col("id", np.int64).tobytes(), xs.tobytes(), col("key", np.int64).tobytes(), least.tobytes(), col("last", np.int64).tobytes(), float(reach) * (1 - 1e-12) - 1e-9, len(held)]
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(one, kinds)], names)
+
+        names = ["dim", "top", "ids", "xs", "keys", "least", "last", "reach", "n"]
+        kinds = [pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.int32()]
         for batch in slices(batches):
             for r in batch.to_pylist():
-                if held and (len(held) >= room or r["dim"] != held[0]["dim"] or r["block"] != held[0]["block"]):
+                if held and (len(held) >= room or r["dim"] != held[0]["dim"]):
                     yield block()
                     held = []
                 held.append(r)
         if held:
             yield block()
 
-    return rows.mapInArrow(run, "block long, dim int, top double, ids binary, xs binary")
+    own = rows.select("dim", "norm", "id", "x", "key", "least", "last")
+    return own.mapInArrow(run, "dim int, top double, ids binary, xs binary, keys binary, least binary, last binary, reach double, n int").withColumn("part", F.spark_partition_id())
 
 
-def answers(q: np.ndarray, q_ids: np.ndarray, least: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query that has any in this bucket: its position, and ids and scores of the best k of at least its `least`."""
+def _banded(blocks: DataFrame, rows: int) -> DataFrame:
+    """Blocks with their band: neighbouring partitions of BAND rows together, by the partitions' mean."""
+    parts = (blocks.agg(F.max("part")).first()[0] or 0) + 1
+    return blocks.withColumn("band", F.floor(F.col("part") * F.lit(rows / parts) / F.lit(BAND)).cast("int"))
+
+
+def answers(q: np.ndarray, q_ids: np.ndarray, least: np.ndarray, last: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query that has any in this bucket: its position, and ids and scores of the best k that rank before the score `least` of the id `last`."""
     exact = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * max(1, v.shape[1]) < 2**53
     kind = np.float64 if exact else np.int64
     v, q = v.astype(kind), q.astype(kind)
@@ -119,7 +151,7 @@ def answers(q: np.ndarray, q_ids: np.ndarray, least: np.ndarray, v: np.ndarray,
                     low = -1.0 if -e[f] >= ti else e[f] * ti - r
                     keep &= (unit[:reach, f] <= high) & (unit[:reach, f] >= low)
             at = np.flatnonzero(keep)
-            yield from _best(i, v[at] @ q[i], v_ids[at], q_ids[i], least[i], k)
+            yield from _best(i, v[at] @ q[i], v_ids[at], q_ids[i], least[i], last[i], k)
     else:  # by length
         reach = np.searchsorted(-norms, -(need[live] - slack), "right")
         for rows in np.array_split(np.argsort(reach, kind="stable"), max(1, len(live) // 64)):
@@ -128,11 +160,11 @@ def answers(q: np.ndarray, q_ids: np.ndarray, least: np.ndarray, v: np.ndarray,
             scores = q[live[rows]] @ v[: int(reach[rows].max())].T
             for row, s in zip(rows.tolist(), scores):
                 n = int(reach[row])
-                yield from _best(int(live[row]), s[:n], v_ids[:n], q_ids[live[row]], least[live[row]], k)
+                yield from _best(int(live[row]), s[:n], v_ids[:n], q_ids[live[row]], least[live[row]], last[live[row]], k)
 
 
-def _best(i: int, scores: np.ndarray, ids: np.ndarray, own: int, least: float, k: int):
-    ok = np.flatnonzero((scores >= least) & (ids != own))
+def _best(i: int, scores: np.ndarray, ids: np.ndarray, own: int, least: float, last: int, k: int):
+    ok = np.flatnonzero(((scores > least) | (scores == least) & (ids < last)) & (ids != own))
     if len(ok):
         if len(ok) > 4 * k:
             cut = np.partition(scores[ok], len(ok) - k)[len(ok) - k]
@@ -141,78 +173,83 @@ def _best(i: int, scores: np.ndarray, ids: np.ndarray, own: int, least: float, k
         yield i, ids[ok], scores[ok].astype(np.int64)
 
 
-def _met(queries: DataFrame, buckets: DataFrame, blocks: int, parts: int, k: int) -> DataFrame:
-    """(query, query_id, vec_id, score): the best k of each query in each bucket; every bucket meets every block of queries that may reach it."""
-    spread = max(1, -(-parts // max(1, blocks)))
-    left = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    right = buckets.select("dim", "top", F.col("ids").alias("v_ids"), F.col("xs").alias("vs"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("block", "ids"), F.lit(spread)).cast("int").alias("salt"))
-    both = left.drop("top").join(right.withColumn("block", F.col("block").cast("long")), ["block", "dim", "salt"]).where(F.col("top") >= F.col("reach"))
+class Asked:
+    """The queries of a band with their best k so far."""
+
+    def __init__(self, blocks: list[dict], k: int):
+        join = lambda c, kind: np.concatenate([np.frombuffer(b[c], kind) for b in blocks])
+        xs = [np.frombuffer(b["xs"], f"i{len(b['xs']) // b['dim'] // b['n']}").reshape(b["n"], b["dim"]).astype(np.int64) for b in blocks]
+        self.q, self.ids, self.keys, self.least, self.last, self.k = np.concatenate(xs), join("ids", np.int64), join("keys", np.int64), join("least", float), join("last", np.int64), k
+        self.found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def meet(self, v: np.ndarray, v_ids: np.ndarray) -> None:
+        for i, ids, scores in list(answers(self.q, self.ids, self.least, self.last, v, v_ids, self.k)):
+            if i in self.found:
+                ids, scores = np.concatenate([self.found[i][0], ids]), np.concatenate([self.found[i][1], scores])
+                by = np.lexsort((ids, -scores))[: self.k]
+                ids, scores = ids[by], scores[by]
+            self.found[i] = ids, scores
+            if len(ids) == self.k:
+                self.least[i], self.last[i] = scores[-1], ids[-1]
+
+    def rows(self) -> pa.RecordBatch:
+        n = [len(x[0]) for x in self.found.values()]
+        at = np.repeat(np.fromiter(self.found, np.int64, len(n)), n)
+        ids, scores = ([x[j] for x in self.found.values()] or [np.empty(0, np.int64)] for j in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(self.keys[at]), pa.array(self.ids[at]), pa.array(np.concatenate(ids)), pa.array(np.concatenate(scores))], ["query", "query_id", "vec_id", "score"])
+
+
+def _met(queries: DataFrame, buckets: DataFrame, parts: int, k: int) -> DataFrame:
+    """(query, query_id, vec_id, score): the best k of each query in each band of buckets that may hold an answer."""
+    heads = lambda x, name, end: x.groupBy("dim", F.col("band").alias(name)).agg(end)
+    pairs = heads(buckets, "v", F.max("top").alias("top")).join(heads(queries, "q", F.min("reach").alias("reach")), "dim").where("top >= reach").select("dim", "v", "q")
+    pairs = written(pairs)  # a few numbers a pair of bands
+    columns = ["v", "q", "asks", "dim", "top", "ids", "xs", "keys", "least", "last", "n"]
+    ask = queries.withColumnRenamed("band", "q").join(pairs, ["dim", "q"]).withColumn("asks", F.lit(True)).select(columns)
+    say = buckets.withColumnRenamed("band", "v").join(pairs, ["dim", "v"]).withColumn("asks", F.lit(False)).select(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, asked = None, [], None
         for batch in batches:
-            for at in range(batch.num_rows):
-                r = batch.slice(at, 1).to_pylist()[0]
-                q = np.frombuffer(r["xs"], np.int64).reshape(-1, r["dim"])
-                v = np.frombuffer(r["vs"], np.int64).reshape(-1, r["dim"])
-                q_ids, least, keys = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["least"], np.float64), np.frombuffer(r["keys"], np.int64)
-                out = list(answers(q, q_ids, least, v, np.frombuffer(r["v_ids"], np.int64), k))
-                if out:
-                    n = [len(o[1]) for o in out]
-                    at_ = np.repeat([o[0] for o in out], n)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[at_]), pa.array(q_ids[at_]), pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]))], ["query", "query_id", "vec_id", "score"])
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                if at != (r["v"], r["q"], r["dim"]):
+                    if asked and asked.found:
+                        yield asked.rows()
+                    at, held, asked = (r["v"], r["q"], r["dim"]), [], None
+                if r["asks"]:
+                    held.append(r)
+                    continue
+                asked = asked or Asked(held, k)
+                v = np.frombuffer(r["xs"], f"i{len(r['xs']) // r['dim'] // r['n']}").reshape(r["n"], r["dim"])
+                asked.meet(v, np.frombuffer(r["ids"], np.int64))
+        if asked and asked.found:
+            yield asked.rows()
 
-    return both.select("dim", "ids", "xs", "least", "keys", "v_ids", "vs").mapInArrow(run, "query long, query_id long, vec_id long, score long")
+    both = ask.union(say).repartition(parts, "v", "q", "dim").sortWithinPartitions("v", "q", "dim", F.desc("asks"), F.desc("top"))
+    return both.select("v", "q", "asks", "dim", "ids", "xs", "keys", "least", "last", "n").mapInArrow(run, "query long, query_id long, vec_id long, score long")
 
 
+@scoped
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest products of each row whose id is divisible by `every` with all other rows."""
     spark = vectors.sparkSession
+    nothing = lambda x: x.withColumns({"least": F.lit(float("-inf")), "last": F.lit(-1).cast("long")})
     rows = written(_valid(vectors, id_col, vector_col))
-    n, asked = rows.count(), rows.where(F.pmod("id", F.lit(every)) == 0)
-    n_asked = asked.count()
+    asked = written(rows.where(F.pmod("id", F.lit(every)) == 0).withColumn("key", F.monotonically_increasing_id()))
+    n, n_asked = rows.count(), asked.count()
     if not n_asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    count = -(-n // BUCKET)
     # Equal lengths are told apart by the id's hash, so that a frequent vector fills several buckets.
-    ranged = rows.withColumn("block", F.lit(0).cast("long")).repartitionByRange(max(1, count), F.col("dim"), F.col("norm").desc(), F.xxhash64("id", "x"))
-    buckets = written(_packed(ranged.sortWithinPartitions("dim", F.col("norm").desc()), BUCKET))
-    which = F.xxhash64("dim", "ids")
-    seeds = [r.which for r in buckets.select("top", which.alias("which")).orderBy(F.desc("top"), "which").limit(SEEDS).collect()]
-    blocks = -(-n_asked // QUERIES)
-    queries = written(asked.withColumns({"key": F.monotonically_increasing_id(), "block": F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)).cast("long")}))
-
-    def blocked(q: DataFrame) -> DataFrame:
-        """Blocks of queries (block, dim, ids, xs, keys, least, reach) from rows with their least score."""
-        own = q.repartition(max(blocks, 1), "block").sortWithinPartitions("block", "dim")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[dict] = []
-
-            def block():
-                least, norm = np.array([h["least"] for h in held]), np.array([h["norm"] for h in held])
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    reach = np.where(np.isneginf(least) | (norm == 0), -np.inf, least / norm).min()
-                cols = [[held[0]["block"]], [held[0]["dim"]], [0.0], [np.array([h["id"] for h in held], np.int64).tobytes()], [b"".join(h["x"] for h in held)], [np.array([h["key"] for h in held], np.int64).tobytes()], [least.tobytes()], [float(reach) * (1 - 1e-12) - 1e-9]]
-                kinds = [pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.float64()]
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["block", "dim", "top", "ids", "xs", "keys", "least", "reach"])
-
-            for batch in slices(batches):
-                for r in batch.to_pylist():
-                    if held and (len(held) >= QUERIES or r["dim"] != held[0]["dim"] or r["block"] != held[0]["block"]):
-                        yield block()
-                        held = []
-                    held.append(r)
-            if held:
-                yield block()
-
-        return own.select("block", "dim", "norm", "id", "x", "key", "least").mapInArrow(run, "block long, dim int, top double, ids binary, xs binary, keys binary, least binary, reach double")
+    dealt = lambda x, count, room, by: _packed(x.repartitionByRange(max(1, -(-count // room)), F.col("dim"), by, F.xxhash64("id", "x")).sortWithinPartitions("dim", by), room)
+    buckets = _banded(written(dealt(nothing(rows).withColumn("key", F.lit(0).cast("long")), n, BUCKET, F.col("norm").desc())), n)
+    first = written(_met(_banded(written(dealt(nothing(asked), n_asked, QUERIES, F.col("norm"))), n_asked), buckets.where("band = 0"), parts, k))
 
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     best = lambda found: found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
-    longest = which.isin(seeds)
-    first = written(_met(blocked(queries.withColumn("least", F.lit(float("-inf")))), buckets.where(longest), blocks, parts, k))
-    known = best(first).groupBy("query").agg(F.min("score").alias("low"), F.count("*").alias("n")).where(F.col("n") == k).select(F.col("query").alias("key"), F.col("low").cast("double").alias("least"))
-    told = queries.join(known, "key", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
-    rest = _met(blocked(told), buckets.where(~longest), blocks, parts, k)
-    return best(first.union(rest)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    known = best(first).where(F.col("rank") == k).select(F.col("query").alias("key"), F.col("score").cast("double").alias("least"), F.col("vec_id").alias("last"))
+    told = asked.join(known, "key", "left").withColumns({"least": F.coalesce("least", F.lit(float("-inf"))), "last": F.coalesce("last", F.lit(-1))})
+    need = F.when(F.col("norm") > 0, F.col("least") / F.col("norm")).otherwise(F.lit(float("-inf")))
+    rest = _met(_banded(written(dealt(told, n_asked, QUERIES, need)), n_asked), buckets.where("band > 0"), parts, k)
+    return best(written(first.union(rest))).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

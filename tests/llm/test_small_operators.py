@@ -145,6 +145,7 @@ def test_long_edits_rebuild():
 @pytest.mark.parametrize("seed,scale", [(1, 1.0), (2, 0.05)])
 def test_top_k(spark, monkeypatch, seed, scale):
     monkeypatch.setattr(topk_search, "BUCKET", 32)
+    monkeypatch.setattr(topk_search, "BAND", 48)
     monkeypatch.setattr(topk_search, "QUERIES", 8)
     rng = np.random.default_rng(seed)
     centres = rng.normal(0, 1, (4, 8))
