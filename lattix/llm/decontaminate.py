@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_of, slices
+from .common import bloom_of, scoped, slices
 from .words import Words, groups, windows
 
 # Words that stand for numbers, and units.
@@ -196,6 +196,7 @@ def consistent(matches: list[tuple[int, list[str], list[str]]]) -> tuple[int, bo
     return len(good), any(a.split(":", 1)[1] != b for a, b in best.items())
 
 
+@scoped
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, share: float = 0.5, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
     """(doc_id, item_id, windows, matched, reparameterised) of every document and item of which at least `share` of the item's windows match."""
     spark = docs.sparkSession
@@ -216,6 +217,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, share: f
     return pairs.mapInArrow(run, "doc_id long, item_id long, windows int, matched int, reparameterised boolean").where(F.col("matched") >= F.lit(share) * F.col("windows"))
 
 
+@scoped
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 8, share: float = 0.5) -> DataFrame:
     """docs without the contaminated rows; rows with a null id stay."""
     bad = contaminated(docs, benchmark, width, share).select(F.col("doc_id").alias("_contaminated")).distinct()

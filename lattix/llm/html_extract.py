@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import scoped, slices, written
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!?[/A-Za-z?][^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*>|[^<]+|<", re.S | re.I)
 TAG = re.compile(r"<(/?)([A-Za-z][\w:-]*)")
@@ -431,6 +431,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return found.repartition("host").sortWithinPartitions("host", F.length("shape"), "shape").mapInArrow(infer, "host string, wrapper string, content array<string>")
 
 
+@scoped
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row."""
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))

@@ -14,11 +14,13 @@ share one of the first n - ceil(t n) + 1 numbers of each, and k of the first n -
    can't reach the overlap needed. Subtrees already connected to the probe are left too (union-find), so a group of
    thousands of near copies costs a few comparisons each.
 
-Large groups are dealt into blocks. After all blocks are joined by themselves, a group of several blocks that still holds
-two components is joined again: rows of its main component lie in one block, all others visit every block as probes, so
-each two rows of different components meet and no task stores more than a block. That makes the result exact. The sketch
-and the filter that finds the texts wanted have fixed or capped sizes; a full filter lets through texts that the join by
-node then drops.
+Groups are described by their distinct set sizes, counted before anything is shuffled by group, so a group that holds a
+third of all rows is a few rows a size. Large groups are dealt into blocks by set size. After all blocks are joined by
+themselves, a group of several blocks that still holds two components is joined again: rows of its main component lie in
+one block, all others visit, as probes, the blocks that hold sets of a fitting size, so each two rows of different
+components that may be linked meet, and no task stores more than a block. That makes the result exact. Numbers of crowded
+cells are counted in two steps, others in a window. The sketch and the filter that finds the texts wanted have fixed or
+capped sizes; a full filter lets through texts that the join by node then drops.
 
 Nulls and edges: a null text or one without words has an empty set, size 0, linked with nothing. With fewer than n words
 the whole sequence is the one shingle. A row with a null id is returned without component and links nothing. Rows that
@@ -36,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bloom_of, components, drop, merged_sketch, mix, sketch_rows, slices, written
+from .common import bloom_of, components, drop, merged_sketch, scoped, sketch_rows, slices, written
 from .words import shingles
 
 SKETCH_BITS = 22
@@ -44,6 +46,8 @@ SKETCH_BITS = 22
 BLOCK_ROWS = 1024
 #: Percent of a set's size by which its prefix is longer than one shared number needs; similar sets then share so many more.
 EXTRA = 10
+#: Level (quarter octaves over the mean) from which a cell is crowded, and the parts in which its numbers are dealt.
+CROWDED, SALTS = 16, 4096
 #: The filter takes 16 bits an entry, from 2**20 to 2**30 in all.
 FILTER_BITS = 30
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -290,6 +294,7 @@ def _linked(members: DataFrame, about, parts: int) -> DataFrame:
     return members.repartition(parts, "low", "block").sortWithinPartitions("low", "block", "visits").select("low", "block", "visits", "node", "text").mapInArrow(run, "a long, b long")
 
 
+@scoped
 def similar(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest id reachable by links of percent % similarity."""
     spark = docs.sparkSession
@@ -302,39 +307,54 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_i
     copies = written(rows.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")).where("copies > 1").select("set_id", "node"))
     nodes = written(rows.join(copies, "set_id", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node"), "n_shingles"))
 
-    # Numbers that two nodes or more hold; their groups, merged by the smallest node of each.
-    w = Window.partitionBy("number")
-    shared = written(_prefixes(docs, about).withColumn("holders", F.count("*").over(w)).where("holders > 1").select("number", "doc_id"))
+    # Numbers that two nodes or more hold; their groups, merged by the smallest node of each. Numbers of crowded cells are
+    # taken as held by several, and their least and greatest nodes are aggregated, so that no window holds a frequent one.
+    crowded = F.shiftrightunsigned("number", 58) >= CROWDED
+    w = Window.partitionBy("number", F.when(crowded, F.pmod("doc_id", F.lit(SALTS))).otherwise(F.lit(0)))
+    shared = written(_prefixes(docs, about).withColumn("holders", F.when(crowded, F.lit(2)).otherwise(F.count("*").over(w))).where("holders > 1").select("number", "doc_id"))
     known = nodes.where("node is not null")
     # A set similar to another shares at least as many prefix numbers as the smallest set that can be similar to it has to.
     least = F.expr(f"((n_shingles * {percent} + 99) div 100 * {EXTRA}) div 100 + 1")
     held = shared.join(known.distinct(), "doc_id").withColumn("common", F.count("*").over(Window.partitionBy("doc_id", "node", "n_shingles"))).where(F.col("common") >= least)
-    held = held.select("number", "node", F.min("node").over(w).alias("low"), F.max("node").over(w).alias("high"))
-    groups = written(held.where("low <> high").groupBy("low", "node").agg(F.lit(1).alias("one")).select("low", "node"))
+    held = written(held.select("number", "node"))
     drop(shared)
+    ends = lambda x: [F.min("node").alias("low"), F.max("node").alias("high")] if x is None else [F.min("node").over(x).alias("low"), F.max("node").over(x).alias("high")]
+    few = held.where(~crowded).select("number", "node", *ends(Window.partitionBy("number")))
+    many = held.where(crowded).join(held.where(crowded).groupBy("number").agg(*ends(None)), "number")
+    grouped = few.union(many.select(few.columns)).where("low <> high").groupBy("low", "node").agg(F.lit(1).alias("one"))
 
     # Sets of very different sizes can't be linked: a node without a neighbour in size in its group goes.
     sizes = known.where("node = doc_id").groupBy("node").agg(F.max("n_shingles").alias("most"), F.min("n_shingles").alias("least"))
-    by_size = Window.partitionBy("low").orderBy("least", "node")
+    groups = written(grouped.join(sizes, "node").select("low", "node", "least", "most"))
+    drop(held)
+    by_size = Window.partitionBy("low").orderBy("least", "most")
     near = lambda small, large: small * 100 >= large * percent
-    kept = groups.join(sizes, "node").withColumns({"next": F.lead("least").over(by_size), "last": F.max("most").over(by_size.rowsBetween(Window.unboundedPreceding, -1))})
-    kept = kept.where(near(F.col("most"), F.col("next")) | near(F.col("last"), F.col("least")))
-    members = written(kept.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("low")) / F.lit(BLOCK_ROWS)).cast("int")).select("low", "node", "blocks"))
+    kinds = groups.groupBy("low", "least", "most").agg(F.count("*").alias("alike"))
+    kinds = kinds.withColumns({"next": F.lead("least").over(by_size), "before": F.max("most").over(by_size.rowsBetween(Window.unboundedPreceding, -1))})
+    kinds = kinds.where((F.col("alike") > 1) | near(F.col("most"), F.col("next")) | near(F.col("before"), F.col("least")))
+    kinds = kinds.withColumns({"before": F.sum("alike").over(by_size) - F.col("alike"), "blocks": F.ceil(F.sum("alike").over(Window.partitionBy("low")) / F.lit(BLOCK_ROWS)).cast("int")})
+    kinds = written(kinds.select("low", "least", "most", "alike", "before", "blocks"))
+    block = F.floor((F.col("before") + F.pmod(F.xxhash64("low", "node"), "alike")) / F.lit(BLOCK_ROWS)).cast("int")
+    members = written(groups.join(kinds, ["low", "least", "most"]).select("low", "node", "least", "most", "blocks", block.alias("block")))
     drop(groups)
-    own = F.pmod(F.xxhash64("low", "node"), "blocks").cast("int")
-    links = _joined_groups(docs, about, members.select("low", "node", own.alias("block"), F.lit(False).alias("visits")))
+    links = _joined_groups(docs, about, members.select("low", "node", "block", F.lit(False).alias("visits")))
     copied = known.where("node <> doc_id").select("doc_id", "node")
 
-    # Groups of several blocks that still hold two components: all but the most frequent component visit every block.
+    # Groups of several blocks that still hold two components: all but the most frequent component visit every block that
+    # holds a set of a fitting size.
     large = members.where("blocks > 1")
     if not large.isEmpty():
         left = large.join(written(components(links)), "node", "left").withColumn("component", F.coalesce("component", "node"))
         per = left.groupBy("low", "component").agg(F.count("*").alias("n"))
-        main = written(per.groupBy("low").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1"))
-        open_ = left.join(main, "low").withColumn("own", own)
-        every = F.when(F.col("component") == F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-        open_ = open_.select("low", "node", "own", F.explode(every).alias("block")).select("low", "node", "block", (F.col("block") != F.col("own")).alias("visits"))
-        links = links.union(_joined_groups(docs, about, open_))
+        main = per.groupBy("low").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
+        open_ = written(left.join(written(main), "low").select("low", "node", "least", "most", "block", (F.col("component") == F.col("main")).alias("stays")))
+        ranges = open_.groupBy("low", "block").agg(F.min("least").alias("from"), F.max("most").alias("to"))
+        asked = open_.where("not stays").select("low", "least", "most").distinct()
+        visits = written(asked.join(ranges, "low").where(near(F.col("to"), F.col("least")) & near(F.col("most"), F.col("from"))).select("low", "least", "most", F.col("block").alias("visited")))
+        visiting = open_.where("not stays").join(visits, ["low", "least", "most"]).select("low", "node", F.col("visited").alias("block"), (F.col("visited") != F.col("block")).alias("visits"))
+        met = visits.select("low", F.col("visited").alias("block")).distinct()
+        staying = open_.where("stays").join(met, ["low", "block"], "left_semi").select("low", "node", "block", F.lit(False).alias("visits"))
+        links = links.union(_joined_groups(docs, about, visiting.union(staying)))
     final = components(links.union(copied).toDF("a", "b"))
     return nodes.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 

@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scoped, written
 
 #: Hex digits of the digest by which a range is split.
 STEP = 3
@@ -115,6 +115,7 @@ class Ranges:
             self.split(open_)
 
 
+@scoped
 def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row, by the law `bytes`."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
