@@ -92,7 +92,7 @@ def scope(kept: Callable[[], DataFrame | None] = lambda: None):
         yield
         reads = _read_by(kept()) if kept() is not None else ""
     finally:
-        _scopes.remove(own)
+        _scopes[:] = [s for s in _scopes if s is not own]
         for table in own:
             path = getattr(table, "_lattix_path", None)
             if path and path.rpartition("/")[2] in reads:

@@ -69,6 +69,79 @@ def test_random_letters_of_one_case():
         assert all(secret_scan.battery(change(w)) > 0.01 for w in words if len(w) >= secret_scan.SHORTEST)
 
 
+ALPHABETS = {"hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "letters": "abcdefghijklmnopqrstuvwxyz", "base36": "abcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+WORDS = "internationalization of the responsibilities shall be considered by every commissioner whose understanding is not yet perfect while notwithstanding all those disproportionately large figures from the counterrevolutionary movement there will be some more information about that question".split()
+
+
+def planted(rng, n):
+    """Rows of prose with natural long strings, and random strings of every encoding and length with their places."""
+    rows, places = [], {}
+    glued = lambda: rng.choice(["_", "-", "/", ""]).join(rng.choice(WORDS) for _ in range(6)) + rng.choice(["", "-2024-05-12", "_v2", "20240512T102233"])
+    for i in range(n):
+        name = rng.choice(sorted(ALPHABETS))
+        value = "q" + "".join(rng.choice(ALPHABETS[name]) for _ in range(rng.choice([24, 32, 40, 64, 128]))) + "q" if name == "letters" else "".join(rng.choice(ALPHABETS[name]) for _ in range(rng.choice([24, 32, 40, 64, 128])))
+        before = " ".join([*(rng.choice(WORDS) for _ in range(20)), *(glued() for _ in range(3)), "é ü"]) + " "
+        rows.append((i, before + value + " " + " ".join(rng.choice(WORDS) for _ in range(10))))
+        places[i] = (name, len(value), len(before), len(before) + len(value))
+    return rows, places
+
+
+def test_recall_and_false_discoveries(spark):
+    rows, places = planted(random.Random(21), 400)
+    got = {r.doc_id: [tuple(x) for x in r.spans if x.kind == 3] for r in secret_scan.scan(frame(spark, rows)).collect()}
+    hit = {i: any(a < places[i][3] and b > places[i][2] for a, _, b in got[i]) for i in places}
+    for name in ALPHABETS:
+        own = [hit[i] for i in places if places[i][0] == name]
+        assert sum(own) >= 0.9 * len(own), name
+    wrong = sum(b <= places[i][2] or a >= places[i][3] for i in places for a, _, b in got[i])
+    assert wrong <= 0.02 * sum(map(len, got.values()))
+
+
+def test_binned_rule_is_the_plain_one(spark):
+    """The bins report no piece that Benjamini and Hochberg's rule on the p values themselves doesn't, and lose few."""
+    rows, _ = planted(random.Random(22), 200)
+    raws = [t.encode() for _, t in rows]
+    natural = secret_scan.natural_model(secret_scan.natural_pairs(raws))
+    tested = []
+    for i, raw in enumerate(raws):
+        text = raw.decode()
+        tested += [(i, a, b, c, secret_scan.battery(text[a:b], natural)) for a, b, c, _ in secret_scan.scan_text(raw, natural)[1]]
+    plain = set()
+    for c in range(len(secret_scan.CLASSES)):
+        own = sorted((t for t in tested if t[3] == c), key=lambda t: t[4])
+        last = max((n for n, t in enumerate(own, 1) if t[4] <= 0.01 * n / len(own)), default=0)
+        plain |= {t[:3] for t in own[:last]}
+    got = {(r.doc_id, x.start, x.end) for r in secret_scan.scan(frame(spark, rows)).collect() for x in r.spans if x.kind == 3}
+    assert got <= plain and len(got) >= 0.97 * len(plain)
+
+
+def test_pieces_beside_base_spans_and_odd_bytes(spark):
+    rng = random.Random(23)
+    value = "".join(rng.choice(ALPHABETS["base64"][:62]) for _ in range(40))
+    text = f"é AKIA{'A' * 16}/{value} tail"
+    natural = secret_scan.natural_model()
+    spans, tested = secret_scan.scan_text(text.encode(), natural)
+    assert spans == [(2, 1, 22)] and [text[a:b] for a, b, _, _ in tested] == [f"/{value}"]
+    broken = b"\xff\xfe " + value.encode() + b" \xc3"
+    about = secret_scan.Learnt(natural, [1] * 4)
+    assert secret_scan.reported(broken, about)[1] == [(3, 3, 43)]
+    assert secret_scan.redact_text(broken, about) == "\ufffd\ufffd [random] \ufffd".encode()
+    df = spark.createDataFrame([(1, bytearray(broken))], "doc_id long, raw binary").select("doc_id", F.col("raw").cast("string").alias("text"))
+    assert secret_scan.scan(df).count() == 1 and secret_scan.redacted(df).count() == 1
+
+
+def test_long_texts_are_linear():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        raw = ("überlänge " + "x" * 25 + " ") * n
+        began = time.process_time()
+        secret_scan.scan_text(raw.encode()[: 36 * n])
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0]
+
+
 def test_redacted_keeps_rows(spark):
     rows = [(1, "x password=abcdefgh12 y"), (2, None), (3, "clean")]
     df = frame(spark, rows).withColumn("n_chars", F.length("text").cast("long"))
