@@ -5,16 +5,21 @@ names and units become typed placeholders that remember what they stood for, the
 capital at the beginning of a sentence tells little: names are words with a capital that don't begin a sentence, or words
 with a capital that aren't common openers of sentences; a window of an item matches if it does in either. Every window of `width` template words of an item, and the whole of an item that is shorter, is
 hash-joined with the same windows of the documents: executors drop windows outside a filter of the benchmark's windows
-(false hits only cost a row), then the join is a join of two tables, of which Spark picks the form by size.
-
-For each document and item, the slots that matched are checked for consistency: one value of the item must stand for one
-value of the document throughout (by majority, as a document may hold two versions). The share of the item's windows that
-match consistently decides; `reparameterised` says that some slot's value differs. So a question with other names,
-numbers and units is caught, and a passage whose shape only happens to agree isn't.
-
-Windows without any literal word don't count unless an item has no others. Nulls and edges: null or wordless texts match
-nothing; rows with a null id are left out, and rows that repeat an id count as one document (one item), any of whose
-versions may match. Empty tables give an empty result; other columns aren't looked at.
+(false hits only cost a row), then the join is a join of two tables, of which Spark picks the form by size. A window that
+more than `COMMON` items share is joined only where the document and the item already met in a rarer one, unless so many
+of an item's windows are common that a match needn't have a rarer one.
+
+For each document and item, the slots that matched are checked for consistency, each version of the item that the document
+may hold by itself (matches whose places in the document and the item differ by about the same): one value of the item
+must stand for one value of the document, and no two values of a kind for the same one. Which, the votes decide. Windows
+that match under that substitution count for the item, windows that match but contradict it count against it, and their
+difference, as a share of the item's windows, decides; `reparameterised` says that some slot's value differs. So a
+question with other names, numbers and units is caught, and a passage whose shape only happens to agree isn't.
+
+Windows without any literal word don't count unless an item has no others. Nulls and edges: null or wordless texts and
+items of fewer than `FEWEST` template words match nothing; rows with a null id are left out, and rows that repeat an id
+count as one document (one item), any of whose versions may match. Texts of any length are read in whole. Empty tables
+give an empty result; other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -25,10 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bloom_of, scoped, slices
+from .common import bloom_of, scoped, slices, written
 from .words import Words, groups, windows
 
 # Words that stand for numbers, and units.
@@ -37,6 +42,8 @@ UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram gra
 # Words that begin sentences without being names.
 OPENERS = "a about above according add after again all almost along already also although always among an and another any anyone are as ask assume at away back based be because become before begin being below between both bring but by calculate call can check choose come compare complete compute consider could count describe despite determine did do does draw during each early either else enough estimate even eventually every everyone everything evaluate except explain express few figure fill finally find first following for from further generally get give given go had half has have he hence her here hers him his how however i if imagine in indeed initially inside instead into is it its itself just keep know last lastly later least less let like likewise list look made make many maybe meanwhile more most much multiply my name near neither never nevertheless next no nobody none nor not note nothing now of off often on once one only or other others otherwise our out outside over overall own part perhaps please prove put rather read recall round same say see several shall she should show simplify since so solve some someone something sometimes soon state still subtract such suppose take tell than that the their them then there therefore these they think this those though through throughout thus to today together tomorrow tonight too toward under unless unlike until up upon us use using usually was we well were what whatever when whenever where whereas whether which while who whoever whom whose why with within without work would write yes yesterday yet you your".split()
 LITERAL, NUM, NAME, UNIT = range(4)
+#: Template words that an item must have; items that may share a window before it is common; words by which places may shift within a version.
+FEWEST, COMMON, SHIFT = 5, 64, 3
 MARKS = np.array([0, 0x1D5C3A7E9B24F681, 0x2E6B4F8D1C35A792, 0x3F7A5E9C2D46B8A3], np.uint64)
 
 
@@ -125,7 +132,7 @@ class Templates(Words):
         return [f"{j}:{kinds[j]}:{self.low[self.a[at + j] : self.b[at + j]].tobytes().decode('utf-8', 'replace')}" for j in np.flatnonzero(kinds).tolist()]
 
 
-_SCHEMA = "id long, hash long, window long, slots array<string>, literal boolean, wide int, total int"
+_SCHEMA = "id long, hash long, window long, slots array<string>, literal boolean, place int, wide int, total int"
 
 
 def _item_windows(benchmark: DataFrame, width: int, id_col: str) -> DataFrame:
@@ -135,16 +142,18 @@ def _item_windows(benchmark: DataFrame, width: int, id_col: str) -> DataFrame:
             for first, group in groups(batch.column(1).to_pylist()):
                 t = Templates(group)
                 for i, (a, b) in enumerate(zip(t.first[:-1].tolist(), t.first[1:].tolist())):
+                    if b - a < FEWEST:
+                        continue
                     wide = min(width, b - a)
                     own, also = [], []
                     first_reading, second = (windows(h[a:b], wide).view(np.int64).tolist() for _, h in t.readings)
                     for at, (x, y) in enumerate(zip(first_reading, second)):
                         s = t.slots(a + at, wide, 0)
                         window = xxhash.xxh3_64_intdigest(repr((x, s)).encode()) - (1 << 63)
-                        own.append((x, window, s, len(s) < wide))
+                        own.append((x, window, s, len(s) < wide, at))
                         if y != x:
                             s = t.slots(a + at, wide, 1)
-                            also.append((y, window, s, len(s) < wide))
+                            also.append((y, window, s, len(s) < wide, at))
                     some = any(o[3] for o in own)
                     own = [o for o in own if o[3] or not some]
                     counted = {o[1] for o in own}
@@ -152,14 +161,14 @@ def _item_windows(benchmark: DataFrame, width: int, id_col: str) -> DataFrame:
                     also = [o for o in also if o[1] in counted and (o[3] or not some)]
                     out += [(names[first + i], *o, wide, len(counted)) for o in own + also]
             if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(("id", "hash", "window", "slots", "literal", "wide", "total"), o)) for o in out], pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("window", pa.int64()), ("slots", pa.list_(pa.string())), ("literal", pa.bool_()), ("wide", pa.int32()), ("total", pa.int32())]))
+                yield pa.RecordBatch.from_pylist([dict(zip(("id", "hash", "window", "slots", "literal", "place", "wide", "total"), o)) for o in out], pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("window", pa.int64()), ("slots", pa.list_(pa.string())), ("literal", pa.bool_()), ("place", pa.int32()), ("wide", pa.int32()), ("total", pa.int32())]))
 
     own = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").cast("binary").alias("text")).where("id is not null")
     return own.mapInArrow(run, _SCHEMA)
 
 
 def _document_windows(docs: DataFrame, widths: list[int], wanted) -> DataFrame:
-    """Windows that pass the filter, once a document with the same slots."""
+    """(doc_id, hash, at, values) of the windows that pass the filter, at their places in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         those = wanted.value
@@ -173,27 +182,52 @@ def _document_windows(docs: DataFrame, widths: list[int], wanted) -> DataFrame:
                     text = np.searchsorted(t.first, at, "right") - 1
                     whole = at + wide <= t.first[np.minimum(text + 1, len(t.first) - 1)]
                     for j, i in zip(at[whole].tolist(), text[whole].tolist()):
-                        found.add((names[first + i], int(own[j : j + 1].view(np.int64)[0]), *t.slots(j, wide, reading)))
-            out = [(f[0], f[1], list(f[2:])) for f in found]
+                        found.add((names[first + i], int(own[j : j + 1].view(np.int64)[0]), j - int(t.first[i]), *t.slots(j, wide, reading)))
+            out = [(f[0], f[1], f[2], list(f[3:])) for f in found]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.string()))], ["doc_id", "hash", "values"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.list_(pa.string()))], ["doc_id", "hash", "at", "values"])
+
+    return docs.mapInArrow(run, "doc_id long, hash long, at int, values array<string>")
+
+
+Match = tuple[int, int, list[str], list[str]]  # window, place in the document less place in the item, item's slots, document's slots
+
+
+def versions(matches: list[Match]) -> list[list[Match]]:
+    """The matches of each version of the item in the document: those of one shift, and those of shifts that follow each other closely."""
+    by: dict[int, list[Match]] = {}
+    for m in matches:
+        by.setdefault(m[1], []).append(m)
+    chains: list[list[int]] = []
+    for shift in sorted(by):
+        if chains and shift - chains[-1][-1] <= SHIFT:
+            chains[-1].append(shift)
+        else:
+            chains.append([shift])
+    return list(by.values()) + [[m for s in c for m in by[s]] for c in chains if len(c) > 1]
+
 
-    return docs.mapInArrow(run, "doc_id long, hash long, values array<string>")
+def consistent(matches: list[Match]) -> tuple[int, bool]:
+    """For the version of the item that matches best: its windows that agree with one substitution, less those that contradict it, and whether it changes a value."""
+    return max((_agreeing(v) for v in versions(matches)), key=lambda x: (x[0], not x[1]), default=(0, False))
 
 
-def consistent(matches: list[tuple[int, list[str], list[str]]]) -> tuple[int, bool]:
-    """Of matches (window, item's slots, document's slots): the item's windows that match under one substitution, and whether it changes a value."""
-    votes: dict[str, Counter] = {}
+def _agreeing(matches: list[Match]) -> tuple[int, bool]:
+    votes: Counter = Counter()
     pairs = []
-    for window, theirs, ours in matches:
-        kinds = [(a.split(":", 2)[1:], b.split(":", 2)[1:]) for a, b in zip(theirs, ours)]
-        own = [(f"{a[0]}:{a[1]}", b[1]) for a, b in kinds]
+    for window, _, theirs, ours in matches:
+        own = [(*a.split(":", 2)[1:], b.split(":", 2)[2]) for a, b in zip(theirs, ours)]
         pairs.append((window, own))
-        for a, b in own:
-            votes.setdefault(a, Counter())[b] += 1
-    best = {a: min(c.items(), key=lambda x: (-x[1], x[0]))[0] for a, c in votes.items()}
-    good = {window for window, own in pairs if all(best[a] == b for a, b in own)}
-    return len(good), any(a.split(":", 1)[1] != b for a, b in best.items())
+        votes.update(own)
+    meant: dict[tuple[str, str], str] = {}
+    taken: set[tuple[str, str]] = set()
+    for kind, a, b in sorted(votes, key=lambda x: (-votes[x], x[1] != x[2], x)):
+        if (kind, a) not in meant and (kind, b) not in taken:
+            meant[kind, a] = b
+            taken.add((kind, b))
+    good = {window for window, own in pairs if all(meant.get((kind, a)) == b for kind, a, b in own)}
+    against = {window for window, _ in pairs} - good
+    return len(good) - len(against), any(a != b for (_, a), b in meant.items())
 
 
 @scoped
@@ -201,17 +235,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, share: f
     """(doc_id, item_id, windows, matched, reparameterised) of every document and item of which at least `share` of the item's windows match."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).where("doc_id is not null")
-    items = _item_windows(benchmark, width, item_col)
+    read = written(_item_windows(benchmark, width, item_col))
+    # An item's windows from the rarest on: one of the first `total` - ceil(share * `total`) + 1 is in every match.
+    by_rarity = Window.partitionBy("item_id").orderBy("shared", "window")
+    items = read.join(read.groupBy("hash").agg(F.count_distinct("id").alias("holders")), "hash").withColumnRenamed("id", "item_id")
+    items = items.withColumn("shared", F.max("holders").over(Window.partitionBy("item_id", "window")))
+    first = F.dense_rank().over(by_rarity) <= F.col("total") - F.ceil(F.lit(share) * F.col("total")) + 1
+    items = written(items.withColumn("leads", first | (F.col("shared") <= COMMON)).select("item_id", "hash", "window", "place", "slots", "total", "leads", "wide"))
     widths = sorted(r[0] for r in items.select("wide").distinct().collect())  # `width` values at most
-    many = items.count()
-    bits = min(30, max(20, int(np.ceil(np.log2(16 * max(1, many))))))
+    bits = min(30, max(20, int(np.ceil(np.log2(16 * max(1, items.count()))))))
     wanted = spark.sparkContext.broadcast(bloom_of(items.select("hash"), bits))
-    found = _document_windows(own, widths, wanted).join(items.withColumnRenamed("id", "item_id"), "hash")
-    pairs = found.groupBy("doc_id", "item_id").agg(F.max("total").alias("windows"), F.collect_set(F.struct("window", "slots", "values")).alias("matches"))
+    found = written(_document_windows(own, widths, wanted))
+    both = ["doc_id", "item_id", "window", "total", (F.col("at") - F.col("place")).alias("shift"), "slots", "values"]
+    leading = written(found.join(items.where("leads"), "hash").select(both))
+    common = items.where("not leads").select("item_id", "hash", "window", "place", "slots", "total")
+    met = leading.select("doc_id", "item_id").distinct()
+    rest = found.join(common.select("hash").distinct(), "hash", "left_semi").join(met, "doc_id").join(common, ["item_id", "hash"]).select(both)
+    pairs = leading.union(rest).groupBy("doc_id", "item_id").agg(F.max("total").alias("windows"), F.collect_set(F.struct("window", "shift", "slots", "values")).alias("matches"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            got = [consistent([(m["window"], m["slots"], m["values"]) for m in ms]) for ms in batch.column(3).to_pylist()]
+            got = [consistent([(m["window"], m["shift"], m["slots"], m["values"]) for m in ms]) for ms in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.bool_())], ["doc_id", "item_id", "windows", "matched", "reparameterised"])
 
     return pairs.mapInArrow(run, "doc_id long, item_id long, windows int, matched int, reparameterised boolean").where(F.col("matched") >= F.lit(share) * F.col("windows"))

@@ -164,13 +164,89 @@ def test_decontaminate(spark):
     got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(frame(spark, rows), frame(spark, bench, "item_id long, text string")).collect()}
     assert {k[0] for k in got if k[1] == 1} == {1, 2, 6}
     assert got[2, 1].reparameterised and not got[1, 1].reparameterised
-    assert decontaminate.consistent([("a", ["0:2:alice", "1:2:alice"], ["0:2:bob", "1:2:tom"])])[0] == 0
+    assert decontaminate.consistent([("a", 0, ["0:2:alice", "1:2:alice"], ["0:2:bob", "1:2:tom"])])[0] == -1
+    # Two values may not become one, and what contradicts counts against.
+    assert decontaminate.consistent([("a", 0, ["0:2:alice"], ["0:2:carl"]), ("b", 0, ["0:2:bob"], ["0:2:carl"])])[0] == 0
+    assert decontaminate.consistent([("a", 0, ["0:1:12"], ["0:1:90"]), ("b", 0, ["0:1:12"], ["0:1:90"]), ("c", 0, ["0:1:12"], ["0:1:91"])]) == (1, True)
+    # Two versions in one document are told apart by place.
+    assert decontaminate.consistent([(w, shift, ["0:1:12"], [f"0:1:{v}"]) for w in "abc" for shift, v in ((0, 90), (40, 91))]) == (3, True)
     assert broken != other
     kept = decontaminate.without_benchmark(frame(spark, rows), frame(spark, bench, "item_id long, text string"))
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 3, 4, 5, 7]
     assert decontaminate.contaminated(frame(spark, []), frame(spark, [], "item_id long, text string")).count() == 0
 
 
+def plain_windows(text, width):
+    """(template words, [(place, kind, value)]) at each place, of texts of lower-case words, numbers and names in mid-sentence."""
+    words = text.split()
+    kinds = [1 if w.isdigit() else 2 if w[0].isupper() else 0 for w in words]
+    template = [w if k == 0 else f"<{k}>" for w, k in zip(words, kinds)]
+    wide = min(width, len(words))
+    return [(at, tuple(template[at : at + wide]), [(kinds[j], words[j].lower()) for j in range(at, at + wide) if kinds[j]]) for at in range(len(words) - wide + 1)]
+
+
+def plain_contaminated(docs, bench, width=8, share=0.5):
+    out = set()
+    for item, text in bench:
+        theirs = plain_windows(text, width)
+        ids = {(t, tuple(s)) for _, t, s in theirs}
+        for doc, body in docs:
+            matches = []
+            for at, t, values in plain_windows(body, len(theirs[0][1])):
+                matches += [((t, tuple(s)), at - place, s, values) for place, u, s in theirs if u == t]
+            groups = []
+            for shift in sorted({m[1] for m in matches}):
+                near = [m for m in matches if m[1] == shift]
+                groups.append(near)
+                chain, last = [], None
+                for other in sorted({m[1] for m in matches}):
+                    if last is not None and other - last > 3:
+                        chain = []
+                    chain, last = chain + [other], other
+                    if shift in chain:
+                        groups.append([m for m in matches if m[1] in chain])
+            best = 0
+            for g in groups:
+                votes = {}
+                for _, _, a, b in g:
+                    for (k, x), (_, y) in zip(a, b):
+                        votes[k, x, y] = votes.get((k, x, y), 0) + 1
+                meant, taken = {}, set()
+                for k, x, y in sorted(votes, key=lambda v: (-votes[v], v[1] != v[2], (str(v[0]), v[1], v[2]))):
+                    if (k, x) not in meant and (k, y) not in taken:
+                        meant[k, x] = y
+                        taken.add((k, y))
+                good = {w for w, _, a, b in g if all(meant.get((k, x)) == y for (k, x), (_, y) in zip(a, b))}
+                best = max(best, 2 * len(good) - len({w for w, *_ in g}))
+            if best >= share * len(ids):
+                out.add((doc, item))
+    return out
+
+
+@pytest.mark.parametrize("common", [64, 1])
+def test_decontaminate_same_as_comparing_all(spark, monkeypatch, common):
+    monkeypatch.setattr(decontaminate, "COMMON", common)
+    rng = random.Random(31)
+    word = lambda: rng.choice("farm river apple basket market wagon bridge winter table garden sells walks brings counts".split())
+    name, number = lambda: rng.choice(["Alva", "Boris", "Cleo", "Dimas", "Enid"]), lambda: str(rng.randrange(2, 9))
+    one = lambda: rng.choice([word, word, word, name, number])()
+    stem = [word() for _ in range(9)]
+    bench = [(i, " ".join([word(), *[one() for _ in range(rng.randrange(8, 20))]] + (stem if i % 3 == 0 else []))) for i in range(30)]
+    docs = []
+    for i in range(120):
+        words = rng.choice(bench)[1].split()
+        if i % 2:
+            names = dict(zip(["Alva", "Boris", "Cleo", "Dimas", "Enid"], rng.sample(["Alva", "Boris", "Cleo", "Dimas", "Enid"], 5)))
+            words = [names.get(w, str(int(w) + 1) if w.isdigit() else w) for w in words]
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):
+            words[rng.randrange(1, len(words))] = one()
+        docs.append((i, " ".join(["intro", *[word() for _ in range(rng.randrange(6))], *words, *[one() for _ in range(5)]] * rng.choice([1, 1, 2]))))
+    df, items = frame(spark, docs), frame(spark, bench, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, items).collect()}
+    want = plain_contaminated(docs, bench)
+    assert got == want and len(want) > 40
+
+
 def test_decontaminate_names_that_begin_sentences(spark):
     text = "{} has 3 apples. {} has 5 pears. {} has 2 plums. How many fruits do they have in all?"
     item = text.format("Alice", "Bob", "Carol")
