@@ -7,7 +7,13 @@ space looks ahead, and reads pre-tokens from there until one ends where an old o
 no memory, so all later ones stand. Only the pre-tokens read are encoded; their block and the sums on its path to the root
 change. Edits apply one after the other, each to the text the last one left; what lies beyond the text is cut off there.
 
-Encoding: the vocabulary file is a parameter (ranks of byte pairs); counts of pre-tokens are remembered within a task.
+Trees are kept: kept() counts every text once and returns its leaves beside it, for a table to be written; edited() takes
+rows of such a table with their edits, rebuilds the tree from the leaves without encoding anything, and returns the counts
+before and after together with the new text and leaves, to be kept in their turn. So an edit to a counted corpus costs
+what it touches, of the documents that the table of edits names.
+
+Encoding: the vocabulary file is a parameter (ranks of byte pairs), read by the driver and sent to the executors; counts of
+pre-tokens are remembered within a task.
 
 Nulls and edges: a null text is an empty one, a null list of edits none; null fields of an edit are 0, 0 and "". Rows
 with a null or repeated id are rows of their own. An empty table gives an empty result; other columns aren't looked at.
@@ -18,12 +24,13 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import scoped, slices, written
 
 #: A published vocabulary's file of ranks.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -32,15 +39,20 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 BLOCK = 64
 
 
+def _file(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
 class Counter(dict):
     """The tokens of each pre-token seen, forgotten when half a million are held."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str | bytes):
         import tiktoken
 
         super().__init__()
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        data = vocabulary if isinstance(vocabulary, bytes) else _file(vocabulary)
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
         self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.split = regex.compile(PATTERN)
 
@@ -54,9 +66,9 @@ class Counter(dict):
 class Document:
     """A text with the segment tree of its pre-tokens."""
 
-    def __init__(self, text: str, counter: Counter):
+    def __init__(self, text: str, counter: Counter, leaves: list[tuple[int, int]] | None = None):
         self.text, self.counter, self.encoded = text, counter, 0
-        self._build([(len(p), counter[p]) for p in counter.split.findall(text)])
+        self._build([(len(p), counter[p]) for p in counter.split.findall(text)] if leaves is None else leaves)
 
     def _build(self, leaves: list[tuple[int, int]]) -> None:
         self.blocks = [leaves[i : i + BLOCK] for i in range(0, len(leaves), BLOCK)] or [[]]
@@ -148,23 +160,67 @@ class Document:
     def pre_tokens(self) -> int:
         return sum(map(len, self.blocks))
 
+    def leaves(self) -> bytes:
+        """Characters and tokens of each pre-token, in order: a byte each, longer ones as 255 and four bytes more."""
+        x = np.array([n for b in self.blocks for leaf in b for n in leaf], np.uint32)
+        return np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].tobytes() + np.uint32(len(x)).tobytes()
 
-def counts(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
-    """(doc_id, n_tokens, n_pretokens, n_edits, n_tokens_after, n_reencoded) of every row, with edits an array of (at, removed, inserted)."""
-    edits = F.col(edits_col) if edits_col in docs.columns else F.lit(None).cast("array<struct<at:int,removed:int,inserted:string>>")
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), edits.alias("edits"))
+
+def read_leaves(data: bytes) -> list[tuple[int, int]]:
+    n = int(np.frombuffer(data[-4:], np.uint32)[0])
+    x = np.frombuffer(data[:n], np.uint8).astype(np.uint32)
+    x[x == 255] = np.frombuffer(data[n:-4], np.uint32)
+    return list(zip(x[::2].tolist(), x[1::2].tolist()))
+
+
+_EDITS = "array<struct<at:int,removed:int,inserted:string>>"
+
+
+def kept(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
+    """(doc_id, text, leaves, n_tokens, n_pretokens) of every row, and with edits_col its edits."""
+    given = docs.sparkSession.sparkContext.broadcast(_file(vocabulary))  # a vocabulary's file, some MB
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.col(edits_col).alias("edits")] if edits_col else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(vocabulary)
+        counter = Counter(given.value)
         for batch in slices(batches):
-            out = []
-            for text, asked in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                d = Document(text or "", counter)
-                before = d.count, d.pre_tokens(), len(asked or ())
-                for e in asked or ():
+            trees = [Document(t or "", counter) for t in batch.column(1).to_pylist()]
+            new = [pa.array([d.leaves() for d in trees], pa.binary()), pa.array([d.count for d in trees], pa.int64()), pa.array([d.pre_tokens() for d in trees], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "leaves", "n_tokens", "n_pretokens"])
+
+    return own.mapInArrow(run, f"doc_id long, text string, {f'edits {own.schema["edits"].dataType.simpleString()}, ' if edits_col else ''}leaves binary, n_tokens long, n_pretokens long")
+
+
+def edited(trees: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, text, leaves, n_tokens, n_pretokens, n_edits, n_tokens_before, n_pretokens_before, n_reencoded) of rows of kept() with a column edits of (at, removed, inserted); text, leaves and counts are those after the edits."""
+    given = trees.sparkSession.sparkContext.broadcast(_file(vocabulary))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(given.value)
+        for batch in slices(batches):
+            done, before = [], []
+            for text, leaves, edits in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                d = Document(text or "", counter, read_leaves(leaves))
+                before.append((d.count, len(edits or ()), d.pre_tokens()))
+                for e in edits or ():
                     e = e or {}
                     d.edit(e.get("at") or 0, e.get("removed") or 0, e.get("inserted") or "")
-                out.append((*before, d.count, d.encoded))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in zip(*out))], ["doc_id", "n_tokens", "n_pretokens", "n_edits", "n_tokens_after", "n_reencoded"])
+                done.append(d)
+            ints = lambda x: pa.array(list(x), pa.int64())
+            texts = pa.array([d.text if text is not None or d.text else None for d, text in zip(done, batch.column(1).to_pylist())], pa.string())
+            cols = [batch.column(0), texts, pa.array([d.leaves() for d in done], pa.binary()), ints(d.count for d in done), ints(d.pre_tokens() for d in done), ints(b[1] for b in before), ints(b[0] for b in before), ints(b[2] for b in before), ints(d.encoded for d in done)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text", "leaves", "n_tokens", "n_pretokens", "n_edits", "n_tokens_before", "n_pretokens_before", "n_reencoded"])
+
+    return trees.select("doc_id", "text", "leaves", "edits").mapInArrow(run, "doc_id long, text string, leaves binary, n_tokens long, n_pretokens long, n_edits long, n_tokens_before long, n_pretokens_before long, n_reencoded long")
 
-    return own.mapInArrow(run, "doc_id long, n_tokens long, n_pretokens long, n_edits long, n_tokens_after long, n_reencoded long")
+
+@scoped
+def counts(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
+    """(doc_id, n_tokens, n_pretokens, n_edits, n_tokens_after, n_reencoded) of every row, with edits an array of (at, removed, inserted).
+
+    The trees are written once and the edits applied to them.
+    """
+    own = docs if edits_col in docs.columns else docs.withColumn(edits_col, F.lit(None).cast(_EDITS))
+    trees = written(kept(own, vocabulary, id_col, text_col, edits_col))
+    after = edited(trees, vocabulary)
+    return after.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_pretokens_before").alias("n_pretokens"), "n_edits", F.col("n_tokens").alias("n_tokens_after"), "n_reencoded")

@@ -280,6 +280,27 @@ def test_token_counts(spark):
     assert got == sorted(want)
 
 
+def test_kept_trees_take_edits_without_a_recount(spark, monkeypatch):
+    rng = random.Random(33)
+    rows = [(i, " ".join(rng.choice(["some", "words", "x" * 300, "éé", "1234", "\n\n"]) for _ in range(400))) for i in range(40)] + [(900, None), (901, "")]
+    trees = token_counts.written(token_counts.kept(frame(spark, rows)))
+    edits = spark.createDataFrame([(i, [(50 * i, 7, " put in")]) for i in range(0, 40, 5)] + [(900, [(0, 0, "new")])], "doc_id long, edits array<struct<at:int,removed:int,inserted:string>>")
+    got = {r.doc_id: r for r in token_counts.edited(trees.join(edits, "doc_id")).collect()}
+    count = token_counts.Counter(token_counts.VOCABULARY)
+    assert set(got) == {*range(0, 40, 5), 900}
+    texts = dict(rows)
+    for i, r in got.items():
+        at, removed, put = (0, 0, "new") if i == 900 else (50 * i, 7, " put in")
+        t = texts[i] or ""
+        want = t[:at] + put + t[at + removed :]
+        whole = token_counts.Document(want, count)
+        assert r.text == want and r.n_tokens == len(count.encode(want)) == whole.count and r.n_tokens_before == len(count.encode(t))
+        assert bytes(r.leaves) == whole.leaves() and r.n_pretokens == whole.pre_tokens() and r.n_reencoded < 12
+    again = {r.doc_id: r.n_tokens for r in token_counts.edited(spark.createDataFrame([tuple(r[c] for c in ("doc_id", "text", "leaves")) for r in got.values()], "doc_id long, text string, leaves binary").join(edits, "doc_id")).collect()}
+    assert set(again) == set(got)
+    assert token_counts.counts(frame(spark, [])).count() == 0
+
+
 def test_long_edits_rebuild():
     counter = token_counts.Counter(token_counts.VOCABULARY)
     d = token_counts.Document("a b c " * 3000, counter)
