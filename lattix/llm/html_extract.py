@@ -37,7 +37,10 @@ from pyspark.sql import functions as F
 
 from .common import scoped, slices, written
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!?[/A-Za-z?][^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*>|[^<]+|<", re.S | re.I)
+#: Comments, elements of raw text, tags without '<' in their attributes, stretches of text; all in linear time. Other tags are for Tags.end.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!?[/A-Za-z?](?:[^<>\"']++|\"[^<\"]*+\"|'[^<']*+')*+>|[^<]++|<", re.S | re.I)
+OPENS = re.compile(r"<!?[/A-Za-z?]")
+NEXT = re.compile(r"[>\"']")
 TAG = re.compile(r"<(/?)([A-Za-z][\w:-]*)")
 MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 # Elements by their part in HTML.
@@ -51,6 +54,61 @@ SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr
 SPACE = re.compile(r"\s+")
 
 
+class Tags:
+    """Where tags end whose attributes hold '<'. What was looked at in vain is remembered, so a text full of unclosed tags is read a few times at most."""
+
+    def __init__(self, html: str):
+        self.html, self.dead, self.seen = html, set(), (0, -1)
+        self.last = {c: html.rfind(c) for c in ">\"'"}
+
+    def _special(self, at: int) -> int:
+        """The first '>' or quote from here on, or -1."""
+        start, found = self.seen
+        if not (start <= at and (found < 0 or at <= found)) or self.seen == (0, -1):
+            m = NEXT.search(self.html, at)
+            self.seen = at, m.start() if m else -1
+        return self.seen[1]
+
+    def end(self, at: int) -> int:
+        """Past the first '>' outside quotes, or -1."""
+        passed: list[int] = []
+        if at < self.last[">"]:
+            at = self._special(at)
+            while at >= 0 and at not in self.dead:
+                c = self.html[at]
+                if c == ">":
+                    return at + 1
+                passed.append(at)
+                if self.last[c] == at:
+                    break
+                at = self._special(self.html.index(c, at + 1) + 1)
+        self.dead.update(passed)
+        return -1
+
+
+def tokens(html: str) -> Iterator[tuple[str, str]]:
+    """(kind, token) of a page: text, raw (comments and elements of raw text) or tag."""
+    at, tags, closed = 0, None, html.rfind(">")
+    while at < len(html):
+        if at > closed:  # no tag ends from here on; a comment that begins takes the rest
+            end = html.find("<!--", at)
+            yield "text", html[at : end if end >= 0 else len(html)]
+            return
+        m = TOKEN.match(html, at)
+        x = m[0]
+        kind = "raw" if m[1] or x.startswith("<!--") else "tag" if x[0] == "<" and len(x) > 1 else "text"
+        if x == "<" and OPENS.match(html, at):
+            tags = tags or Tags(html)
+            end = tags.end(at)
+            x, kind = (html[at:end], "tag") if end >= 0 else (x, kind)
+        yield kind, x
+        at += len(x)
+
+
+#: Open elements; what lies deeper stands right in the last of them.
+DEEPEST = 512
+
+
 class Page:
     """A page as tokens: (text, path) with path the open elements' names and marks; texts holds the raw text of text tokens."""
 
@@ -63,9 +121,8 @@ class Page:
         known: dict[tuple[str, ...], int] = {}
         open_: list[str] = []  # "tag" or "tag.mark"
         block = 0
-        for m in TOKEN.finditer(html):
-            x = m[0]
-            if x[0] != "<" or len(x) == 1:
+        for kind, x in tokens(html):
+            if kind == "text":
                 if not x.strip():
                     if self.texts and self.texts[-1] is not None and self.blocks[-1] == block:
                         self.texts[-1] += " "
@@ -77,7 +134,7 @@ class Page:
                 self._add("#", known[path], x, block)
                 continue
             t = TAG.match(x)
-            if m[1] or t is None:  # raw elements, comments, declarations
+            if kind == "raw" or t is None:  # or a declaration
                 continue
             closing, name = t[1], t[2].lower()
             if name not in INLINE:
@@ -93,7 +150,7 @@ class Page:
             marks = " ".join(a or b or c for a, b, c in MARK.findall(x)).replace("/", "_")
             tag = f"{name}.{SPACE.sub(' ', marks.strip())}" if marks else name
             self._add(tag, -1, None, block)
-            if name not in VOID and not x.endswith("/>"):
+            if name not in VOID and not x.endswith("/>") and len(open_) < DEEPEST:
                 open_.append(tag)
 
     def _add(self, token: str, path: int, text: str | None, block: int) -> None:
