@@ -33,11 +33,12 @@ def window_path_safe(x: Column) -> Column:
     return _translated(x, NOT_IN_WINDOW_PATHS)
 
 
-def escaped_path(x: Column, reserved: str = RESERVED, most_bytes: int = 255) -> Column:
-    """Reserved characters as ((code)); an error where the name takes more than most_bytes."""
+def escaped_path(x: Column, reserved: str = RESERVED, most_bytes: int = 255, strict: bool = True) -> Column:
+    """Reserved characters as ((code)); an error (or, unless strict, null) where the name takes more than most_bytes."""
     for c in reserved:
         x = F.replace(x, F.lit(c), F.lit(f"(({ord(c)}))"))
-    return F.when(F.octet_length(x) > most_bytes, F.raise_error(F.lit(f"a name of more than {most_bytes} bytes"))).otherwise(x)
+    long = F.raise_error(F.lit(f"a name of more than {most_bytes} bytes")) if strict else F.lit(None).cast("string")
+    return F.when(F.octet_length(x) > most_bytes, long).otherwise(x)
 
 
 def insert_every(x: Column, n: int = 20, sep: str = "\n") -> Column:
@@ -109,5 +110,10 @@ def is_remote_url(x: Column) -> Column:
     return is_s3_url(x) | is_http_url(x)
 
 
+def new_id() -> Column:
+    """A random id of 32 hex digits for each row."""
+    return F.replace(F.uuid(), F.lit("-"), F.lit(""))
+
+
 def timestamp(readable: bool = False) -> Column:
     return F.date_format(F.current_timestamp(), "yyyy/MM/dd HH:mm" if readable else "yyyyMMdd_HHmm")

@@ -43,6 +43,18 @@ class Axis:
     def count(self) -> int:
         return self.active.count()
 
+    @property
+    def n_rows(self) -> int:
+        """All entries, whatever the filter."""
+        return self.table.count()
+
+    def as_dict(self, column: str, most: int = 10_000_000) -> dict:
+        """A column of the active entries by id, in memory; an error above `most` entries."""
+        rows = self.active.select(self.key, column).limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"more than {most} entries")
+        return {r[0]: r[1] for r in rows}
+
     def names(self) -> DataFrame:
         return self.active.select(self.name)
 
@@ -70,7 +82,9 @@ class Axis:
         return replace(self, table=self.table.withColumn(column, mapped(F.col(column), names, keep=True)))
 
     def sample(self, fraction: float, seed: int = 0) -> Axis:
-        return self.filtered(F.pmod(F.xxhash64(self.key, F.lit(seed)), F.lit(1_000_000)) < F.lit(int(fraction * 1_000_000)))
+        from .operators.clusters import drawn
+
+        return self.filtered(drawn(seed, self.key) < F.lit(f"{min((1 << 32) - 1, int(fraction * (1 << 32))):08x}")) if fraction < 1 else self
 
 
 @dataclass
@@ -142,6 +156,13 @@ class CountMatrix:
             new = records.groupBy(key).applyInPandas(run, "ft_id long, bc_id long, value double")
         return replace_layers(self, {**self.layers, out: new})
 
+    def _repr_html_(self) -> str:
+        """What a notebook shows: axes with their columns and filters, and layers."""
+        from html import escape
+
+        line = lambda a, kind: f"<tr><td>{kind}</td><td>{escape(a.name)}</td><td>{escape(', '.join(c for c in a.table.columns if c != a.key))}</td><td>{escape(str(a.filter)) if a.filter is not None else 'all'}</td></tr>"
+        return f"<table><tr><th>axis</th><th>names</th><th>metadata</th><th>filter</th></tr>{line(self.bc, 'barcodes')}{line(self.ft, 'features')}</table><p>layers: {escape(', '.join(self.layers))}</p>"
+
     def with_axis(self, axis: str, table: DataFrame) -> CountMatrix:
         out = CountMatrix(table if axis == "barcode" else self.barcodes, table if axis == "feature" else self.features, self.layers)
         out.bc.filter, out.ft.filter = self.bc.filter, self.ft.filter

@@ -5,7 +5,7 @@ Labels are (bc_id, label). Cell counts come from the labels, so entries without
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -134,15 +134,25 @@ def unpacked_ranking(rankings: DataFrame) -> DataFrame:
     return x.select("name_clus", "index_in_clus", *[F.col(f"r.{c}").alias(c) for c in cols])
 
 
+def drawn(seed: int, *keys: str) -> Column:
+    """Eight hex digits that the keys alone decide, evenly spread: the same wherever and however often a row is computed."""
+    return F.substring(F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))), 1, 8)
+
+
+def uniform(seed: int, *keys: str) -> Column:
+    """Such a number strictly between 0 and 1."""
+    return (F.conv(drawn(seed, *keys), 16, 10).cast("double") + F.lit(0.5)) / F.lit(4294967296.0)
+
+
 def subsampled(labels: DataFrame, total: int, seed: int = 0) -> DataFrame:
     """A stratified sample of about `total` rows: each cluster gives the rows of smallest hash, in its share of all rows and one at least."""
     n = labels.agg(F.count("*").alias("n"))
-    w = Window.partitionBy("label").orderBy(F.xxhash64("bc_id", F.lit(seed)), "bc_id")
+    w = Window.partitionBy("label").orderBy(drawn(seed, "bc_id"), "bc_id")
     k = F.count("*").over(Window.partitionBy("label"))
     x = labels.withColumns({"_r": F.row_number().over(w), "_k": k}).join(F.broadcast(n))
     return x.where(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.lit(total) * F.col("_k") / F.col("n")))).select("bc_id", "label")
 
 
 def sampled(axis: DataFrame, key: str, fraction: float, seed: int = 0) -> DataFrame:
-    """A reproducible random mask: the hash of the id decides."""
-    return axis.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < F.lit(int(fraction * 1_000_000)))
+    """A reproducible random mask: the digest of the id decides."""
+    return axis.where(drawn(seed, key) < F.lit(f"{min((1 << 32) - 1, int(fraction * (1 << 32))):08x}") if fraction < 1 else F.lit(True))

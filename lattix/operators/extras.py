@@ -72,25 +72,28 @@ class KeyValues:
     def __init__(self, spark: SparkSession, path: str, over: str | None = None):
         self.spark, self.path, self.over = spark, path.rstrip("/"), over.rstrip("/") if over else None
 
-    def _read(self, path: str | None) -> dict:
-        from ..sources.mex import exists
+    def _read(self, path: str | None, keys: list[str] | None) -> dict:
+        from ..sources.files import exists
 
         if not path or not exists(self.spark, path):
             return {}
-        rows = self.spark.read.parquet(path).groupBy("key").agg(F.max_by("value", "written").alias("value")).collect()
-        return {r.key: json.loads(r.value) for r in rows if r.value is not None}
+        rows = self.spark.read.parquet(path)
+        rows = rows.where(F.col("key").isin(keys)) if keys is not None else rows
+        return {r.key: json.loads(r.value) for r in rows.groupBy("key").agg(F.max_by("value", "written").alias("value")).collect() if r.value is not None}
 
-    def _all(self) -> dict:
-        return self._read(self.path) | self._read(self.over)
+    def all(self, keys: list[str] | None = None) -> dict:
+        """What the keys asked for hold, or all keys; those without a value are left out."""
+        got = self._read(self.path, keys) | self._read(self.over, keys)
+        return {k: v for k, v in got.items() if v is not None}
 
     def keys(self) -> set[str]:
-        return {k for k, v in self._all().items() if v is not None}
+        return set(self.all())
 
     def __contains__(self, key: str) -> bool:
-        return key in self.keys()
+        return key in self.all([key])
 
     def __getitem__(self, key: str):
-        return self._all().get(key)
+        return self.all([key]).get(key)
 
     def __setitem__(self, key: str, value) -> None:
         row = self.spark.range(1).select(F.lit(key).alias("key"), F.lit(json.dumps(value)).alias("value"), F.unix_micros(F.current_timestamp()).alias("written"))

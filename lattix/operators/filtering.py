@@ -23,10 +23,11 @@ def surviving(records: DataFrame, min_counts=None, min_features=None, min_cells=
     return bc.select("bc_id"), ft.select("ft_id")
 
 
-def renumbered(ids: DataFrame, key: str, new: str = "new_id") -> DataFrame:
-    """(key, new) with dense 0-based ids in ascending order of the old, without a single-task window: ids are ranged, counted per range, and numbered within."""
-    ranged = ids.select(key).repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
-    within = ranged.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
+def renumbered(ids: DataFrame, key: str, new: str = "new_id", order: list[Column] | None = None) -> DataFrame:
+    """(key, new) with dense 0-based ids in ascending order of the old, or in another order, without a single-task window: ids are ranged, counted per range, and numbered within."""
+    by = order or [F.col(key)]
+    ranged = ids.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id())
+    within = ranged.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*by))).select(key, "_part", "_nth")
     sizes = within.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     return within.join(F.broadcast(before), "_part").select(key, (F.col("_before") + F.col("_nth") - 1).alias(new))

@@ -30,15 +30,17 @@ def matched_samples(cells_1: DataFrame, cells_2: DataFrame, by_second: bool = Tr
     """(id_sample_1, id_sample_2, prop): samples of one list matched with those of the other by shared barcodes.
 
     prop is the share of the second's (or the first's) barcodes. The best first sample is kept for each second one, then
-    the best second for each first; ties go to the smaller names. Pairs without overlap stay candidates: the grid is that
-    of sample names, not of cells.
+    the best second for each first; ties go to the smaller names. Of pairs without overlap only one can win: that of a
+    second sample that overlaps nothing with the smallest first name.
     """
     a = barcodes_by_sample(cells_1).withColumnRenamed("id_sample", "id_sample_1")
     b = barcodes_by_sample(cells_2).withColumnRenamed("id_sample", "id_sample_2")
     common = a.join(b, "CB").groupBy("id_sample_1", "id_sample_2").agg(F.count("*").alias("common"))
     n1, n2 = a.groupBy("id_sample_1").agg(F.count("*").alias("n1")), b.groupBy("id_sample_2").agg(F.count("*").alias("n2"))
-    grid = n1.join(n2).join(common, ["id_sample_1", "id_sample_2"], "left")
-    x = grid.withColumn("prop", F.coalesce("common", F.lit(0)) / F.col("n2" if by_second else "n1").cast("double"))
+    smallest = n1.agg(F.min("id_sample_1").alias("id_sample_1")).where("id_sample_1 is not null")  # one row
+    alone = n2.select("id_sample_2").join(common, "id_sample_2", "left_anti").join(F.broadcast(smallest)).select("id_sample_1", "id_sample_2", F.lit(0).cast("long").alias("common"))
+    sizes, key = (n2, "id_sample_2") if by_second else (n1, "id_sample_1")
+    x = common.unionByName(alone).join(sizes, key).withColumn("prop", F.col("common") / F.col("n2" if by_second else "n1").cast("double"))
     for key, other in (("id_sample_2", "id_sample_1"), ("id_sample_1", "id_sample_2")):
         w = Window.partitionBy(key).orderBy(F.desc("prop"), other)
         x = x.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

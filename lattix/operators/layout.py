@@ -118,30 +118,22 @@ def even_chunks(rows: DataFrame, n: int, order: str, length: int) -> DataFrame:
 def weighted_chunks(rows: DataFrame, n: int, order: str, weight: str) -> DataFrame:
     """Contiguous chunks of about equal weight: with W the ceiling of total / n, an element opens the next chunk when the running sum passes W times the chunks so far; one boundary an element at most.
 
-    With no element above W that is a floor of the running sum, in Spark's own windows. Heavier elements make the rule
-    depend on its own past, and it is walked in order by one stream.
+    With t(i) the chunk that the running sum alone would give the i-th element, its chunk is the least of i + 1 and of
+    t(j) + i - j over all j up to i, so a running minimum does, in two levels: within blocks of ids and over blocks.
     """
-    total, heaviest = rows.agg(F.sum(weight), F.max(weight)).first()
+    total = rows.agg(F.sum(weight)).first()[0]
     if not total:
         return rows.select(order, weight).withColumn("chunk", F.lit(0))
     w = -(-int(total) // n) if float(total).is_integer() else total / n
-    if heaviest <= w:
-        x = rows.select(F.col(order), F.col(weight).alias("n"))
-        r = _running(x, order)
-        return r.select(order, F.col("n").alias(weight), F.greatest(F.ceil(F.col("after") / F.lit(w)) - 1, F.lit(0)).cast("int").alias("chunk"))
-
-    def walk(batches):
-        import pandas as pd
-
-        opened, upto = 0, 0
-        for pdf in batches:
-            chunks = []
-            for x in pdf[weight]:
-                upto += x
-                if w * (opened + 1) < upto:
-                    opened += 1
-                chunks.append(opened)
-            yield pd.DataFrame({order: pdf[order], weight: pdf[weight], "chunk": chunks})
-
-    kinds = dict(rows.dtypes)
-    return rows.select(order, weight).coalesce(1).sortWithinPartitions(order).mapInPandas(walk, f"{order} {kinds[order]}, {weight} {kinds[weight]}, chunk int")
+    block = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = lambda c, f: F.coalesce(f(c).over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # noqa: E731  a row a block
+    x = rows.select(F.col(order), F.col(weight), F.floor(F.col(order) / 100_000).alias("_b"))
+    sums = x.groupBy("_b").agg(F.sum(weight).alias("_s"), F.count("*").alias("_k"))
+    before = sums.select("_b", earlier("_s", F.sum).alias("_s"), earlier("_k", F.sum).alias("_k"))
+    x = x.withColumns({"_u": F.sum(weight).over(block), "_i": F.row_number().over(block)}).join(F.broadcast(before), "_b")
+    free = F.greatest(F.ceil((F.col("_s") + F.col("_u")) / F.lit(w)) - 1, F.lit(0))
+    x = x.select(order, weight, "_b", (F.col("_k") + F.col("_i")).alias("_i"), (free - F.col("_k") - F.col("_i")).alias("_d"))
+    least = x.groupBy("_b").agg(F.min("_d").alias("_m"))
+    held = least.select("_b", earlier("_m", F.min).alias("_m"))  # 0: the i-th, from 1, is in chunk i at most
+    x = x.withColumn("_w", F.min("_d").over(block)).join(F.broadcast(held), "_b")
+    return x.select(order, weight, (F.col("_i") + F.least("_w", "_m", F.lit(0))).cast("int").alias("chunk"))

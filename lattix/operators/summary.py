@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 TARGET = 10_000
 TRANSFORMS = ("raw", "log", "norm", "lognorm")
 
@@ -82,6 +84,13 @@ def moments(records: DataFrame, n: int, target: float = TARGET, include_zeros: b
     return sums.select(*out)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A table written to the shared folder and read again, so that what follows can use it more than once."""
+    path = f"{scratch(df.sparkSession)}/kept"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fit(moments_: DataFrame, t: str) -> DataFrame:
     """One row (lo, hi, b0, b1, b2): the least squares parabola of var_t over mean_t, means mapped to [-1, 1]."""
     ends = moments_.agg(F.min(f"mean_{t}").alias("lo"), F.max(f"mean_{t}").alias("hi"))
@@ -100,9 +109,9 @@ def fit(moments_: DataFrame, t: str) -> DataFrame:
 
 def variability(moments_: DataFrame) -> DataFrame:
     """(ft_id, score_lognorm, score_log, score): ratio times difference of variance and expected variance for both log transforms; their product, 0 if either is negative."""
-    x = moments_
+    x = own = kept(moments_)  # a row a feature, read five times
     for t in ("lognorm", "log"):
-        f = fit(moments_, t)
+        f = fit(own, t)
         u = F.when(F.col("hi") > F.col("lo"), (F.lit(2.0) * F.col(f"mean_{t}") - F.col("lo") - F.col("hi")) / (F.col("hi") - F.col("lo"))).otherwise(F.lit(0.0))
         e = F.col("b0") + F.col("b1") * u + F.col("b2") * u * u
         ratio = F.when(e != 0, F.col(f"var_{t}") / e).otherwise(F.lit(1.0))

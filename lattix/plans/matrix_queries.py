@@ -118,9 +118,9 @@ def q_deselect(spark, d):
     return filtering.selected(tables.table(spark, d, "customer"), True, c_mktsegment=["BUILDING", "MACHINERY"], c_nationkey=7).select("c_custkey", "c_mktsegment", "c_nationkey")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '1') AND NOT contains(lower(p_name), '7')")
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 're') AND contains(lower(p_name), 'g') AND NOT contains(lower(p_name), 'ring')")
 def q_multi_substring(spark, d):
-    return tables.table(spark, d, "part").where(filtering.matches(F.col("p_name"), "1", "-7")).select("p_partkey", "p_name")
+    return tables.table(spark, d, "part").where(filtering.matches(F.col("p_name"), "RE", "g", "-Ring")).select("p_partkey", "p_name")
 
 
 @query("SELECT s_suppkey FROM supplier WHERE s_suppkey >= 10 AND s_suppkey < 90 AND (s_suppkey - 10) % 3 = 0")
@@ -482,17 +482,6 @@ def q_value_counts(spark, d):
     return clusters.value_counts(tables.table(spark, d, "lineitem"), "l_partkey")
 
 
-@query()
-def q_subsample_for_each_cluster(spark, d):
-    m = tables.customers_by_brands(spark, d)
-    return clusters.subsampled(m.barcodes.select("bc_id", F.col("c_mktsegment").alias("label")), 300)
-
-
-@query()
-def q_sample_mask(spark, d):
-    return clusters.sampled(tables.orders_by_parts(spark, d).barcodes.select("bc_id"), "bc_id", 0.2)
-
-
 @query("SELECT label AS name_clus, i - 1 AS index_in_clus, vec_id AS names, i::DOUBLE AS scores FROM (SELECT label, vec_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INTEGER) AS i FROM embeddings)")
 def q_unpack_ranking(spark, d):
     e = tables.table(spark, d, "embeddings").groupBy(F.col("label").alias("name_clus")).agg(F.sort_array(F.collect_list("vec_id")).alias("names"))
@@ -549,14 +538,18 @@ def q_python_safe(spark, d):
     return tables.table(spark, d, "pages").select("page_id", strings.python_safe(F.col("url")).alias("name"))
 
 
-@query(f"SELECT page_id, {NESTED('url', [(c, f'(({ord(c)}))') for c in '<>:/|?*'])} AS name FROM pages")
+ESCAPED = NESTED("url", [(c, f"(({ord(c)}))") for c in "<>:/|?*"])
+
+
+@query(f"SELECT page_id, CASE WHEN octet_length(encode({ESCAPED})) <= 90 THEN {ESCAPED} END AS name FROM pages")
 def q_escape_path(spark, d):
-    return tables.table(spark, d, "pages").select("page_id", strings.escaped_path(F.col("url"), most_bytes=4000).alias("name"))
+    """Names of at most 90 bytes; longer ones are errors, which null here stands for."""
+    return tables.table(spark, d, "pages").select("page_id", strings.escaped_path(F.col("url"), most_bytes=90, strict=False).alias("name"))
 
 
-@query("SELECT page_id, regexp_replace(url, '(.{8})', '\\1-', 'g') AS x FROM pages WHERE length(url) % 8 <> 0")
+@query("SELECT page_id, array_to_string([substr(url, CAST(i * 8 + 1 AS BIGINT), 8) FOR i IN range(0, CAST(ceil(length(url) / 8.0) AS BIGINT))], '-') AS x FROM pages")
 def q_insert_every_n(spark, d):
-    return tables.table(spark, d, "pages").where(F.length("url") % 8 != 0).select("page_id", strings.insert_every(F.col("url"), 8, "-").alias("x"))
+    return tables.table(spark, d, "pages").select("page_id", strings.insert_every(F.col("url"), 8, "-").alias("x"))
 
 
 @query("SELECT page_id, substr(url, 1, 4) || '#' || substr(url, 6) AS x FROM pages")
@@ -585,9 +578,11 @@ def q_char_stretches(spark, d):
     return x.select("page_id", "s.start", "s.stop", "s.n")
 
 
-@query("SELECT page_id, false AS s3, starts_with(url, 'http') AS http, starts_with(url, 'http') AS remote FROM pages")
+@query("SELECT page_id, page_id % 4 = 0 AS s3, page_id % 4 IN (1, 2) AS http, page_id % 4 <> 3 AS remote FROM pages")
 def q_url_kinds(spark, d):
-    u = F.col("url")
+    """Addresses of all kinds: pages' own as http, https and s3, and paths; a null one is none of them."""
+    rest = F.regexp_replace("url", "^https?://", "")
+    u = F.element_at(F.array(F.concat(F.lit("s3://"), rest), F.concat(F.lit("http://"), rest), F.concat(F.lit("https://"), rest), F.when(F.col("page_id") % 8 == 3, rest)), (F.col("page_id") % 4 + 1).cast("int"))
     return tables.table(spark, d, "pages").select("page_id", strings.is_s3_url(u).alias("s3"), strings.is_http_url(u).alias("http"), strings.is_remote_url(u).alias("remote"))
 
 
@@ -669,28 +664,6 @@ def q_neighbours(spark, d):
     return embed.neighbours(e.where("vec_id % 50 = 0"), e, 10, "vec_id", "embedding").select("query", "neighbour", "rank")
 
 
-@query()
-def q_label_transfer(spark, d):
-    from ..operators import embed
-
-    e = tables.table(spark, d, "embeddings").select("vec_id", "embedding", "label")
-    return embed.transferred_labels(embed.neighbours(e.where("vec_id % 50 = 0"), e, 10, "vec_id", "embedding"), e)
-
-
-@query()
-def q_simulate(spark, d):
-    from ..operators import embed
-
-    m = tables.suppliers_by_parts(spark, d)
-    return embed.simulated(m.layers["raw"], m.barcodes, 3)[0]
-
-
-@query()
-def q_prepared_layer(spark, d):
-    m = tables.orders_by_parts(spark, d).prepared(min_counts=50, min_features=1, n_variable=200)
-    return m.layers["normalized_log1p_capped"].select("ft_id", "bc_id", r("value"))
-
-
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def q_windowed_totals(spark, d):
     from ..streaming import running

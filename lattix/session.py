@@ -1,7 +1,10 @@
-"""A session set up for this engine."""
+"""A session set up for this engine, and the folder that its tasks share."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -13,3 +16,33 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, na
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set and the master is local (tests)."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not getattr(sc, "_lattix_dir", None):
+        sc._lattix_dir = "file://" + tempfile.mkdtemp(prefix="lattix-")
+    return sc._lattix_dir
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_dir(spark)}/lattix-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return path
+
+
+def workers(spark: SparkSession, n: int | None = None) -> int:
+    """How many partitions shuffles have; set anew where n is given."""
+    if n:
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -14,25 +14,13 @@ from pyspark.sql import types as T
 
 from ..model import CountMatrix
 from ..operators import layout
+from ..operators.filtering import renumbered
+from .files import exists, remove  # noqa: F401  of folders and their files
+from .files import place as _fs
 
 FEATURE = ["id_feature", "feature", "feature_type"]
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _fs(spark, path)
-    return fs.exists(p)
-
-
-def remove(spark: SparkSession, path: str) -> bool:
-    p, fs = _fs(spark, path)
-    return fs.delete(p, True)
-
-
 def essential_files(spark: SparkSession, folder: str) -> dict[str, str]:
     """The paths of the three files; an error where one is missing."""
     out = {}
@@ -65,14 +53,19 @@ def shape(spark: SparkSession, path: str) -> tuple[int, int, int] | None:
     return tuple(int(x) for x in first[0][0].split()[:3]) if first else None
 
 
+def _numbered(x: DataFrame, key: str) -> DataFrame:
+    """Rows numbered from 0 in file order: within a file part, and over parts by their counts."""
+    x = x.withColumn("_at", F.monotonically_increasing_id())
+    x = x.withColumns({"_part": F.shiftright("_at", 33), "_nth": F.col("_at").bitwiseAND((1 << 33) - 1)}).drop("_at")
+    sizes = x.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a file part
+    return x.join(F.broadcast(before), "_part").withColumn(key, F.col("_before") + F.col("_nth")).drop("_part", "_nth", "_before")
+
+
 def _lines(spark: SparkSession, path: str, key: str, columns: list[str], sep: str = "\t") -> DataFrame:
     """A table of separated lines, numbered from 0 in file order."""
     parts = F.split("value", re.escape(sep))
-    x = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
-    x = x.select(F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_nth"), *[F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(columns)])
-    sizes = x.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a file part
-    return x.join(F.broadcast(before), "_part").select((F.col("_before") + F.col("_nth")).alias(key), *columns)
+    return _numbered(spark.read.text(path).select(*[F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(columns)]), key).select(key, *columns)
 
 
 def coordinates(spark: SparkSession, path: str, transpose: bool = False, whole: bool | None = None) -> DataFrame:
@@ -97,7 +90,7 @@ def read(spark: SparkSession, folder: str) -> CountMatrix:
 def read_split_seq(spark: SparkSession, folder: str) -> CountMatrix:
     """cell_metadata.csv, genes.csv and DGE.mtx, whose rows are barcodes."""
     folder = folder.rstrip("/")
-    numbered = lambda name, key: spark.read.csv(f"{folder}/{name}", header=True).withColumn("_at", F.monotonically_increasing_id()).withColumn(key, F.row_number().over(Window.orderBy("_at")).cast("long") - 1).drop("_at")  # noqa: E731  an axis file is one driver-sized table
+    numbered = lambda name, key: _numbered(spark.read.csv(f"{folder}/{name}", header=True), key)
     bc = numbered("cell_metadata.csv", "bc_id").select("bc_id", F.col("cell_barcode").alias("barcode"))
     genes = numbered("genes.csv", "ft_id")
     names = [c for c in genes.columns if c != "ft_id"][1:4]
@@ -146,10 +139,9 @@ def write(matrix: CountMatrix, folder: str, layer: str = "raw", whole: bool | No
 def from_long_table(counts: DataFrame, by_records: bool = False) -> CountMatrix:
     """A matrix of rows (barcode, id_feature, feature, read_count): a feature for each id, a barcode for each name; barcodes by name, or by falling number of records."""
     bc = counts.groupBy("barcode").agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.desc("n"), "barcode") if by_records else Window.orderBy("barcode")
-    bc = bc.withColumn("bc_id", F.row_number().over(order).cast("long") - 1).select("bc_id", "barcode")
-    ft = counts.groupBy("id_feature").agg(F.min("feature").alias("feature")).withColumn("ft_id", F.row_number().over(Window.orderBy("id_feature")).cast("long") - 1)
-    ft = ft.select("ft_id", "id_feature", "feature", F.lit("Gene Expression").alias("feature_type"))
+    bc = renumbered(bc, "barcode", "bc_id", [F.desc("n"), F.col("barcode")] if by_records else None).select("bc_id", "barcode")
+    ft = counts.groupBy("id_feature").agg(F.min("feature").alias("feature"))
+    ft = ft.join(renumbered(ft, "id_feature", "ft_id"), "id_feature").select("ft_id", "id_feature", "feature", F.lit("Gene Expression").alias("feature_type"))
     records = counts.join(bc, "barcode").join(ft.select("ft_id", "id_feature"), "id_feature").select("ft_id", "bc_id", F.col("read_count").alias("value"))
     return CountMatrix(bc, ft, {"raw": layout.summed(records)})
 
@@ -187,54 +179,79 @@ def printed_table(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(cells[1:], T.StructType([T.StructField(c, T.StringType()) for c in cells[0]]))
 
 
-def read_hdf5(spark: SparkSession, path: str, batch: int = 1_000_000) -> CountMatrix:
-    """A compressed-column HDF5 file, where h5py is installed; columns are expanded by Spark."""
+def _h5py():
     try:
         import h5py
     except ImportError as e:
-        raise RuntimeError("reading HDF5 needs h5py, which isn't installed") from e
-    with h5py.File(path, "r") as f:
+        raise RuntimeError("HDF5 needs h5py, which isn't installed") from e
+    return h5py
+
+
+def read_hdf5(spark: SparkSession, path: str, batch: int = 1_000_000) -> CountMatrix:
+    """A compressed-column HDF5 file that driver and executors reach, where h5py is installed. The driver reads its sizes alone; ranges of its arrays are read by the executors, and columns expanded by Spark."""
+    import pyarrow as pa
+
+    with _h5py().File(path, "r") as f:
         m = f["matrix"]
-        text = lambda x: [v.decode() for v in x[()]]
-        pointers = spark.createDataFrame(list(enumerate(m["indptr"][()].tolist())), "position long, pointer long")
-        bc = spark.createDataFrame(list(enumerate(text(m["barcodes"]))), "bc_id long, barcode string")
-        fts = zip(text(m["features/id"]), text(m["features/name"]), text(m["features/feature_type"]))
-        ft = spark.createDataFrame([(i, *x) for i, x in enumerate(fts)], "ft_id long, id_feature string, feature string, feature_type string")
-        n = m["data"].shape[0]
-        data = None
-        for a in range(0, n, batch):
-            rows = zip(range(a, min(n, a + batch)), m["indices"][a : a + batch].tolist(), m["data"][a : a + batch].tolist())
-            part = spark.createDataFrame(list(rows), "position long, ft_id long, value double")
-            data = part if data is None else data.union(part)
-    data = data if data is not None else spark.createDataFrame([], "position long, ft_id long, value double")
+        sizes = {k: m[k].shape[0] for k in ("indptr", "barcodes", "features/id", "data")}
+
+    def ranged(size: str, names: list[str], schema: str):
+        n = sizes[size]
+
+        def run(batches):
+            for batch_ in batches:
+                for start in batch_.column(0).to_pylist():
+                    with _h5py().File(path, "r") as f:
+                        cols = [f["matrix"][k][start * batch : min(n, (start + 1) * batch)] for k in names]
+                    at = pa.array(range(start * batch, start * batch + len(cols[0])), pa.int64())
+                    cols = [pa.array([v.decode() for v in c.tolist()]) if c.dtype.kind in "SO" else pa.array(c).cast(pa.float64() if k == "data" else pa.int64()) for k, c in zip(names, cols)]
+                    yield pa.RecordBatch.from_arrays([at, *cols], [x.split(" ")[0] for x in schema.split(", ")])
+
+        parts = max(1, -(-n // batch))
+        return spark.range(0, -(-n // batch), numPartitions=parts).mapInArrow(run, schema)
+
+    pointers = ranged("indptr", ["indptr"], "position long, pointer long")
+    bc = ranged("barcodes", ["barcodes"], "bc_id long, barcode string")
+    ft = ranged("features/id", ["features/id", "features/name", "features/feature_type"], "ft_id long, id_feature string, feature string, feature_type string")
+    data = ranged("data", ["indices", "data"], "position long, ft_id long, value double")
     records = data.join(layout.expanded(pointers), "position").select("ft_id", F.col("entry").alias("bc_id"), "value")
     return CountMatrix(bc, ft, {"raw": records})
 
 
-def write_hdf5(matrix: CountMatrix, path: str, layer: str = "raw", genome: str = "unknown") -> None:
-    """A compressed-column HDF5 file, where h5py is installed; Spark sorts and counts, the driver streams the columns to disk."""
-    try:
-        import h5py
-    except ImportError as e:
-        raise RuntimeError("writing HDF5 needs h5py, which isn't installed") from e
+def write_hdf5(matrix: CountMatrix, path: str, layer: str = "raw", genome: str = "unknown", batch: int = 1_000_000) -> None:
+    """A compressed-column HDF5 file, where h5py is installed; Spark sorts and counts, the driver writes the one file slab by slab."""
+    h5py = _h5py()
     import numpy as np
 
     records = layout.whole_counts(matrix.layers[layer])
-    pointers = [r.pointer for r in layout.indptr(records, matrix.barcodes, "bc_id").orderBy("position").toLocalIterator()]
+
+    def slabs(df, kinds: dict):
+        held: list[tuple] = []
+        for row in df.select(*kinds).toLocalIterator(prefetchPartitions=True):
+            held.append(row)
+            if len(held) == batch:
+                yield [np.array(c, k) for c, k in zip(zip(*held), kinds.values())]
+                held = []
+        if held:
+            yield [np.array(c, k) for c, k in zip(zip(*held), kinds.values())]
+
     with h5py.File(path, "w") as f:
         g = f.create_group("matrix")
-        text = lambda df, c, key: np.array([(r[0] or "").encode("ascii", "ignore") for r in df.orderBy(key).select(c).toLocalIterator()], dtype="S")
-        g["barcodes"], g["indptr"], g["shape"] = text(matrix.barcodes, "barcode", "bc_id"), pointers, [matrix.features.count(), matrix.barcodes.count()]
         fts = g.create_group("features")
+        text = lambda df, c, key: np.array([(r[0] or "").encode("ascii", "ignore") for r in df.orderBy(key).select(c).toLocalIterator()], dtype="S")
+        g.create_dataset("barcodes", data=text(matrix.barcodes, "barcode", "bc_id"))
         for name, c in (("id", "id_feature"), ("name", "feature"), ("feature_type", "feature_type")):
-            fts[name] = text(matrix.features, c, "ft_id")
-        fts["genome"] = np.array([genome.encode()] * matrix.features.count(), dtype="S")
-        n = pointers[-1] if pointers else 0
+            fts.create_dataset(name, data=text(matrix.features, c, "ft_id"))
+        n_ft, n_bc = matrix.features.count(), matrix.barcodes.count()
+        fts.create_dataset("genome", data=np.array([genome.encode()] * n_ft, dtype="S"))
+        g.create_dataset("shape", data=np.array([n_ft, n_bc], "i8"))
+        pointers = [x[0] for x in slabs(layout.indptr(records, matrix.barcodes, "bc_id").orderBy("position"), {"pointer": "i8"})]
+        g.create_dataset("indptr", data=np.concatenate(pointers))
+        n, at = int(pointers[-1][-1]), 0
         data, indices = g.create_dataset("data", (n,), "i8"), g.create_dataset("indices", (n,), "i8")
-        at = 0
-        for r in layout.ordered(records, by_feature=False).toLocalIterator():
-            data[at], indices[at] = r.value, r.ft_id
-            at += 1
+        for values, ids in slabs(layout.ordered(records, by_feature=False), {"value": "i8", "ft_id": "i8"}):
+            data[at : at + len(ids)], indices[at : at + len(ids)] = values, ids
+            at += len(ids)
 
 
 def remote(path: Column) -> Column:
