@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 
 def barcode(id_cell: Column, least: int = 16) -> Column:
     """The leftmost run of `least` or more of ATGC, in any case; null if there is none."""
-    return F.nullif(F.regexp_extract(id_cell, f"(?is)^(.*?)([ATGC]{{{least},}})(.*)$", 2), F.lit(""))
+    return F.nullif(F.regexp_extract(id_cell, f"(?i)[ATGC]{{{least},}}", 0), F.lit(""))
 
 
-def channel(id_cell: Column, least: int = 16) -> Column:
-    """What stands before and after the barcode, joined by |; null without a barcode."""
-    pattern = f"(?is)^(.*?)([ATGC]{{{least},}})(.*)$"
-    return F.when(barcode(id_cell, least).isNotNull(), F.concat(F.regexp_extract(id_cell, pattern, 1), F.lit("|"), F.regexp_extract(id_cell, pattern, 3)))
+def channel(id_cell: Column, least: int = 16, found: Column | None = None) -> Column:
+    """What stands before and after the barcode (found, where it is known already), joined by |; null without a barcode."""
+    cb = barcode(id_cell, least) if found is None else found
+    at = F.position(cb, id_cell)  # a run of that length has no earlier equal
+    return F.concat(F.substr(id_cell, F.lit(1), at - 1), F.lit("|"), F.substr(id_cell, at + F.length(cb)))
 
 
 def parsed(cells: DataFrame, column: str = "id_cell") -> DataFrame:
-    return cells.withColumns({"CB": barcode(F.col(column)), "id_sample": channel(F.col(column))})
+    """cells with the barcode CB and id_sample; each pattern is sought once."""
+    return cells.withColumn("CB", barcode(F.col(column))).withColumn("id_sample", channel(F.col(column), found=F.col("CB")))
 
 
 def barcodes_by_sample(cells: DataFrame) -> DataFrame:

@@ -121,7 +121,7 @@ def weighted_chunks(rows: DataFrame, n: int, order: str, weight: str) -> DataFra
     With t(i) the chunk that the running sum alone would give the i-th element, its chunk is the least of i + 1 and of
     t(j) + i - j over all j up to i, so a running minimum does, in two levels: within blocks of ids and over blocks.
     """
-    total = rows.agg(F.sum(weight)).first()[0]
+    total, heaviest = rows.agg(F.sum(weight), F.max(weight)).first()
     if not total:
         return rows.select(order, weight).withColumn("chunk", F.lit(0))
     w = -(-int(total) // n) if float(total).is_integer() else total / n
@@ -133,6 +133,8 @@ def weighted_chunks(rows: DataFrame, n: int, order: str, weight: str) -> DataFra
     x = x.withColumns({"_u": F.sum(weight).over(block), "_i": F.row_number().over(block)}).join(F.broadcast(before), "_b")
     free = F.greatest(F.ceil((F.col("_s") + F.col("_u")) / F.lit(w)) - 1, F.lit(0))
     x = x.select(order, weight, "_b", (F.col("_k") + F.col("_i")).alias("_i"), (free - F.col("_k") - F.col("_i")).alias("_d"))
+    if heaviest <= w:  # the running sum alone
+        return x.select(order, weight, (F.col("_i") + F.col("_d")).cast("int").alias("chunk"))
     least = x.groupBy("_b").agg(F.min("_d").alias("_m"))
     held = least.select("_b", earlier("_m", F.min).alias("_m"))  # 0: the i-th, from 1, is in chunk i at most
     x = x.withColumn("_w", F.min("_d").over(block)).join(F.broadcast(held), "_b")

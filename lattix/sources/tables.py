@@ -51,6 +51,6 @@ def customers_by_brands(spark: SparkSession, sf_dir: str) -> CountMatrix:
 def synthetic_cells(spark: SparkSession, sf_dir: str, samples: int, keep: int = 1) -> DataFrame:
     """(id_cell): orders as cells, with a 16-letter barcode of the order's number in base four and a sample of its customer."""
     k = F.col("o_orderkey")
-    letters = [F.substring(F.lit("ACGT"), F.pmod(F.floor(k / (4**i)), F.lit(4)).cast("int") + 1, F.lit(1)) for i in range(15, -1, -1)]
+    letters = F.translate(F.lpad(F.conv(k.cast("string"), 10, 4), 16, "0"), "0123", "ACGT")
     x = table(spark, sf_dir, "orders").where(k % keep == 0)
-    return x.select(F.concat(F.lit("s"), (F.col("o_custkey") % samples).cast("string"), F.lit("-"), *letters, F.lit("-1")).alias("id_cell"))
+    return x.select(F.concat(F.lit("s"), (F.col("o_custkey") % samples).cast("string"), F.lit("-"), letters, F.lit("-1")).alias("id_cell"))
