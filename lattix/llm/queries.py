@@ -66,6 +66,22 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def typed_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7 on typed parts: every turn's text in two halves with an image between, then an audio part and a document."""
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    part = lambda kind, **known: F.struct(F.lit(kind).alias("kind"), *[known.get(c, F.lit(None)).cast(t).alias(c) for c, t in (("text", "string"), ("ref", "string"), ("width", "int"), ("height", "int"), ("millis", "long"), ("pages", "int"))])
+    parts = [
+        part("text", text=F.substr(text, F.lit(1), half)),
+        part("image", ref=F.concat(F.lit("i"), F.col("conv_id").cast("string")), width=F.lit(600), height=F.lit(500)),
+        part("text", text=F.substr(text, half + 1)),
+        part("audio", ref=F.lit("a"), millis=1500 * (F.col("turn") + 1)),
+        part("document", ref=F.lit("d"), pages=F.col("turn") % 3 + 1),
+    ]
+    own = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.array(*parts).alias("parts"))
+    return chat_format.read_back(chat_format.formatted(own))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"pipeline": pipeline}
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"typed_chat_parts": typed_chat_parts, "pipeline": pipeline}
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -97,5 +113,15 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(n) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS expanded_tokens
+FROM f GROUP BY 1""",
+    "typed_chat_parts": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+h AS (SELECT *, substr(text, 1, length(text) // 2) AS a, substr(text, length(text) // 2 + 1) AS b FROM c),
+f AS (SELECT *, length('<|turn|><|says|><|image:1|><|audio:3|><|document:4|><|end|>') + length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(a, '\', '\\'), '<|', '<\|')) + length(replace(replace(b, '\', '\\'), '<|', '<\|')) AS n,
+  85 * 2 + 25 * ((1500 * (turn + 1) + 999) // 1000) + 600 * (turn % 3 + 1) AS more FROM h)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars, CAST(sum(more) AS BIGINT) AS expanded_tokens
 FROM f GROUP BY 1""",
 }

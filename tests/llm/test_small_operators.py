@@ -406,9 +406,53 @@ def test_chat_parts(spark):
     assert [chat_format.unescape(r.formatted[s.start : s.end]) for s in r.loss] == ["look: ", " <|image:9|>"]
 
 
+def test_chat_texts_split_anywhere():
+    """Texts cut into parts at random, some with attachments between, give back what went in."""
+    rng = random.Random(41)
+    pieces = ["<", "|", "<|", "|>", "\\", "<|turn|>", "<|end|>", "<|says|>", "<|image:0|>", "<\\|", "x", "é", "\n"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(12)))
+        parts, want, at = [], [], 0
+        while at < len(text) or not parts:
+            n = rng.randrange(0, 4)
+            parts.append({"kind": "text", "text": text[at : at + n]})
+            want.append(text[at : at + n])
+            at += n
+            if rng.random() < 0.2:
+                parts.append({"kind": rng.choice(["image", "audio", "document", "other"]), "ref": "r"})
+        out, v = chat_format.format_turn(rng.choice(["user", "assistant", "a<", "<|end|>"]), parts)
+        (role, got), = chat_format.parse(out)
+        assert "".join(t for kind, t in got if kind == "text") == "".join(want)
+        assert [(kind, int(i)) for kind, i in got if kind != "text"] == [(a["kind"], a["part"]) for a in v.attachments]
+        if role == "assistant":
+            assert "".join(chat_format.unescape(out[a:b]) for a, b in v.loss) == "".join(want)
+
+
 # Toxicity
 
 
+def test_toxicity_as_summed_over_pairs(spark):
+    """The score is the logistic of the weights of a text's terms and the products of all their pairs."""
+    rng = random.Random(42)
+    docs = [(i, " ".join(rng.choice("alpha beta gamma delta insult group".split()) for _ in range(8))) for i in range(300)]
+    d = frame(spark, docs)
+    model = toxicity.fit(d, spark.createDataFrame([(i, int("insult" in t and "group" in t)) for i, t in docs], "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.score(d, model).collect()}
+    for i, text in docs[:40]:
+        terms = sorted({int(model.place[s]) for w in text.split() for s in toxicity.slots_of(w) if model.place[s] >= 0})
+        z = model.bias + sum(model.weights[a] for a in terms) + sum(float(model.factors[a] @ model.factors[b]) for a in terms for b in terms if a < b)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_toxicity_clashing_columns_and_repeated_ids(spark):
+    rows = [(1, "alpha insult"), (1, "beta"), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("predicted", "score", "held_out", "kept", "toxic")})
+    model = toxicity.fit(d, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
+    assert toxicity.score(d, model).columns == ["doc_id", "held_out", "score", "predicted"] and toxicity.score(d, model).count() == 3
+    kept = toxicity.without_toxic(d, model)
+    assert kept.columns == d.columns and kept.where("predicted = 'x' and score = 'x'").count() == kept.count()
+
+
 def test_toxicity_learns_pairs(spark):
     """Insults without a group and groups without an insult are clean; both together are toxic."""
     rng = random.Random(6)
