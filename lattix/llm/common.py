@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -14,25 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: Rows turned into Python objects at a time, so that a worker never holds a whole batch of texts twice.
 SLICE_ROWS = 256
 #: Sketches travel in so many pieces, so that no task gathers all of them.
 PIECES = 16
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set and the master is local (tests)."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not getattr(sc, "_lattix_dir", None):
-        sc._lattix_dir = "file://" + tempfile.mkdtemp(prefix="lattix-")
-    return sc._lattix_dir
-
-
 #: Open scopes of written tables, the innermost last.
 _scopes: list[list[DataFrame]] = []
 

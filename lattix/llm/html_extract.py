@@ -1,29 +1,34 @@
 """Operator 10, HTML extraction by union-free wrappers inferred for each host.
 
-Every page is read into a token stream: opening and closing tags (with their class and id) and text. A block's text that
-more than half of a host's different pages with its place have there (LEAST at least) is a token of the template, wherever
-it stands; all other texts are slots. A page's own regular expression is its stream with repetitions folded: neighbouring
-equal groups of tokens become one repeated group. Equal expressions of a host are counted on the executors first, so a host that holds a third of all pages
-sends a row for each different shape, not each page. A host's shapes are then aligned one by one with the wrapper so far;
-a mismatch of tokens is resolved, in this order, into a repeated group (the tokens repeat what stands before them) or
-optional groups (found on one side only; both, where each side has its own). There is no union.
-
-Slots are judged by where the wrapper has them: those within menus, headers, footers, side bars, notices, adverts, forms,
-scripts, styles or reader comments, by tag or by the words of class and id, are left out; of the others, those within an
-article (else a main part, else the body; whichever the page itself has, as a host may mix templates) are its text. For
-pages without any such element on a host with paragraphs, groups of links alone are menus and left out; what stands right
-in the body, in links or in list items is kept within or next to what holds the page's paragraphs. A slot is known by its
-path: the wrapper's slots of one path get one verdict, so a page is matched by paths, template blocks taken out, and not
-by its place in the expression. The texts of its content slots are taken in page order: character references decoded,
-white space inside a block one space, blocks joined by one space.
-
-Nulls and edges: a null or empty html gives an empty text. Unclosed or stray tags close where HTML says they do. Pages
-with a null url form a host of their own; a null or repeated page_id is a row of its own. An empty table gives an empty
-result; other columns aren't looked at.
+Every page is read into a token stream: opening and closing tags (with their class and id) and text. Inline elements
+without class or id are part of the text around them. A block's text that more than half of a host's different pages with
+its place have there (LEAST at least) is a token of the template, wherever it stands; all other texts are slots. A page's
+own regular expression is its stream with repetitions folded: neighbouring equal groups of tokens become one repeated
+group. Equal expressions of a host are counted on the executors first, so a host that holds a third of all pages sends a
+row for each different shape, not each page; the shapes are aligned one by one, the most frequent first, within SALTS parts
+of a host and then the parts' results with each other. A mismatch of tokens is resolved, in this order, into a repeated
+group (the tokens repeat what stands before them) or optional groups (found on one side only; both, where each side has
+its own). There is no union. A shape that would take a wrapper beyond MOST_ITEMS isn't aligned, so a task's memory is bounded.
+
+Each page is then matched with its host's wrapper as a whole, by an automaton that takes repeats and optional groups where
+it can. Texts
+of the template are left out. A slot within menus, headers, footers, side bars, notices, adverts, forms, scripts, styles or
+reader comments, by tag or by the words of class and id, is left out; of the others, those within an article (else a main
+part, else the body; whichever the page itself has, as a host may mix templates) are the page's text. On pages without any
+such element, the slots of a repeated group that holds nothing but links are menus, however many items this page has of it;
+on a host with paragraphs what stands right in the body, in links or in list items is kept within or next to what holds the
+page's paragraphs. The texts are taken in page order: character references decoded, white space inside a block one space,
+blocks joined by one space. Pages that no wrapper matches (its shape left out, or no host to share one) are judged by the
+places of their texts in the same way, and by the links that they show themselves.
+
+Nulls and edges: a null or empty html gives an empty text. Unclosed or stray tags close where HTML says they do; very long
+pages are read whole, in linear time. Pages whose url is null or names no host share no wrapper and no template; a null or
+repeated page_id is a row of its own. An empty table gives an empty result; other columns aren't looked at.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import json
 import re
@@ -47,7 +52,25 @@ MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 ASIDE = frozenset("nav header footer aside form button select dialog menu script style noscript template textarea title svg iframe head".split())
-BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|menu|nav\w*|breadcrumbs?|sidebar|side|aside|header|masthead|footer|foot|cookies?|consent|notices?|gdpr|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|recirc|comments?|respond|replies|disqus|widget|toolbar|pagination|pager|tags|copyright|legal|disclaimer)(?=$|[\s_-])", re.I)
+# Words of class and id that say what an element is, and words that may stand beside them.
+ASIDE_WORDS = frozenset("ad ads advert adverts advertisement adsense adslot banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar aside header masthead footer cookie cookies consent notice notices gdpr popup modal newsletter subscribe signup login share sharing social related recommended recirc comment comments respond replies disqus widget widgets toolbar pagination pager copyright".split())
+STRUCTURE = frozenset("site page main top bottom left right primary secondary global box block bar list links link item items container wrapper wrap inner outer section area panel row column col unit slot button buttons icons icon media form content post posts article articles entry stories reader user thread message messages text overlay right-rail rail bottom-bar js js-only x1 fixed sticky mobile desktop small large".split())
+HEADED = frozenset("article articles entry entries post posts story stories content".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
+
+
+@functools.lru_cache(100_000)
+def aside(marks: str) -> bool:
+    """Whether an element's class, id or role says that it isn't of the article: one name of such words alone, or with words of structure and numbers beside them."""
+    for name in marks.lower().split():
+        words = [w for w in re.split("[-_]+", name) if w]
+        if "header" in words and any(w in HEADED for w in words):  # an article's own heading
+            continue
+        if name in ROLES or any(w in ASIDE_WORDS for w in words) and all(w in ASIDE_WORDS or w in STRUCTURE or w.isdigit() for w in words):
+            return True
+    return False
+
+
 CONTENT = re.compile(r"(?:^|\s)(?:main|article|content|(?:main|article|post|entry|story|page|body)[-_]?(?:body|content|text))(?=$|\s)", re.I)
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -141,10 +164,12 @@ class Page:
                 block += 1
             if closing:
                 names = [o.partition(".")[0] for o in open_]
+                closed = name
                 if name in names:
                     at = len(names) - 1 - names[::-1].index(name)
+                    closed = open_[at]
                     del open_[at:]
-                self._add(f"/{name}", -1, None, block)
+                self._add(f"/{closed}", -1, None, block)
                 continue
             self._close_implied(open_, name)
             marks = " ".join(a or b or c for a, b, c in MARK.findall(x)).replace("/", "_")
@@ -221,7 +246,7 @@ def fixed_tokens(page: Page, fixed: frozenset[int]) -> frozenset[int]:
 # A wrapper is a list of items: ["t", token or "=" and a constant text's place], ["s", place], ["r", items] (one or more times), ["o", items] (or not at all).
 
 
-WIDEST = 8  # items of a group that folding looks for
+NEAREST = 16  # earlier places of an item from which folding looks for a group that repeats
 
 
 class Folding:
@@ -255,21 +280,43 @@ class Folding:
     def folded(self, items: list[int]) -> list[int]:
         """Items with neighbouring equal groups made one repeated group."""
         out: list[int] = []
+        where: dict[int, list[int]] = {}  # places of each item, and of repeated groups by their last item
         for item in items:
-            out.append(item)
-            while self._fold(out):
+            self._put(out, where, item)
+            while self._fold(out, where):
                 pass
         return out
 
-    def _fold(self, out: list[int]) -> bool:
+    def _put(self, out: list[int], where: dict[int, list[int]], item: int) -> None:
+        where.setdefault(item, []).append(len(out))
+        if self.items[item][0] == "r":
+            where.setdefault(self.items[item][1][-1], []).append(len(out))
+        out.append(item)
+
+    def _fold(self, out: list[int], where: dict[int, list[int]]) -> bool:
         n, last = len(out), out[-1]
-        for wide in range(1, min(WIDEST, n - 1) + 1):
-            before = self.items[out[n - wide - 1]]
-            if before[0] == "r" and before[1][-1] == last and before[1] == tuple(out[n - wide :]):
-                del out[n - wide :]
+        places = where[last]
+        tried, i = 0, len(places) - 1
+        while i >= 0 and tried < NEAREST:
+            at = places[i]
+            here = out[at] if at < n else -1
+            group = self.items[here][1] if here >= 0 and self.items[here][0] == "r" else None
+            if here != last and (group is None or group[-1] != last):  # folded away since
+                del places[i]
+                i -= 1
+                continue
+            i -= 1
+            if at == n - 1 and here == last:
+                continue
+            tried += 1
+            wide = n - 1 - at
+            if group is not None and len(group) == wide and group == tuple(out[at + 1 :]):
+                del out[at + 1 :]
                 return True
-            if out[n - wide - 1] == last and 2 * wide <= n and out[n - wide :] == out[n - 2 * wide : n - wide] and self.may_repeat(out[n - wide :]):
-                out[n - 2 * wide :] = [self.of("r", tuple(out[n - wide :]))]
+            if here == last and 2 * wide <= n and out[n - wide :] == out[n - 2 * wide : n - wide] and self.may_repeat(out[n - wide :]):
+                again = self.of("r", tuple(out[n - wide :]))
+                del out[n - 2 * wide :]
+                self._put(out, where, again)
                 return True
         return False
 
@@ -287,20 +334,41 @@ def alike(x: list, y: list) -> bool:
     return same(x[1], y[1]) if x[0] in "ro" else x[1] == y[1]
 
 
-def shape(page: Page, folding: Folding | None = None, fixed: frozenset[int] = frozenset()) -> list[list]:
-    """A page's own expression, in which texts of the template are tokens and all others slots."""
-    folding = folding or Folding()
+@functools.lru_cache(100_000)
+def transparent(tag: str) -> bool:
+    """An inline element without class or id."""
+    return tag in INLINE
+
+
+Run = tuple[str, str, list[int]]  # kind (t or s), token or place, and the text tokens that it stands for
+
+
+def stream(page: Page, fixed: frozenset[int] = frozenset()) -> list[Run]:
+    """A page's tags and texts in order. Neighbouring texts of a block at one place are one; a place ends with @ where all of it is linked, and begins with = where it is of the template."""
     constant = fixed_tokens(page, fixed)
-    slots = [folding.of("s", "/".join(p)) for p in page.places]
-    items: list[int] = []
+    reduced = ["/".join(e for e in p if not transparent(e)) for p in page.places]
+    linked = ["a" in names(p) for p in page.places]
+    out: list[Run] = []
+    last = None
     for i, (token, path) in enumerate(zip(page.tokens, page.paths)):
         if path < 0:
-            items.append(folding.of("t", token))
-        elif i in constant:
-            items.append(folding.of("t", "=" + "/".join(page.places[path])))
-        elif not items or items[-1] != slots[path]:
-            items.append(slots[path])
-    return folding.written(folding.folded(items))
+            if not transparent(token[1:] if token[0] == "/" else token):
+                out.append(("t", token, []))
+                last = None
+            continue
+        key = page.blocks[i], reduced[path], i in constant
+        if key == last:
+            out[-1][2].append(i)
+        else:
+            out.append(("t" if i in constant else "s", reduced[path], [i]))
+            last = key
+    return [(k, x if not own else f"={x}" if k == "t" else f"{x}@" if all(linked[page.paths[i]] for i in own) else x, own) for k, x, own in out]
+
+
+def shape(page: Page, folding: Folding | None = None, fixed: frozenset[int] = frozenset()) -> list[list]:
+    """A page's own expression, in which texts of the template are tokens and all others slots."""
+    folding = folding or Folding()
+    return folding.written(folding.folded([folding.of(k, x) for k, x, _ in stream(page, fixed)]))
 
 
 def aligned(wrapper: list[list], new: list[list]) -> list[list]:
@@ -352,19 +420,98 @@ def places(items: list[list]) -> set[str]:
     return out
 
 
-def content_places(wrapper: list[list]) -> list[str]:
-    """The wrapper's slots that may hold an article's text, each led by its rank: 0 in an article, 1 in a main part, 2 in the body."""
-    slots = []
-    for place in places(wrapper):
-        path = place.split("/") if place else []
-        within = [i for i, p in enumerate(path) if p.partition(".")[0] in ("article", "main") or CONTENT.search(p.partition(".")[2])]
-        inner = path[within[0] + 1 :] if within else path
-        outer = path[: within[0]] if within else []
-        if any(p.partition(".")[0] in ("nav", "aside", "footer", "form") for p in outer) or any(p.partition(".")[0] in ASIDE or BOILERPLATE.search(p.partition(".")[2]) for p in inner):
-            continue
-        rank = 0 if any(p.partition(".")[0] == "article" for p in path) else 1 if within else 2
-        slots.append((rank, place, inner))
-    return sorted(f"{s[0]}{s[1]}" for s in slots)
+def size(items: list[list]) -> int:
+    return sum(1 + size(x[1]) if x[0] in "ro" else 1 for x in items)
+
+
+@functools.lru_cache(100_000)
+def rank(place: str) -> int:
+    """Of a slot's place: 0 in an article, 1 in a main part, 2 in the body, 3 where it isn't of the page's text."""
+    path = place.removesuffix("@").split("/") if place else []
+    parts = [p.partition(".")[::2] for p in path]
+    within = [i for i, (tag, marks) in enumerate(parts) if tag in ("article", "main") or CONTENT.search(marks)]
+    inner = parts[within[0] + 1 :] if within else parts
+    outer = parts[: within[0]] if within else []
+    article = any(tag == "article" for tag, _ in parts)
+    # An article's own header and footer-like elements hold its heading, unless their names say otherwise; menus and the like don't.
+    off = ASIDE - {"header"} if article else ASIDE
+    if any(tag in ("nav", "aside", "footer", "form") for tag, _ in outer) or any(tag in off or aside(marks) for tag, marks in inner):
+        return 3
+    return 0 if article else 1 if within else 2
+
+
+class Wrapper:
+    """A host's expression as an automaton: reading nodes (token, slot, next) and forks, taken in order; a match is exact and its time linear in the page for each state that is open at once."""
+
+    END = -1
+
+    def __init__(self, items: list[list]):
+        self.nodes: list[tuple] = []  # ("read", (kind, token), slot, next) or ("fork", first, then)
+        self.slots: list[tuple[str, bool]] = []  # place of each, and whether it is of a repeated group of links alone
+        self.open: dict[int, dict] = {}  # what may be read next, by the node that was read; filled as pages need it
+        self.start = self._sequence(items, self.END, False)
+        self.paragraphs = any(rank(p) == 2 and "p" in names(tuple(p.removesuffix("@").split("/"))) for p, _ in self.slots)
+
+    def _add(self, node: tuple) -> int:
+        self.nodes.append(node)
+        return len(self.nodes) - 1
+
+    def _sequence(self, items: list[list], then: int, menu: bool) -> int:
+        for kind, x in reversed(items):
+            if kind == "o":
+                then = self._add(("fork", self._sequence(x, then, menu), then))
+            elif kind == "r":
+                own, fork = places(x), self._add(())
+                start = self._sequence(x, fork, menu or bool(own) and all(p.endswith("@") for p in own))
+                self.nodes[fork] = "fork", start, then
+                then = start
+            else:
+                if kind == "s":
+                    self.slots.append((x, menu))
+                then = self._add(("read", (kind, x), len(self.slots) - 1 if kind == "s" else None, then))
+        return then
+
+    def _next(self, at: int) -> dict[tuple[str, str], list[int]]:
+        """The nodes that may be read from here, by their token, the preferred ones first."""
+        if at not in self.open:
+            found: dict[tuple[str, str], list[int]] = {}
+            stack, seen = [at], set()
+            while stack:
+                i = stack.pop()
+                if i in seen:
+                    continue
+                seen.add(i)
+                if i == self.END:
+                    found[("end", "")] = []
+                elif self.nodes[i][0] == "read":
+                    found.setdefault(self.nodes[i][1], []).append(i)
+                else:
+                    stack += [self.nodes[i][2], self.nodes[i][1]]
+            self.open[at] = found
+        return self.open[at]
+
+    def match(self, runs: list[Run]) -> dict[int, int] | None:
+        """The slot that each text of a stream stands in, by their places in both; None where the whole doesn't match."""
+        steps: list[dict[int, int]] = []  # nodes read, with the node read before
+        now = {self.END - 1: self.start}
+        for kind, x, _ in runs:
+            read: dict[int, int] = {}
+            for before, at in now.items():
+                for node in self._next(at).get((kind, x), ()):
+                    read.setdefault(node, before)
+            if not read:
+                return None
+            steps.append(read)
+            now = {node: self.nodes[node][3] for node in read}
+        last = next((node for node, at in now.items() if ("end", "") in self._next(at)), None)
+        if last is None:
+            return None
+        out: dict[int, int] = {}
+        for at in range(len(steps) - 1, -1, -1):
+            if (slot := self.nodes[last][2]) is not None:
+                out[at] = slot
+            last = steps[at][last]
+        return out
 
 
 def names(place: tuple[str, ...]) -> list[str]:
@@ -387,12 +534,14 @@ def menus(page: Page, own: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def body_blocks(page: Page, own: list[list[int]], paragraphs: bool) -> list[list[int]]:
+def body_blocks(page: Page, own: list[list[int]], listed: set[int], paragraphs: bool) -> list[list[int]]:
     """The blocks of a page without article or main part that are its text.
 
-    Where the host has paragraphs, menus are left out, and so is what stands right in the body, in a link or in a list item
-    unless its list or element stands within, or right next to, an element that holds paragraphs of the page.
+    Menus are left out: what the wrapper (`listed`, text tokens) or the page itself shows as one. Where the host has
+    paragraphs, what stands right in the body, in a link or in a list item is left out too, unless its list or element
+    stands within, or right next to, an element that holds paragraphs of the page.
     """
+    own = [b for b in own if not all(i in listed for i in b)]
     if not paragraphs:
         return own
     gone = {b[0] for b in menus(page, own)}
@@ -412,16 +561,26 @@ def body_blocks(page: Page, own: list[list[int]], paragraphs: bool) -> list[list
     return [b for b in own if kept(b)]
 
 
-def extracted(page: Page, wanted: dict[str, int], fixed: frozenset[int] = frozenset()) -> str:
+def extracted(page: Page, wrapper: Wrapper | None = None, fixed: frozenset[int] = frozenset()) -> str:
     """The texts of the content slots of the best rank that this page has: blocks joined by one space."""
-    ranks = [wanted.get("/".join(p), 3) for p in page.places]
-    own = [b for b in blocks(page) if not fixed or signed(page, b)[1] not in fixed]
-    best = min((ranks[page.paths[i]] for b in own for i in b), default=3)
+    runs = stream(page, fixed)
+    matched = wrapper.match(runs) if wrapper else None
+    judged: dict[int, int] = {}  # text tokens and their ranks
+    listed: set[int] = set()
+    for at, (kind, place, own) in enumerate(runs):
+        if kind == "t":
+            continue
+        place, menu = wrapper.slots[matched[at]] if matched is not None else (place, False)
+        judged.update(dict.fromkeys(own, rank(place)))
+        if menu:
+            listed.update(own)
+    best = min(judged.values(), default=3)
     if best == 3:
         return ""
-    own = [c for c in ([i for i in b if ranks[page.paths[i]] == best] for b in own) if c]
+    own = [c for c in ([i for i in b if judged.get(i) == best] for b in blocks(page)) if c]
     if best == 2:
-        own = body_blocks(page, own, any(r == 2 and "p" in names(tuple(p.split("/"))) for p, r in wanted.items()))
+        seen = any(judged[i] == 2 and "p" in names(page.places[page.paths[i]]) for i in judged)
+        own = body_blocks(page, own, listed, seen or matched is not None and wrapper.paragraphs)
     found = ("".join(page.texts[i] for i in b) for b in own)
     done = (SPACE.sub(" ", entities.unescape(b)).strip() for b in found)
     return " ".join(b for b in done if b)
@@ -453,6 +612,22 @@ def constants(pages: DataFrame) -> DataFrame:
     return counts.where("text <> 0").join(totals, ["host", "place"]).where("2 * n > total").groupBy("host").agg(F.collect_set("text").alias("fixed"))
 
 
+#: Parts of a host whose shapes are aligned by themselves first, and items that a wrapper may have.
+SALTS, MOST_ITEMS = 64, 4096
+
+
+def inferred(shapes: Iterator[list[list]]) -> list[list]:
+    """The wrapper of shapes, aligned one by one."""
+    wrapper: list[list] | None = None
+    for new in shapes:
+        if wrapper is None:
+            wrapper = new
+        elif not same(wrapper, new):
+            wider = aligned(wrapper, new)
+            wrapper = wider if size(wider) <= MOST_ITEMS else wrapper
+    return wrapper or []
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper): the expression of each host, as JSON, of pages (host, html, fixed)."""
 
@@ -462,46 +637,52 @@ def wrappers(pages: DataFrame) -> DataFrame:
             for host, html, fixed in zip(*(c.to_pylist() for c in batch.columns)):
                 key = (host, json.dumps(shape(Page(html or ""), folding, frozenset(fixed or ()))))
                 seen[key] = seen.get(key, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string())], ["host", "shape"])
-
-    found = pages.mapInArrow(shapes, "host string, shape string").groupBy("host", "shape").agg(F.count("*").alias("n")).select("host", "shape")
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["host", "shape", "n"])
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, wrapper = None, None
+        from itertools import groupby
 
-        def row():
-            return pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([json.dumps(wrapper)], pa.string()), pa.array([content_places(wrapper)], pa.list_(pa.string()))], ["host", "wrapper", "content"])
+        rows = (r for batch in slices(batches) for r in zip(*(c.to_pylist() for c in batch.columns)))
+        for (host, _), own in groupby(rows, key=lambda r: r[:2]):
+            # Shapes stream through in order; a task holds one wrapper.
+            many, wrapper = 0, None
+
+            def counted():
+                nonlocal many
+                for r in own:
+                    many += r[3]
+                    yield json.loads(r[2])
+
+            wrapper = inferred(counted())
+            yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([json.dumps(wrapper)], pa.string()), pa.array([many], pa.int64())], ["host", "shape", "n"])
+
+    kind = "host string, shape string, n long"
+    found = pages.mapInArrow(shapes, kind).groupBy("host", "shape").agg(F.sum("n").alias("n"))
+    for salt in (F.pmod(F.xxhash64("shape"), F.lit(SALTS)), F.lit(0).cast("long")):
+        dealt = found.withColumn("salt", salt).repartition("host", "salt").sortWithinPartitions("host", "salt", F.desc("n"), F.length("shape"), "shape")
+        found = dealt.select("host", "salt", "shape", "n").mapInArrow(infer, kind)
+    return found.select("host", F.col("shape").alias("wrapper"))
 
-        for batch in slices(batches):
-            for h, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                new = json.loads(s)
-                if wrapper is None or h != host:
-                    if wrapper is not None:
-                        yield row()
-                    host, wrapper = h, new
-                elif places(new) - places(wrapper) or not same(wrapper, new):
-                    wrapper = aligned(wrapper, new)
-        if wrapper is not None:
-            yield row()
 
-    # Shapes stream through in order; a task holds one wrapper.
-    return found.repartition("host").sortWithinPartitions("host", F.length("shape"), "shape").mapInArrow(infer, "host string, wrapper string, content array<string>")
+@functools.lru_cache(256)
+def _read(wrapper: str) -> Wrapper:
+    return Wrapper(json.loads(wrapper))
 
 
 @scoped
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row."""
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1))
-    hosted = own.select(host.alias("host"), "html")
+    host = F.nullif(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)), F.lit(""))
+    hosted = own.select(host.alias("host"), "html").where("host is not null")
     fixed = written(constants(hosted))
-    found = written(wrappers(hosted.join(fixed, "host", "left")).select("host", "content").join(fixed, "host", "left"))
+    found = written(wrappers(hosted.join(fixed, "host", "left").select("host", "html", "fixed")).join(fixed, "host", "left"))
     # A row a host, joined by it: broadcast where Spark finds it small, else a join that splits hot hosts.
-    both = own.withColumn("host", host).join(found, "host", "left").select("page_id", "url", "html", "content", "fixed")
+    both = own.withColumn("host", host).join(found, "host", "left").select("page_id", "url", "html", "wrapper", "fixed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = [extracted(Page(h or ""), {x[1:]: int(x[0]) for x in c or ()}, frozenset(f or ())) for h, c, f in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
+            texts = [extracted(Page(h or ""), _read(w) if w else None, frozenset(f or ())) for h, w, f in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return both.mapInArrow(run, "page_id long, url string, text string, n_chars long")
