@@ -164,40 +164,43 @@ class Page:
                 block += 1
             if closing:
                 names = [o.partition(".")[0] for o in open_]
-                closed = name
                 if name in names:
-                    at = len(names) - 1 - names[::-1].index(name)
-                    closed = open_[at]
-                    del open_[at:]
-                self._add(f"/{closed}", -1, None, block)
+                    self._close(open_, len(names) - 1 - names[::-1].index(name), block)
                 continue
-            self._close_implied(open_, name)
+            self._close_implied(open_, name, block)
             marks = " ".join(a or b or c for a, b, c in MARK.findall(x)).replace("/", "_")
             tag = f"{name}.{SPACE.sub(' ', marks.strip())}" if marks else name
             self._add(tag, -1, None, block)
             if name not in VOID and not x.endswith("/>") and len(open_) < DEEPEST:
                 open_.append(tag)
 
+        self._close(open_, 0, block + 1)
+
+    def _close(self, open_: list[str], at: int, block: int) -> None:
+        """Ends the elements from a place on, also those that the page leaves open."""
+        for tag in reversed(open_[at:]):
+            self._add(f"/{tag}", -1, None, block)
+        del open_[at:]
+
     def _add(self, token: str, path: int, text: str | None, block: int) -> None:
         self.tokens.append(token)
         self.paths.append(path)
         self.texts.append(text)
         self.blocks.append(block)
 
-    @staticmethod
-    def _close_implied(open_: list[str], name: str) -> None:
+    def _close_implied(self, open_: list[str], name: str, block: int) -> None:
         if not open_:
             return
         last = open_[-1].partition(".")[0]
         while open_ and last in SELF_CLOSING.get(name, ()):
-            open_.pop()
+            self._close(open_, len(open_) - 1, block)
             last = open_[-1].partition(".")[0] if open_ else ""
         if name in CLOSES_P:
             names = [o.partition(".")[0] for o in open_]
             for at in range(len(names) - 1, -1, -1):
                 if names[at] == "p":
                     # inline elements left open in the paragraph end with it
-                    del open_[at:]
+                    self._close(open_, at, block)
                     break
                 if names[at] not in INLINE:
                     break
@@ -336,15 +339,15 @@ def alike(x: list, y: list) -> bool:
 
 @functools.lru_cache(100_000)
 def transparent(tag: str) -> bool:
-    """An inline element without class or id."""
-    return tag in INLINE
+    """An inline element, or a line's end, without class or id."""
+    return tag in INLINE or tag == "br"
 
 
 Run = tuple[str, str, list[int]]  # kind (t or s), token or place, and the text tokens that it stands for
 
 
 def stream(page: Page, fixed: frozenset[int] = frozenset()) -> list[Run]:
-    """A page's tags and texts in order. Neighbouring texts of a block at one place are one; a place ends with @ where all of it is linked, and begins with = where it is of the template."""
+    """A page's tags and texts in order. Neighbouring texts at one place are one; a place ends with @ where all of it is linked, and begins with = where it is of the template."""
     constant = fixed_tokens(page, fixed)
     reduced = ["/".join(e for e in p if not transparent(e)) for p in page.places]
     linked = ["a" in names(p) for p in page.places]
@@ -356,7 +359,7 @@ def stream(page: Page, fixed: frozenset[int] = frozenset()) -> list[Run]:
                 out.append(("t", token, []))
                 last = None
             continue
-        key = page.blocks[i], reduced[path], i in constant
+        key = reduced[path], i in constant
         if key == last:
             out[-1][2].append(i)
         else:
@@ -448,6 +451,7 @@ class Wrapper:
     def __init__(self, items: list[list]):
         self.nodes: list[tuple] = []  # ("read", (kind, token), slot, next) or ("fork", first, then)
         self.slots: list[tuple[str, bool]] = []  # place of each, and whether it is of a repeated group of links alone
+        self.known: dict[tuple, dict[int, int] | None] = {}
         self.open: dict[int, dict] = {}  # what may be read next, by the node that was read; filled as pages need it
         self.start = self._sequence(items, self.END, False)
         self.paragraphs = any(rank(p) == 2 and "p" in names(tuple(p.removesuffix("@").split("/"))) for p, _ in self.slots)
@@ -492,6 +496,14 @@ class Wrapper:
 
     def match(self, runs: list[Run]) -> dict[int, int] | None:
         """The slot that each text of a stream stands in, by their places in both; None where the whole doesn't match."""
+        key = tuple([r[:2] for r in runs])
+        if key not in self.known:
+            if len(self.known) >= 4096:  # remembered, no more
+                self.known.clear()
+            self.known[key] = self._match(runs)
+        return self.known[key]
+
+    def _match(self, runs: list[Run]) -> dict[int, int] | None:
         steps: list[dict[int, int]] = []  # nodes read, with the node read before
         now = {self.END - 1: self.start}
         for kind, x, _ in runs:
