@@ -22,6 +22,7 @@ with a null or repeated id are rows of their own. An empty table gives an empty
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,21 +64,28 @@ class Counter(dict):
         return n
 
 
+def split_counts(text: str, counter: Counter) -> np.ndarray:
+    """Characters and tokens of each pre-token, as two rows."""
+    pieces = counter.split.findall(text)
+    return np.array([list(map(len, pieces)), list(map(counter.__getitem__, pieces))], np.uint32)
+
+
 class Document:
-    """A text with the segment tree of its pre-tokens."""
+    """A text with the segment tree of its pre-tokens. Blocks stay slices of an array until an edit touches them."""
 
-    def __init__(self, text: str, counter: Counter, leaves: list[tuple[int, int]] | None = None):
+    def __init__(self, text: str, counter: Counter, leaves: np.ndarray | None = None):
         self.text, self.counter, self.encoded = text, counter, 0
-        self._build([(len(p), counter[p]) for p in counter.split.findall(text)] if leaves is None else leaves)
+        self._build(split_counts(text, counter) if leaves is None else leaves)
 
-    def _build(self, leaves: list[tuple[int, int]]) -> None:
-        self.blocks = [leaves[i : i + BLOCK] for i in range(0, len(leaves), BLOCK)] or [[]]
+    def _build(self, leaves: np.ndarray) -> None:
+        self.array, n = leaves, leaves.shape[1]
+        many = max(1, -(-n // BLOCK))
+        self.blocks: list[list[tuple[int, int]] | None] = [None] * many
         self.width = 1
-        while self.width < len(self.blocks):
+        while self.width < many:
             self.width *= 2
-        self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        for i, b in enumerate(self.blocks):
-            self.chars[self.width + i], self.tokens[self.width + i] = sum(c for c, _ in b), sum(t for _, t in b)
+        sums = np.add.reduceat(leaves.astype(np.int64), np.arange(0, n, BLOCK), axis=1) if n else np.zeros((2, 1), np.int64)
+        self.chars, self.tokens = ([0] * self.width + x + [0] * (self.width - many) for x in sums.tolist())
         for i in range(self.width - 1, 0, -1):
             self.chars[i], self.tokens[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.tokens[2 * i] + self.tokens[2 * i + 1]
 
@@ -85,6 +93,11 @@ class Document:
     def count(self) -> int:
         return self.tokens[1]
 
+    def _block(self, i: int) -> list[tuple[int, int]]:
+        if self.blocks[i] is None:
+            self.blocks[i] = list(zip(*self.array[:, i * BLOCK : (i + 1) * BLOCK].tolist()))
+        return self.blocks[i]
+
     def _set(self, i: int, block: list[tuple[int, int]]) -> None:
         self.blocks[i] = block
         n = self.width + i
@@ -93,6 +106,15 @@ class Document:
             n //= 2
             self.chars[n], self.tokens[n] = self.chars[2 * n] + self.chars[2 * n + 1], self.tokens[2 * n] + self.tokens[2 * n + 1]
 
+    def leaves(self) -> np.ndarray:
+        """Characters and tokens of each pre-token, as two rows."""
+        parts = [self.array[:, i * BLOCK : (i + 1) * BLOCK] if b is None else np.array(b, np.uint32).reshape(-1, 2).T for i, b in enumerate(self.blocks)]
+        return np.concatenate(parts, axis=1)
+
+    def pre_tokens(self) -> int:
+        n = self.array.shape[1]
+        return sum(min(BLOCK, n - i * BLOCK) if b is None else len(b) for i, b in enumerate(self.blocks))
+
     def _find(self, at: int) -> tuple[int, int]:
         """The block of the first pre-token that ends at or after a character, and where the block begins."""
         n, start = 1, 0
@@ -113,7 +135,7 @@ class Document:
         b, start = self._find(at)
         # One pre-token of context: from the block before if need be.
         first, from_ = 0, start
-        block = self.blocks[b]
+        block = self._block(b)
         while first < len(block) and from_ + block[first][0] < at:
             from_ += block[first][0]
             first += 1
@@ -122,10 +144,10 @@ class Document:
             from_ -= block[first][0]
         else:
             p = b - 1
-            while p >= 0 and not self.blocks[p]:
+            while p >= 0 and not self._block(p):
                 p -= 1
             if p >= 0:
-                b, block = p, self.blocks[p]
+                b, block = p, self._block(p)
                 first = len(block) - 1
                 start -= sum(c for c, _ in block)
                 from_ -= block[first][0]
@@ -136,41 +158,42 @@ class Document:
         for m in self.counter.split.finditer(text, from_):
             if new_end - shift >= end and new_end > from_:
                 while old_end < new_end - shift:
-                    if old_i >= len(self.blocks[old_b]):
+                    if old_i >= len(self._block(old_b)):
                         old_b, old_i = old_b + 1, 0
                         continue
-                    old_end += self.blocks[old_b][old_i][0]
+                    old_end += self._block(old_b)[old_i][0]
                     old_i += 1
                 if old_end == new_end - shift and new_end >= at + len(inserted):
                     break
             fresh.append((len(m[0]), self.counter[m[0]]))
             new_end = m.end()
         else:
-            old_b, old_i = len(self.blocks) - 1, len(self.blocks[-1])
+            old_b = len(self.blocks) - 1
+            old_i = len(self._block(old_b))
         self.encoded += len(fresh)
-        rest = self.blocks[old_b][old_i:]
+        rest = self._block(old_b)[old_i:]
         for i in range(b + 1, old_b + 1):
             self._set(i, [])
         joined = kept + fresh + rest
         if len(joined) > 16 * BLOCK:
-            self._build([x for i, blk in enumerate(self.blocks) for x in (joined if i == b else blk)])
+            self.blocks[b] = joined
+            self._build(self.leaves())
         else:
             self._set(b, joined)
 
-    def pre_tokens(self) -> int:
-        return sum(map(len, self.blocks))
 
-    def leaves(self) -> bytes:
-        """Characters and tokens of each pre-token, in order: a byte each, longer ones as 255 and four bytes more."""
-        x = np.array([n for b in self.blocks for leaf in b for n in leaf], np.uint32)
-        return np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].tobytes() + np.uint32(len(x)).tobytes()
+def leaf_bytes(leaves: np.ndarray) -> bytes:
+    """Two rows of leaves, compressed: a byte for each number, and four more for those of 255 and above."""
+    x = leaves.ravel()
+    return zlib.compress(np.uint32(leaves.shape[1]).tobytes() + np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype(np.uint32).tobytes(), 1)
 
 
-def read_leaves(data: bytes) -> list[tuple[int, int]]:
-    n = int(np.frombuffer(data[-4:], np.uint32)[0])
-    x = np.frombuffer(data[:n], np.uint8).astype(np.uint32)
-    x[x == 255] = np.frombuffer(data[n:-4], np.uint32)
-    return list(zip(x[::2].tolist(), x[1::2].tolist()))
+def read_leaves(data: bytes) -> np.ndarray:
+    data = zlib.decompress(data)
+    n = int(np.frombuffer(data[:4], np.uint32)[0])
+    x = np.frombuffer(data[4 : 4 + 2 * n], np.uint8).astype(np.uint32)
+    x[x == 255] = np.frombuffer(data[4 + 2 * n :], np.uint32)
+    return x.reshape(2, n)
 
 
 _EDITS = "array<struct<at:int,removed:int,inserted:string>>"
@@ -184,15 +207,15 @@ def kept(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(given.value)
         for batch in slices(batches):
-            trees = [Document(t or "", counter) for t in batch.column(1).to_pylist()]
-            new = [pa.array([d.leaves() for d in trees], pa.binary()), pa.array([d.count for d in trees], pa.int64()), pa.array([d.pre_tokens() for d in trees], pa.int64())]
+            trees = [split_counts(t or "", counter) for t in batch.column(1).to_pylist()]
+            new = [pa.array([leaf_bytes(x) for x in trees], pa.binary()), pa.array([int(x[1].sum()) for x in trees], pa.int64()), pa.array([x.shape[1] for x in trees], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "leaves", "n_tokens", "n_pretokens"])
 
     return own.mapInArrow(run, f"doc_id long, text string, {f'edits {own.schema["edits"].dataType.simpleString()}, ' if edits_col else ''}leaves binary, n_tokens long, n_pretokens long")
 
 
-def edited(trees: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, text, leaves, n_tokens, n_pretokens, n_edits, n_tokens_before, n_pretokens_before, n_reencoded) of rows of kept() with a column edits of (at, removed, inserted); text, leaves and counts are those after the edits."""
+def edited(trees: DataFrame, vocabulary: str = VOCABULARY, keep: bool = True) -> DataFrame:
+    """(doc_id, text, leaves, n_tokens, n_pretokens, n_edits, n_tokens_before, n_pretokens_before, n_reencoded) of rows of kept() with a column edits of (at, removed, inserted); text, leaves and counts are those after the edits. Text and leaves are null unless they are to be kept."""
     given = trees.sparkSession.sparkContext.broadcast(_file(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,8 +230,8 @@ def edited(trees: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                     d.edit(e.get("at") or 0, e.get("removed") or 0, e.get("inserted") or "")
                 done.append(d)
             ints = lambda x: pa.array(list(x), pa.int64())
-            texts = pa.array([d.text if text is not None or d.text else None for d, text in zip(done, batch.column(1).to_pylist())], pa.string())
-            cols = [batch.column(0), texts, pa.array([d.leaves() for d in done], pa.binary()), ints(d.count for d in done), ints(d.pre_tokens() for d in done), ints(b[1] for b in before), ints(b[0] for b in before), ints(b[2] for b in before), ints(d.encoded for d in done)]
+            texts = pa.array([d.text if text is not None or d.text else None for d, text in zip(done, batch.column(1).to_pylist())] if keep else [None] * len(done), pa.string())
+            cols = [batch.column(0), texts, pa.array([leaf_bytes(d.leaves()) if keep else None for d in done], pa.binary()), ints(d.count for d in done), ints(d.pre_tokens() for d in done), ints(b[1] for b in before), ints(b[0] for b in before), ints(b[2] for b in before), ints(d.encoded for d in done)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text", "leaves", "n_tokens", "n_pretokens", "n_edits", "n_tokens_before", "n_pretokens_before", "n_reencoded"])
 
     return trees.select("doc_id", "text", "leaves", "edits").mapInArrow(run, "doc_id long, text string, leaves binary, n_tokens long, n_pretokens long, n_edits long, n_tokens_before long, n_pretokens_before long, n_reencoded long")
@@ -222,5 +245,5 @@ def counts(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id"
     """
     own = docs if edits_col in docs.columns else docs.withColumn(edits_col, F.lit(None).cast(_EDITS))
     trees = written(kept(own, vocabulary, id_col, text_col, edits_col))
-    after = edited(trees, vocabulary)
+    after = edited(trees, vocabulary, keep=False)
     return after.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_pretokens_before").alias("n_pretokens"), "n_edits", F.col("n_tokens").alias("n_tokens_after"), "n_reencoded")
