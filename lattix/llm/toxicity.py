@@ -56,9 +56,7 @@ class Terms(dict):
         return out
 
     def of(self, text: str | None) -> np.ndarray:
-        found: set[int] = set()
-        for word in set(WORD.findall((text or "").lower())):
-            found.update(self[word])
+        found: set[int] = set().union(*map(self.__getitem__, set(WORD.findall((text or "").lower()))))
         return np.fromiter(found, np.int64, len(found))
 
 
