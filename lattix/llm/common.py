@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import threading
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -21,8 +22,14 @@ SLICE_ROWS = 256
 PIECES = 16
 
 
-#: Open scopes of written tables, the innermost last.
-_scopes: list[list[DataFrame]] = []
+class _Scopes(threading.local):
+    """A thread's open scopes of written tables, the innermost last."""
+
+    def __init__(self):
+        self.open: list[list[DataFrame]] = []
+
+
+_scopes = _Scopes()
 
 
 def written(df: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -33,16 +40,16 @@ def written(df: DataFrame, partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lattix-{uuid.uuid4().hex}"
     where, files = _place(spark, path)
-    files.deleteOnExit(where)
     try:
         (df.coalesce(partitions) if partitions else df).write.parquet(path)
     except BaseException:
         files.delete(where, True)
         raise
+    files.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._lattix_path = path
-    if _scopes:
-        _scopes[-1].append(out)
+    if _scopes.open:
+        _scopes.open[-1].append(out)
     return out
 
 
@@ -74,18 +81,18 @@ def _read_by(df: DataFrame) -> str:
 def scope(kept: Callable[[], DataFrame | None] = lambda: None):
     """Tables written within are deleted at its end, also when it fails, but those that the kept frame reads: these pass to the scope around it."""
     own: list[DataFrame] = []
-    _scopes.append(own)
+    _scopes.open.append(own)
     reads = ""
     try:
         yield
         reads = _read_by(kept()) if kept() is not None else ""
     finally:
-        _scopes[:] = [s for s in _scopes if s is not own]
+        _scopes.open = [s for s in _scopes.open if s is not own]
         for table in own:
             path = getattr(table, "_lattix_path", None)
             if path and path.rpartition("/")[2] in reads:
-                if _scopes:
-                    _scopes[-1].append(table)
+                if _scopes.open:
+                    _scopes.open[-1].append(table)
             else:
                 drop(table)
 
