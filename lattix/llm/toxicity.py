@@ -6,7 +6,9 @@ two harmless terms are toxic together.
 
 Fitting: at most `rows` labelled documents, those with the smallest hashed ids, are looked at (a fixed bound, by which
 the sample is broadcast). Executors count terms by label in tables of fixed size; the driver keeps the `terms` that tell
-the labels apart best, and fits by mini-batches. Only ids whose crc32 (of the id as text) isn't divisible by `fold` teach.
+the labels apart best by themselves. A first machine has these and, as neutral terms with damped factors and no weight,
+all others in a share of `share` of the rows; the `pairs` neutral ones of strongest factors join the kept terms, as they
+tell the labels apart in pairs, and the machine is fitted anew by mini-batches. Only ids whose crc32 (of the id as text) isn't divisible by `fold` teach.
 Scoring reads every text in whole.
 
 Nulls and edges: a null text is an empty one and gets the bias alone. Labels with a null id or label are left out; of
@@ -76,31 +78,40 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _fit(lists: list[np.ndarray], y: np.ndarray, n: int, width: int, epochs: int, rate: float, shrink: float, seed: int, steps: int = 800) -> tuple[float, np.ndarray, np.ndarray]:
-    """Adam over mini-batches, for so many epochs and `steps` steps at least."""
+def _fit(lists: list[np.ndarray], y: np.ndarray, n: int, width: int, epochs: int, rate: float, shrink: float, seed: int, steps: int = 800, neutral: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """Adam over mini-batches, for so many epochs and `steps` steps at least.
+
+    Terms marked neutral have factors alone, which decay and move only as far as their gradients are steady and large.
+    """
     rng = np.random.default_rng(seed)
     theta = np.concatenate([np.zeros((n, 1)), rng.normal(0, 0.01, (n, width))], 1)
+    floor, decay = np.full((n, 1), 1e-8), np.ones((n, 1))
+    if neutral is not None:
+        floor[neutral], decay[neutral] = 1e-3, 1 - 0.1 * rate
     p = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     bias, m, s, mb, sb, step = np.log(p / (1 - p)), np.zeros_like(theta), np.zeros_like(theta), 0.0, 0.0, 0
     for _ in range(max(epochs, -(-steps // max(1, len(y) // 256)))):
         for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // 256)):
             own = [lists[r] for r in rows]
-            sizes = np.array([len(x) for x in own])
+            ends = np.cumsum([len(x) for x in own])
+            sizes = np.diff(ends, prepend=0)
             at = np.repeat(np.arange(len(rows)), sizes)
-            idx = np.concatenate(own) if len(own) else np.empty(0, np.int64)
+            idx = np.concatenate(own)
             t = theta[idx]
-            sums = np.zeros((len(rows), width + 1))
-            np.add.at(sums, at, t)
-            squares = np.zeros(len(rows))
-            np.add.at(squares, at, (t[:, 1:] ** 2).sum(1))
-            z = bias + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(1) - squares)
+            running = np.zeros((len(idx) + 1, width + 2))
+            np.cumsum(np.concatenate([t, (t[:, 1:] ** 2).sum(1, keepdims=True)], 1), 0, out=running[1:])
+            sums = running[ends] - running[ends - sizes]
+            z = bias + sums[:, 0] + 0.5 * ((sums[:, 1:-1] ** 2).sum(1) - sums[:, -1])
             e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / len(rows)
-            g = np.zeros_like(theta)
-            np.add.at(g, idx, e[at, None] * np.concatenate([np.ones((len(idx), 1)), sums[at, 1:] - t[:, 1:]], 1))
-            g += shrink * theta
+            each = e[at]
+            slopes = [np.bincount(idx, each, n)] + [np.bincount(idx, each * (sums[at, k] - t[:, k]), n) for k in range(1, width + 1)]
+            g = shrink * theta + np.stack(slopes, 1)
+            if neutral is not None:
+                g[neutral, 0] = 0
             step += 1
             m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
-            theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
+            theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + floor)
+            theta[:, 1:] *= decay
             gb = e.sum()
             mb, sb = 0.9 * mb + 0.1 * gb, 0.999 * sb + 0.001 * gb * gb
             bias -= rate * (mb / (1 - 0.9**step)) / (np.sqrt(sb / (1 - 0.999**step)) + 1e-8)
@@ -111,7 +122,7 @@ def held_out(id_col, fold: int):
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % fold == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fold: int = 5, rows: int = 20_000, terms: int = 8192, width: int = 4, epochs: int = 12, rate: float = 0.02, shrink: float = 1e-5, seed: int = 7) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fold: int = 5, rows: int = 20_000, terms: int = 8192, pairs: int = 256, share: float = 0.01, width: int = 4, epochs: int = 12, rate: float = 0.02, shrink: float = 1e-5, seed: int = 7) -> Model:
     """The machine learnt from at most `rows` labelled documents outside the held-out fold; docs (doc_id, text), labels (doc_id, toxic)."""
     spark = docs.sparkSession
     id_, toxic = F.col("doc_id").cast("long"), F.col("toxic").cast("double")
@@ -139,7 +150,9 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 5, rows: int = 20_000, t
     z[yes + no < min(5, 2 + (all_ + none) / 5000)] = 0
     kept = np.sort(np.argsort(-z, kind="stable")[:terms])
     kept = kept[z[kept] > 0]
-    place[kept] = np.arange(len(kept))
+    # Terms in a good share of the rows that tell nothing by themselves may do so in pairs.
+    tried = np.union1d(kept, np.flatnonzero(yes + no >= max(5, share * (all_ + none))) if pairs else kept)
+    place[tried] = np.arange(len(tried))
     given = spark.sparkContext.broadcast(place)
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +163,17 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 5, rows: int = 20_000, t
 
     got = sorted((bytes(r.terms), r.toxic) for r in taught.mapInArrow(lists, "terms binary, toxic int").collect())  # `rows` at most
     y = np.array([t for _, t in got], float)
-    bias, weights, factors = _fit([np.frombuffer(x, np.int32).astype(np.int64) for x, _ in got], y, len(kept), width, epochs, rate, shrink, seed)
+    own = [np.frombuffer(x, np.int32) for x, _ in got]
+    neutral = ~np.isin(tried, kept)
+    if neutral.any():
+        strength = (_fit(own, y, len(tried), width, epochs // 4, rate, shrink, seed, 400, neutral)[2] ** 2).sum(1)
+        others = np.flatnonzero(neutral)
+        kept = np.union1d(kept, tried[others[np.argsort(-strength[others], kind="stable")[:pairs]]])
+    place = np.full(1 << SLOT_BITS, -1, np.int32)
+    place[kept] = np.arange(len(kept))
+    to = place[tried]  # from the positions tried to those kept, or -1
+    own = [(lambda x: x[x >= 0])(to[x]) for x in own]
+    bias, weights, factors = _fit(own, y, len(kept), width, epochs, rate, shrink, seed)
     return Model(place, bias, weights, factors)
 
 

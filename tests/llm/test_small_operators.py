@@ -485,6 +485,22 @@ def test_toxicity_learns_pairs(spark):
     assert len(got) == len(docs) and all(0 <= r.score <= 1 for r in got.values()) and not got[None].held_out
 
 
+def test_toxicity_learns_pairs_of_terms_that_are_neutral_alone(spark):
+    """Each of four words is as frequent in clean texts as in toxic ones; two of their pairs are toxic, among far more terms than are kept."""
+    rng = np.random.default_rng(3)
+    words = [f"{w:x}q" for w in rng.integers(1 << 40, size=20_000)]
+    often = 1 / np.arange(1, len(words) + 1) ** 0.8
+    docs, labels = [], []
+    for i in range(3000):
+        a, b = i % 2, i // 2 % 2
+        docs.append((i, " ".join([*(words[w] for w in rng.choice(len(words), 40, p=often / often.sum())), ("alpha", "gamma")[a], ("beta", "delta")[b]])))
+        labels.append((i, int(a == b)))
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    of = lambda model: np.mean([r.predicted == labels[r.doc_id][1] for r in toxicity.score(d, model).where("held_out").collect()])
+    assert of(toxicity.fit(d, lab)) > 0.95
+    assert of(toxicity.fit(d, lab, pairs=0)) < 0.7
+
+
 def test_toxicity_without_labels(spark):
     d = frame(spark, EDGES)
     none = spark.createDataFrame([], "doc_id long, toxic int")
