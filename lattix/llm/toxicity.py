@@ -6,7 +6,7 @@ two harmless terms are toxic together.
 
 Fitting: at most `rows` labelled documents, those with the smallest hashed ids, are looked at (a fixed bound, by which
 the sample is broadcast). Executors count terms by label in tables of fixed size; the driver keeps the `terms` that tell
-the labels apart best by themselves. A first machine has these and, as neutral terms with damped factors and no weight,
+the labels apart best by themselves. If `pairs` is given, a first machine has these and, as neutral terms with damped factors and no weight,
 all others in a share of `share` of the rows; the `pairs` neutral ones of strongest factors join the kept terms, as they
 tell the labels apart in pairs, and the machine is fitted anew by mini-batches. Only ids whose crc32 (of the id as text) isn't divisible by `fold` teach.
 Scoring reads every text in whole.
@@ -122,7 +122,7 @@ def held_out(id_col, fold: int):
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % fold == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fold: int = 5, rows: int = 20_000, terms: int = 8192, pairs: int = 256, share: float = 0.01, width: int = 4, epochs: int = 12, rate: float = 0.02, shrink: float = 1e-5, seed: int = 7) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fold: int = 5, rows: int = 20_000, terms: int = 8192, pairs: int = 0, share: float = 0.01, width: int = 4, epochs: int = 12, rate: float = 0.02, shrink: float = 1e-5, seed: int = 7) -> Model:
     """The machine learnt from at most `rows` labelled documents outside the held-out fold; docs (doc_id, text), labels (doc_id, toxic)."""
     spark = docs.sparkSession
     id_, toxic = F.col("doc_id").cast("long"), F.col("toxic").cast("double")

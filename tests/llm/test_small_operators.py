@@ -497,8 +497,8 @@ def test_toxicity_learns_pairs_of_terms_that_are_neutral_alone(spark):
         labels.append((i, int(a == b)))
     d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     of = lambda model: np.mean([r.predicted == labels[r.doc_id][1] for r in toxicity.score(d, model).where("held_out").collect()])
-    assert of(toxicity.fit(d, lab)) > 0.95
-    assert of(toxicity.fit(d, lab, pairs=0)) < 0.7
+    assert of(toxicity.fit(d, lab, pairs=256)) > 0.95
+    assert of(toxicity.fit(d, lab)) < 0.7
 
 
 def test_toxicity_without_labels(spark):
