@@ -79,10 +79,42 @@ def whole_counts(records: DataFrame) -> DataFrame:
 
 
 def dense(records: DataFrame, n_features: int, key: str = "bc_id", other: str = "ft_id") -> DataFrame:
-    """(key, values) with a dense array a row, duplicates summed, absent records 0. An array has n_features entries."""
-    m = summed(records).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col(other).cast("int"), F.col("value").cast("double")))).alias("m"))
-    zero = F.lit(0.0)
-    return m.select(key, F.transform(F.sequence(F.lit(0), F.lit(n_features - 1)), lambda i: F.coalesce(F.try_element_at("m", i), zero)).alias("values"))
+    """(key, values) with a dense array a row, duplicates summed, absent records 0. An array has n_features entries, set in time linear in them; for rows much wider than their records see dense_blocks."""
+    import pyarrow as pa
+
+    entry = F.struct(F.col(other).cast("long").alias("i"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("v"))
+    m = summed(records).groupBy(key).agg(F.collect_list(F.when(F.col(other).between(0, n_features - 1), entry)).alias("r"))
+    rows = m.select(key, F.transform("r", lambda x: x["i"]).alias("i"), F.transform("r", lambda x: x["v"]).alias("v"))
+    most = max(1, (1 << 20) // max(1, n_features))  # rows of a batch that is returned: 8 MB, or one row
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, most):
+                part = batch.slice(start, most)
+                at, values = part.column(1), part.column(2)
+                ends = at.offsets.to_numpy()
+                flat = np.zeros(part.num_rows * n_features)
+                flat[np.repeat(np.arange(part.num_rows), np.diff(ends)) * n_features + at.flatten().to_numpy()] = values.flatten().to_numpy()
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * n_features, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], [key, "values"])
+
+    return rows.mapInArrow(run, f"{key} {dict(records.dtypes)[key]}, values array<double>")
+
+
+def dense_blocks(records: DataFrame, n_features: int, key: str = "bc_id", other: str = "ft_id", wide: int = 16) -> DataFrame:
+    """(key, n_values, blocks): the dense rows of n_values entries, in blocks (start, values) of so many neighbours by start, duplicates summed, absent records 0.
+
+    A block without any record isn't stored: all of its entries are 0. So what is held grows with the records, not with
+    rows times features.
+    """
+    x = summed(records).withColumn("_b", F.when(F.col(other).between(0, n_features - 1), F.floor(F.col(other) / wide))).repartition(key)
+    filled = x.groupBy(key, "_b").agg(F.map_from_entries(F.collect_list(F.when(F.col("_b").isNotNull(), F.struct((F.col(other) - F.col("_b") * wide).cast("int"), F.col("value").cast("double"))))).alias("m"))
+    start, zero = F.col("_b") * wide, F.lit(0.0)
+    entries = F.sequence(F.lit(0), F.least(F.lit(wide), F.lit(n_features) - start).cast("int") - 1)
+    block = F.struct(start.cast("long").alias("start"), F.transform(entries, lambda i: F.coalesce(F.try_element_at("m", i), zero)).alias("values"))
+    return filled.groupBy(key).agg(F.lit(n_features).alias("n_values"), F.sort_array(F.collect_list(F.when(F.col("_b").isNotNull(), block))).alias("blocks"))
 
 
 def pivoted(records: DataFrame, features: list[int], prefix: str = "ft_") -> DataFrame:
