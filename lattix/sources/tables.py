@@ -7,19 +7,29 @@ from pyspark.sql import functions as F
 
 from ..model import CountMatrix
 
+#: Bytes of files whose rows one task sums.
+PART = 16 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _summed(items: DataFrame, barcode: str) -> DataFrame:
+    """Quantities summed by part and barcode. Nearly every item is a group of its own, so rows are dealt before any are summed, into a part for each PART bytes of files: a task's groups then don't grow with the table. (Adaptive merging goes by compressed bytes, and ids take few.)"""
+    size = int(items._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    n = max(items.sparkSession.sparkContext.defaultParallelism, size // PART)
+    x = items.select(F.col("l_partkey").alias("ft_id"), F.col(barcode).alias("bc_id"), "l_quantity")
+    return x.repartition(n, "ft_id", "bc_id").groupBy("ft_id", "bc_id").agg(F.sum("l_quantity").alias("value"))
+
+
 def _features(part: DataFrame) -> DataFrame:
     return part.select(F.col("p_partkey").alias("ft_id"), F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("id_feature"), F.col("p_brand").alias("feature"), F.col("p_type").alias("feature_type"))
 
 
 def orders_by_parts(spark: SparkSession, sf_dir: str) -> CountMatrix:
     """Barcodes are orders, some without any item; features are parts; values are quantities, summed where an order names a part twice."""
-    items = table(spark, sf_dir, "lineitem")
-    records = items.groupBy(F.col("l_partkey").alias("ft_id"), F.col("l_orderkey").alias("bc_id")).agg(F.sum("l_quantity").alias("value"))
+    records = _summed(table(spark, sf_dir, "lineitem"), "l_orderkey")
     bc = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("bc_id"), F.concat(F.lit("order"), F.col("o_orderkey").cast("string")).alias("barcode"), "o_orderstatus", "o_orderpriority")
     return CountMatrix(bc, _features(table(spark, sf_dir, "part")), {"raw": records})
 
@@ -30,8 +40,7 @@ def item_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suppliers_by_parts(spark: SparkSession, sf_dir: str) -> CountMatrix:
-    items = table(spark, sf_dir, "lineitem")
-    records = items.groupBy(F.col("l_partkey").alias("ft_id"), F.col("l_suppkey").alias("bc_id")).agg(F.sum("l_quantity").alias("value"))
+    records = _summed(table(spark, sf_dir, "lineitem"), "l_suppkey")
     bc = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("bc_id"), F.col("s_name").alias("barcode"), "s_nationkey")
     return CountMatrix(bc, _features(table(spark, sf_dir, "part")), {"raw": records})
 

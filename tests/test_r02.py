@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattix.operators import layout
+from lattix.model import CountMatrix
+from lattix.operators import extras, layout
+from lattix.sources import mex, tables
 
 
 def test_dense_rows_wider_than_their_records(spark):
@@ -28,3 +30,11 @@ def test_dense_rows_take_time_by_records(spark):
     got = layout.dense(x, wide).select("bc_id", F.size("values").alias("n"), F.element_at("values", 601).alias("v")).collect()
     assert sorted(map(tuple, got)) == [(i, wide, 1.0) for i in range(40)]
     assert time.time() - began < 40  # entries times records: minutes
+
+
+@pytest.mark.parametrize("matrix", [tables.orders_by_parts, tables.suppliers_by_parts])
+def test_more_items_make_more_tasks(spark, monkeypatch, matrix):
+    monkeypatch.setattr(tables, "PART", 1 << 12)
+    x = matrix(spark, "/root/testdata/sf0.001").layers["raw"]
+    assert x.rdd.getNumPartitions() > 8  # not what a session's settings and compressed bytes make of it
+    assert x.count() == x.select("ft_id", "bc_id").distinct().count()
