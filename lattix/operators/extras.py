@@ -104,22 +104,30 @@ class KeyValues:
 
 
 def recipe(matrix, min_genes: int = 200, min_cells: int = 3, prefix: str = "MT-", target: float = 10_000, n_variable: int = 2000, most: float = 10.0, components: int = 40) -> dict[str, DataFrame]:
-    """The usual processing: cells and features that pass, shares of prefixed features, natural-log normal values, the most variable features scaled and capped, and their components (for embed.neighbours and embed.kmeans)."""
+    """The usual processing: cells and features that pass, shares of prefixed features, natural-log normal values, the most variable features scaled and capped, and their components (for embed.neighbours and embed.kmeans) of every cell that passes. The components are empty where no feature is variable enough or only one cell passes."""
+    from pyspark.ml.functions import array_to_vector
+
     raw = matrix.layers["raw"]
-    cells = raw.groupBy("bc_id").agg(F.count("*").alias("n_genes"), F.sum("value").alias("total")).where(F.col("n_genes") >= min_genes)
+    # Cells and their records are read again and again: both are written once.
+    cells = summary.kept(raw.groupBy("bc_id").agg(F.count("*").alias("n_genes"), F.sum("value").alias("total")).where(F.col("n_genes") >= min_genes))
     kept = raw.join(cells.select("bc_id"), "bc_id", "left_semi")
     genes = kept.groupBy("ft_id").agg(F.count("*").alias("n_cells")).where(F.col("n_cells") >= min_cells)
-    kept = kept.join(genes.select("ft_id"), "ft_id", "left_semi")
+    kept = summary.kept(kept.join(genes.select("ft_id"), "ft_id", "left_semi"))
     marked = matrix.features.where(F.col("feature").startswith(prefix)).select("ft_id", F.lit(True).alias("marked"))
     quality = kept.join(marked, "ft_id", "left").groupBy("bc_id").agg(F.count("*").alias("n_genes"), F.sum("value").alias("total"), (F.coalesce(F.sum(F.when(F.col("marked"), F.col("value"))), F.lit(0)) / F.sum("value") * 100).alias("percent_marked"))
-    n = max(2, cells.count())
+    n_cells = cells.count()
+    n = max(2, n_cells)
     log = summary.normalized(kept, target).withColumn("value", F.log1p("value"))
-    variable = summary.most_variable(summary.moments(kept, n, target), n_variable).select("ft_id").persist()
-    ids = renumbered(variable, "ft_id", "nth")
+    variable = summary.kept(summary.most_variable(summary.moments(kept, n, target), n_variable).select("ft_id"))
+    ids = summary.kept(renumbered(variable, "ft_id", "nth"))
     scaled = summary.scaled(log.join(variable, "ft_id", "left_semi"), n, most)
-    ids = ids.persist()
     width = ids.count()
-    # Fitting passes over the vectors again and again.
-    rows = embed.vectors(scaled.join(ids, "ft_id").select(F.col("nth").alias("ft_id"), "bc_id", "value"), width).persist()
-    pca = embed.apply_pca(embed.train_pca(rows, min(components, width)), rows)
+    vectors = embed.vectors(scaled.join(ids, "ft_id").select(F.col("nth").alias("ft_id"), "bc_id", "value"), width)
+    # A cell without any variable feature is a row of zeros; fitting passes over the rows again and again.
+    zeros = array_to_vector(F.array_repeat(F.lit(0.0), width))
+    rows = cells.select("bc_id").join(vectors, "bc_id", "left").select("bc_id", F.coalesce("features", zeros).alias("features")).persist()
+    if width and n_cells > 1:
+        pca = embed.apply_pca(embed.train_pca(rows, min(components, width)), rows)
+    else:  # no feature is variable enough, or nothing varies: every cell has no component
+        pca = rows.withColumn("X_pca", F.array().cast("array<double>"))
     return {"quality": quality, "layer": scaled, "pca": pca}

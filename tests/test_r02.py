@@ -38,3 +38,15 @@ def test_more_items_make_more_tasks(spark, monkeypatch, matrix):
     x = matrix(spark, "/root/testdata/sf0.001").layers["raw"]
     assert x.rdd.getNumPartitions() > 8  # not what a session's settings and compressed bytes make of it
     assert x.count() == x.select("ft_id", "bc_id").distinct().count()
+
+
+def test_recipe_without_variable_features(spark):
+    ft = spark.createDataFrame([(i, f"f{i}", f"G{i}", "x") for i in range(4)], "ft_id long, id_feature string, feature string, feature_type string")
+    bc = spark.createDataFrame([(i, f"b{i}") for i in range(5)], "bc_id long, barcode string")
+    flat = spark.createDataFrame([(f, c, 1.0) for f in range(4) for c in range(5)], "ft_id long, bc_id long, value double")
+    got = extras.recipe(CountMatrix(bc, ft, {"raw": flat}), min_genes=2, min_cells=2, components=3)
+    assert sorted((r.bc_id, r.X_pca) for r in got["pca"].collect()) == [(i, []) for i in range(5)] and got["layer"].count() == 0
+    # One feature varies, and half of the cells don't have it.
+    some = spark.createDataFrame([(f, c, 1.0) for f in range(2) for c in range(40)] + [(2, c, 50.0 * (1 + c)) for c in range(20)], "ft_id long, bc_id long, value double")
+    got = extras.recipe(CountMatrix(bc, ft, {"raw": some}), min_genes=2, min_cells=2, n_variable=1, components=3)
+    assert got["pca"].count() == 40 and {len(r.X_pca) for r in got["pca"].collect()} == {1}
