@@ -60,13 +60,7 @@ def q_mex_files(spark, d):
 @query(f"WITH {SP} SELECT s_name AS barcode, 'part' || ft_id AS id_feature, p_brand AS genome, CAST(value AS BIGINT) AS value FROM m JOIN supplier ON bc_id = s_suppkey JOIN part ON ft_id = p_partkey")
 def q_split_seq(spark, d):
     m, path = _supplied(spark, d), scratch(spark)
-    one = lambda x, name, key: x.coalesce(1).sortWithinPartitions(key).drop(key).write.csv(f"{path}/{name}", header=True)
-    one(m.barcodes.select("bc_id", F.col("barcode").alias("cell_barcode"), F.lit(1).alias("n")), "cell_metadata.csv", "bc_id")
-    one(m.features.select("ft_id", F.col("ft_id").alias("nth"), "id_feature", F.col("feature").alias("gene_name"), F.col("feature").alias("genome")), "genes.csv", "ft_id")
-    head = f"%%MatrixMarket matrix coordinate integer general\n%\n{m.barcodes.count()} {m.features.count()} {m.layers['raw'].count()}"
-    lines = layout.as_text(m.layers["raw"].select(F.col("bc_id").alias("ft_id"), F.col("ft_id").alias("bc_id"), "value"))
-    top = spark.createDataFrame([(0, head)], "a int, line string")
-    top.union(lines.withColumn("a", F.lit(1)).select("a", "line")).coalesce(1).sortWithinPartitions("a").select("line").write.text(f"{path}/DGE.mtx")
+    mex.write_split_seq(m, path)
     x = mex.read_split_seq(spark, path)
     return mex.long_table(x).join(x.features.select("id_feature", "genome"), "id_feature").select("barcode", "id_feature", "genome", F.col("read_count").alias("value"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..model import CountMatrix
 from ..operators import layout
 from ..operators.filtering import renumbered
+from ..operators.summary import kept
 from .files import exists, remove  # noqa: F401  of folders and their files
 from .files import place as _fs
 
@@ -72,13 +73,11 @@ def coordinates(spark: SparkSession, path: str, transpose: bool = False, whole:
     """0-based (ft_id, bc_id, value) of a coordinate file, with or without header; integer headers give whole numbers, cut towards zero."""
     whole = kind(spark, path) != "real" if whole is None else whole
     lines = spark.read.text(path).where(~F.col("value").startswith("%")).withColumnRenamed("value", "line")
-    described = shape(spark, path) if kind(spark, path) else None
-    if described:
-        # The description is the first line left; a record may look the same, so only the first is left out.
-        text = " ".join(map(str, described))
+    if kind(spark, path):
+        # The description is the first line left; a record may look the same, so that one is left out by its place.
         lines = lines.withColumn("_at", F.monotonically_increasing_id())
-        first = lines.where(F.regexp_replace(F.trim("line"), r"\s+", " ") == text).agg(F.min("_at").alias("_first"))
-        lines = lines.join(F.broadcast(first)).where("_at <> _first").select("line")
+        first = lines.limit(1).collect()
+        lines = lines.where(F.col("_at") != first[0]["_at"]).select("line") if first else lines.select("line")
     return layout.from_text(lines.where(F.trim("line") != ""), "long" if whole else "double", transpose)
 
 
@@ -104,36 +103,69 @@ def long_table(matrix: CountMatrix, layer: str = "raw") -> DataFrame:
     return x.select("barcode", "id_feature", F.col("value").alias("read_count"))
 
 
-def _write_lines(lines: DataFrame, folder: str, name: str) -> None:
-    """One gzip file of the lines by (_a, _b): a folder of one part, sorted in its one task, moved to its name."""
+#: Lines that one task sorts and writes.
+LINES = 500_000
+
+
+def _write_lines(lines: DataFrame, n: int, folder: str, name: str) -> None:
+    """One file of n lines by (_a, _b), gzipped if its name says so: tasks sort and write ranges of them, and what they wrote is put together in order; gzip files in a row are one gzip file."""
     spark = lines.sparkSession
     temp = f"{folder}/.{name}.parts"
-    lines.repartition(1).sortWithinPartitions("_a", "_b").select("line").write.mode("overwrite").option("compression", "gzip").text(temp)
+    ranged = lines.repartitionByRange(1 + n // LINES, "_a", "_b").sortWithinPartitions("_a", "_b").select("line")
+    ranged.write.mode("overwrite").option("compression", "gzip" if name.endswith(".gz") else "none").text(temp)
     p, fs = _fs(spark, temp)
-    part = next(s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("part-"))
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-    fs.delete(target, False)
-    fs.rename(part, target)
+    parts = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("part-")]
+    to = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"), True)
+    try:
+        for part in sorted(parts, key=lambda x: int(x.getName().split("-")[1])):
+            source = fs.open(part)
+            try:
+                spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, to, 1 << 20, False)
+            finally:
+                source.close()
+    finally:
+        to.close()
     fs.delete(p, True)
 
 
-def write(matrix: CountMatrix, folder: str, layer: str = "raw", whole: bool | None = None) -> None:
-    """A folder of three gzip files, the format's own; for data of size keep Parquet (CountMatrix.write)."""
-    folder = folder.rstrip("/")
+def _write_records(matrix: CountMatrix, layer: str, whole: bool | None, folder: str, name: str, transpose: bool = False) -> None:
+    """A coordinate file: header, description and the records by barcode and feature."""
     records = matrix.layers[layer]
     is_whole = dict(records.dtypes)["value"] in ("int", "bigint", "smallint") if whole is None else whole
-    if is_whole:
-        records = records.withColumn("value", F.col("value").cast("long"))
-    head = f"%%MatrixMarket matrix coordinate {'integer' if is_whole else 'real'} general\n%\n{matrix.features.count()} {matrix.barcodes.count()} {records.count()}"
-    spark = records.sparkSession
-    line = F.concat_ws(" ", (F.col("ft_id") + 1).cast("string"), (F.col("bc_id") + 1).cast("string"), F.col("value").cast("string"))
+    records = kept(records.select("ft_id", "bc_id", F.col("value").cast("long") if is_whole else F.col("value")))  # counted, ranged and written
+    n = records.count()
+    row, col, axes = ("bc_id", "ft_id", (matrix.barcodes, matrix.features)) if transpose else ("ft_id", "bc_id", (matrix.features, matrix.barcodes))
+    head = f"%%MatrixMarket matrix coordinate {'integer' if is_whole else 'real'} general\n%\n{axes[0].count()} {axes[1].count()} {n}"
+    line = F.concat_ws(" ", (F.col(row) + 1).cast("string"), (F.col(col) + 1).cast("string"), F.col("value").cast("string"))
     body = records.select(F.col("bc_id").alias("_a"), F.col("ft_id").alias("_b"), line.alias("line"))
-    top = spark.createDataFrame([(-1, i, x) for i, x in enumerate(head.split("\n"))], "_a long, _b long, line string")
-    _write_lines(top.union(body), folder, "matrix.mtx.gz")
-    one = lambda axis, key, text: axis.select(F.col(key).alias("_a"), F.lit(0).alias("_b"), text.alias("line"))
-    _write_lines(one(matrix.barcodes, "bc_id", F.col("barcode")), folder, "barcodes.tsv.gz")
+    top = records.sparkSession.createDataFrame([(-1, i, x) for i, x in enumerate(head.split("\n"))], "_a long, _b long, line string")
+    _write_lines(top.union(body), n, folder, name)
+
+
+def _write_axis(axis: DataFrame, key: str, line: Column, folder: str, name: str, head: str | None = None) -> None:
+    """A line an entry by id, after a line of names where there is one."""
+    lines = axis.select(F.col(key).cast("long").alias("_a"), F.lit(0).alias("_b"), line.alias("line"))
+    top = axis.sparkSession.createDataFrame([(-1, 0, head)] if head else [], "_a long, _b int, line string")
+    _write_lines(top.union(lines), axis.count(), folder, name)
+
+
+def write(matrix: CountMatrix, folder: str, layer: str = "raw", whole: bool | None = None) -> None:
+    """A folder of three gzip files, the format's own; for data of size keep Parquet (CountMatrix.write)."""
+    folder = folder.rstrip("/")
+    _write_records(matrix, layer, whole, folder, "matrix.mtx.gz")
+    _write_axis(matrix.barcodes, "bc_id", F.col("barcode"), folder, "barcodes.tsv.gz")
     cols = [F.coalesce(F.col(c).cast("string"), F.lit("")) if c in matrix.features.columns else F.lit("Gene Expression") for c in FEATURE]
-    _write_lines(one(matrix.features, "ft_id", F.concat_ws("\t", *cols)), folder, "features.tsv.gz")
+    _write_axis(matrix.features, "ft_id", F.concat_ws("\t", *cols), folder, "features.tsv.gz")
+
+
+def write_split_seq(matrix: CountMatrix, folder: str, layer: str = "raw", whole: bool | None = None) -> None:
+    """cell_metadata.csv, genes.csv and DGE.mtx, whose rows are barcodes; the genome is the features' own column, or their name."""
+    folder = folder.rstrip("/")
+    _write_records(matrix, layer, whole, folder, "DGE.mtx", transpose=True)
+    _write_axis(matrix.barcodes, "bc_id", F.to_csv(F.struct("barcode", F.lit(1))), folder, "cell_metadata.csv", "cell_barcode,n")
+    genome = "genome" if "genome" in matrix.features.columns else "feature"
+    line = F.to_csv(F.struct(F.col("ft_id").alias("nth"), "id_feature", F.col("feature").alias("gene_name"), F.col(genome).alias("genome")))
+    _write_axis(matrix.features, "ft_id", line, folder, "genes.csv", "nth,id_feature,gene_name,genome")
 
 
 def from_long_table(counts: DataFrame, by_records: bool = False) -> CountMatrix:

@@ -50,3 +50,28 @@ def test_recipe_without_variable_features(spark):
     some = spark.createDataFrame([(f, c, 1.0) for f in range(2) for c in range(40)] + [(2, c, 50.0 * (1 + c)) for c in range(20)], "ft_id long, bc_id long, value double")
     got = extras.recipe(CountMatrix(bc, ft, {"raw": some}), min_genes=2, min_cells=2, n_variable=1, components=3)
     assert got["pca"].count() == 40 and {len(r.X_pca) for r in got["pca"].collect()} == {1}
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch, whole):
+    import gzip
+
+    monkeypatch.setattr(mex, "LINES", 50)
+    n = 700
+    records = spark.range(n).select((F.col("id") * 7 % 50).alias("ft_id"), F.floor(F.col("id") / 50).alias("bc_id"), (F.col("id") + (0 if whole else 0.5)).alias("value"))
+    bc = spark.range(14).select(F.col("id").alias("bc_id"), F.concat(F.lit("b,"), "id").alias("barcode"))
+    ft = spark.range(120).select(F.col("id").alias("ft_id"), F.concat(F.lit("f"), "id").alias("id_feature"), F.concat(F.lit("n "), "id").alias("feature"))
+    m = CountMatrix(bc, ft, {"raw": records})
+    want = sorted(map(tuple, records.collect()))
+    mex.write(m, str(tmp_path / "m"))
+    mex.write_split_seq(m, str(tmp_path / "s"))
+    assert sorted(p.name for p in (tmp_path / "m").iterdir() if p.name[0] != ".") == ["barcodes.tsv.gz", "features.tsv.gz", "matrix.mtx.gz"]
+    lines = gzip.open(tmp_path / "m/matrix.mtx.gz", "rt").read().split("\n")
+    assert lines[:3] == [f"%%MatrixMarket matrix coordinate {'integer' if whole else 'real'} general", "%", f"120 14 {n}"] and lines[-1] == ""
+    at = [tuple(map(int, x.split()[1::-1])) for x in lines[3:-1]]
+    assert len(at) == n and at == sorted(at)
+    assert (tmp_path / "m/matrix.mtx.gz").read_bytes().count(b"\x1f\x8b\x08") > 8  # a member a task: no task has all lines
+    for x in (mex.read(spark, str(tmp_path / "m")), mex.read_split_seq(spark, str(tmp_path / "s"))):
+        assert sorted(map(tuple, x.layers["raw"].collect())) == want
+        assert sorted(map(tuple, x.barcodes.collect())) == [(i, f"b,{i}") for i in range(14)]
+        assert [tuple(r)[:2] for r in x.features.orderBy("ft_id").collect()] == [(i, f"f{i}") for i in range(120)]
