@@ -13,6 +13,58 @@ from .operators import filtering, summary
 from .operators.layout import sorted_copy
 
 
+def _by_entry(records: DataFrame, key: str, func: Callable, schema: str, many: bool) -> DataFrame:
+    """func(entry, other ids, values) of each entry of an axis, which gives a dict of a row's values, or with many a dict of arrays of rows; entries are sorted together and cut from Arrow batches as slices, so one costs no frame of its own."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    other = "ft_id" if key == "bc_id" else "bc_id"
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        import numpy as np
+
+        held: list[tuple] = []  # the last entry's slices: it may go on in the next batch
+        rows: list[dict] = []
+        size = 0
+
+        def done():
+            nonlocal held, size
+            e, others, values = held[0][0], *(x[0] if len(x) == 1 else np.concatenate(x) for x in ([h[1] for h in held], [h[2] for h in held]))
+            held = []
+            got = func(int(e), others, values)
+            rows.append(got)
+            size += max(1, *map(len, got.values())) if many else 1
+
+        def packed():
+            nonlocal rows, size
+            cols = []
+            for f in out:
+                parts = [r.get(f.name) for r in rows]
+                if many:
+                    parts = np.concatenate([x for x in parts if len(x)] or parts)
+                cols.append(pa.array(parts, f.type, from_pandas=True))
+            rows, size = [], 0
+            return pa.RecordBatch.from_arrays(cols, schema=out)
+
+        for batch in batches:
+            keys, others, values = (np.array(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(3))
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else []
+            for a, b in zip(cuts, cuts[1:]):
+                if held and held[0][0] != keys[a]:
+                    done()
+                    if size >= 10_000:
+                        yield packed()
+                held.append((keys[a], others[a:b], values[a:b]))
+        if held:
+            done()
+        if rows:
+            yield packed()
+
+    return records.select(key, other, "value").repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
 @dataclass
 class Axis:
     """The table of an axis, with its id, the column of its names and the active filter; None is all entries."""
@@ -128,15 +180,9 @@ class CountMatrix:
 
     def summarized_by(self, layer: str, axis: str, func: Callable, schema: str) -> CountMatrix:
         """A function of (entry, other ids, values) to a dict for each entry of an axis; its results become columns <layer>_<name>."""
-        a, other = (self.bc, "ft_id") if axis == "barcode" else (self.ft, "bc_id")
+        a = self.bc if axis == "barcode" else self.ft
         key = a.key
-
-        def run(pdf):
-            import pandas as pd
-
-            return pd.DataFrame([{key: pdf[key].iloc[0], **func(int(pdf[key].iloc[0]), pdf[other].to_numpy(), pdf["value"].to_numpy())}])
-
-        got = self.layers[layer].groupBy(key).applyInPandas(run, f"{key} long, {schema}")
+        got = _by_entry(self.layers[layer], key, lambda entry, others, values: {key: entry, **func(entry, others, values)}, f"{key} long, {schema}", False)
         return self.with_axis(axis, a.with_meta(got.select(key, *[F.col(c).alias(f"{layer}_{c}") for c in got.columns if c != key])).table)
 
     def applied(self, layer: str, out: str, func: Callable[[Column], Column] | None = None, by: str | None = None, entry: Callable | None = None) -> CountMatrix:
@@ -147,13 +193,13 @@ class CountMatrix:
         else:
             key, other = ("bc_id", "ft_id") if by == "barcode" else ("ft_id", "bc_id")
 
-            def run(pdf):
-                import pandas as pd
+            def run(e, others, values):
+                import numpy as np
 
-                others, values = entry(int(pdf[key].iloc[0]), pdf[other].to_numpy(), pdf["value"].to_numpy())
-                return pd.DataFrame({"ft_id": pdf[key].iloc[0] if key == "ft_id" else others, "bc_id": others if key == "ft_id" else pdf[key].iloc[0], "value": values})
+                others, values = (np.asarray(x) for x in entry(e, others, values))
+                return {key: np.full(len(others), e), other: others, "value": values}
 
-            new = records.groupBy(key).applyInPandas(run, "ft_id long, bc_id long, value double")
+            new = _by_entry(records, key, run, "ft_id long, bc_id long, value double", True)
         return replace_layers(self, {**self.layers, out: new})
 
     def _repr_html_(self) -> str:

@@ -75,3 +75,24 @@ def test_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch, whole):
         assert sorted(map(tuple, x.layers["raw"].collect())) == want
         assert sorted(map(tuple, x.barcodes.collect())) == [(i, f"b,{i}") for i in range(14)]
         assert [tuple(r)[:2] for r in x.features.orderBy("ft_id").collect()] == [(i, f"f{i}") for i in range(120)]
+
+
+def test_functions_of_entries(spark):
+    x = spark.range(60_000).select((F.col("id") % 20_000).alias("ft_id"), F.floor(F.col("id") / 20_000).alias("bc_id"), (F.col("id") % 7).cast("double").alias("value"))
+    m = CountMatrix(spark.range(3).select(F.col("id").alias("bc_id")), spark.range(20_001).select(F.col("id").alias("ft_id")), {"raw": x})
+
+    def func(entry, others, values):
+        values[:] = np.sort(values)  # its own copy
+        return {"n": len(others), "mid": values[len(values) // 2], "all": sorted(others.tolist()), "none": float("nan")}
+
+    got = m.summarized_by("raw", "feature", func, "n int, mid double, all array<long>, none double").ft.table
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()  # a frame an entry takes most of the time
+    rows = {r.ft_id: r for r in got.collect()}
+    assert len(rows) == 20_001 and rows[20_000].raw_n is None
+    for i in (0, 1, 9_999, 19_999):
+        assert rows[i].raw_n == 3 and rows[i].raw_all == [0, 1, 2] and rows[i].raw_none is None
+        assert rows[i].raw_mid == sorted((i + 20_000 * j) % 7 for j in range(3))[1]
+    # Entries longer than a batch, and ones of which nothing stays.
+    out = m.applied("raw", "top", by="barcode", entry=lambda entry, others, values: ([], []) if entry == 1 else (others[values > 5], values[values > 5] / len(values)))
+    got = sorted(map(tuple, out.layers["top"].collect()))
+    assert got == sorted((i % 20_000, i // 20_000, 6 / 20_000) for i in range(60_000) if i % 7 == 6 and i // 20_000 != 1)
