@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .summary import kept
+
 
 def barcode(id_cell: Column, least: int = 16) -> Column:
     """The leftmost run of `least` or more of ATGC, in any case; null if there is none."""
@@ -35,8 +37,18 @@ def matched_samples(cells_1: DataFrame, cells_2: DataFrame, by_second: bool = Tr
     the best second for each first; ties go to the smaller names. Of pairs without overlap only one can win: that of a
     second sample that overlaps nothing with the smallest first name.
     """
-    a = barcodes_by_sample(cells_1).withColumnRenamed("id_sample", "id_sample_1")
-    b = barcodes_by_sample(cells_2).withColumnRenamed("id_sample", "id_sample_2")
+    return _matched(_sought(cells_1), _sought(cells_2), by_second)
+
+
+def _sought(cells: DataFrame) -> DataFrame:
+    """(id_cell, CB, id_sample) of the cells with a barcode, written once: what follows reads it several times, and seeking barcodes is what takes time."""
+    return kept(parsed(cells.select("id_cell")).where("CB is not null"))
+
+
+def _matched(cells_1: DataFrame, cells_2: DataFrame, by_second: bool = True) -> DataFrame:
+    """matched_samples of cells whose barcodes are known."""
+    a = kept(cells_1.select(F.col("id_sample").alias("id_sample_1"), "CB").distinct())
+    b = kept(cells_2.select(F.col("id_sample").alias("id_sample_2"), "CB").distinct())
     common = a.join(b, "CB").groupBy("id_sample_1", "id_sample_2").agg(F.count("*").alias("common"))
     n1, n2 = a.groupBy("id_sample_1").agg(F.count("*").alias("n1")), b.groupBy("id_sample_2").agg(F.count("*").alias("n2"))
     smallest = n1.agg(F.min("id_sample_1").alias("id_sample_1")).where("id_sample_1 is not null")  # one row
@@ -51,9 +63,10 @@ def matched_samples(cells_1: DataFrame, cells_2: DataFrame, by_second: bool = Tr
 
 def matched_cells(cells_1: DataFrame, cells_2: DataFrame) -> DataFrame:
     """(id_cell_1, id_cell_2): the cells of matched samples, id_cell_2 null where the barcode isn't in the other list."""
-    s = matched_samples(cells_1, cells_2)
-    a = parsed(cells_1).where("CB is not null").select(F.col("id_cell").alias("id_cell_1"), "CB", F.col("id_sample").alias("id_sample_1")).join(s, "id_sample_1")
-    b = parsed(cells_2).where("CB is not null").select(F.col("id_cell").alias("id_cell_2"), "CB", F.col("id_sample").alias("id_sample_2"))
+    cells_1, cells_2 = _sought(cells_1), _sought(cells_2)
+    s = kept(_matched(cells_1, cells_2))  # a row a sample at most
+    a = cells_1.select(F.col("id_cell").alias("id_cell_1"), "CB", F.col("id_sample").alias("id_sample_1")).join(s, "id_sample_1")
+    b = cells_2.select(F.col("id_cell").alias("id_cell_2"), "CB", F.col("id_sample").alias("id_sample_2"))
     return a.join(b, ["CB", "id_sample_2"], "left").select("id_cell_1", "id_cell_2")
 
 

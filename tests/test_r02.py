@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lattix.functions import fuzzy
 from lattix.model import CountMatrix
-from lattix.operators import extras, layout
+from lattix.operators import extras, identity, layout
 from lattix.sources import mex, tables
 
 
@@ -96,3 +97,32 @@ def test_functions_of_entries(spark):
     out = m.applied("raw", "top", by="barcode", entry=lambda entry, others, values: ([], []) if entry == 1 else (others[values > 5], values[values > 5] / len(values)))
     got = sorted(map(tuple, out.layers["top"].collect()))
     assert got == sorted((i % 20_000, i // 20_000, 6 / 20_000) for i in range(60_000) if i % 7 == 6 and i // 20_000 != 1)
+
+
+def test_barcodes_are_sought_once(spark):
+    """What is joined reads barcodes that were found before, and the pattern is in none of its steps."""
+    cells = spark.createDataFrame([(f"s{i % 2}-{'ACGT' * 4}{'ACGT'[i % 4]}{'ACGT'[i // 4]}-1",) for i in range(8)] + [("none",)], "id_cell string")
+    meta = cells.withColumn("n", F.length("id_cell")).where("id_cell <> 'none'")
+    got = identity.with_metadata(cells, meta)
+    assert "regexp_extract" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.id_cell: r.n for r in got.collect()} == {r.id_cell: (len(r.id_cell) if r.id_cell != "none" else None) for r in cells.collect()}
+
+
+def test_fuzzy_search_looks_where_a_piece_is():
+    import random
+
+    import regex
+
+    rng, query = random.Random(3), "the and attion to"
+    for _ in range(300):
+        text = "".join(rng.choice(["the ", "and", " att", "ion", " to", "x", "e"]) for _ in range(rng.randint(0, 40)))
+        want = (-1, -1, None, -1) if query not in text else (text.find(query), text.find(query) + len(query), query, 0)
+        for e in (1, 2):
+            m = regex.search(f"(?:{query}){{e<={e}}}", text)
+            if want[0] < 0 and m:
+                want = (m.start(), m.end(), m[0], sum(m.fuzzy_counts))
+        assert fuzzy.first_match(text, query, 0.15) == want
+    long = "Ein Satz ohne das Gesuchte, von Haus zu Haus. " * 400_000
+    began = time.time()
+    assert fuzzy.first_match(long, query, 0.15)[0] == -1 and fuzzy.all_matches(long, query, 0.15) == []
+    assert time.time() - began < 3  # edits counted at every place: tens of seconds
