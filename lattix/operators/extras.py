@@ -35,8 +35,8 @@ def byte_index(lines: DataFrame, key: str, line: str = "line") -> DataFrame:
 
 
 def split_records(records: DataFrame, path: str, most: int = 10_000_000, form: str = "parquet") -> None:
-    """Files of at most so many records; the writer's success marker tells a finished split."""
-    records.write.mode("overwrite").option("maxRecordsPerFile", most).format(form).save(path)
+    """Files of at most so many records; the writer's success marker tells a finished split. Tasks move their own files into the folder: the driver, one file after another, would take most of the time of many."""
+    records.write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2").option("maxRecordsPerFile", most).format(form).save(path)
 
 
 def is_mask(values: Iterable) -> bool:

@@ -126,3 +126,15 @@ def test_fuzzy_search_looks_where_a_piece_is():
     began = time.time()
     assert fuzzy.first_match(long, query, 0.15)[0] == -1 and fuzzy.all_matches(long, query, 0.15) == []
     assert time.time() - began < 3  # edits counted at every place: tens of seconds
+
+
+def test_split_files_are_moved_by_their_tasks(spark, tmp_path, monkeypatch):
+    """The driver isn't left to move files one after another."""
+    from pyspark.sql import DataFrameWriter
+
+    path, said, option = str(tmp_path / "split"), {}, DataFrameWriter.option
+    monkeypatch.setattr(DataFrameWriter, "option", lambda self, k, v: (said.update({k: v}), option(self, k, v))[1])
+    extras.split_records(spark.range(2_000, numPartitions=2), path, 10)
+    assert said["mapreduce.fileoutputcommitter.algorithm.version"] == "2"
+    names = sorted(p.name for p in (tmp_path / "split").iterdir() if not p.name.startswith("."))
+    assert names[0] == "_SUCCESS" and len(names) == 201 and spark.read.parquet(path).count() == 2_000
